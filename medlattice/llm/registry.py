@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import nearest, tokens, urls
 
-QUERIES = {"op3_url_filters": urls.op3_url_filters}
-SQL = {"op3_url_filters": urls.OP3_SQL}
+QUERIES = {"op1_token_files": tokens.op1_token_files, "op3_url_filters": urls.op3_url_filters, "op5_nearest": nearest.op5_nearest}
+SQL = {"op3_url_filters": urls.OP3_SQL, "op5_nearest": nearest.OP5_SQL}
