@@ -24,7 +24,7 @@ from .common import fresh_path, row_slices, table, written
 
 NO_ID = -(1 << 63)
 #: Words kept with their ids in a worker; the cache is emptied when full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 _MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 _WORKER: dict = {}
 
@@ -32,8 +32,9 @@ _WORKER: dict = {}
 class WordEncoder:
     """The tokenizer's ids of whole texts.
 
-    With words_apart (for tokenizers that drop white space and never merge across it) each distinct word is encoded once per
-    worker; words are sent to the library many at a time, set apart by a special token.
+    With words_apart (for tokenizers that lower-case, drop white space, never merge across it, and set letters apart from other
+    characters) each distinct word is encoded once per worker, capitals and a closing point or comma apart; words are sent to the
+    library many at a time, set apart by a special token.
     """
 
     def __init__(self, path: str, words_apart: bool):
@@ -45,25 +46,47 @@ class WordEncoder:
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip]
         self.apart = words_apart and bool(special)
         self.mark, self.between = special[0] if special else (None, None)
-        self.known: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 << 16 if self.dtype.itemsize == 2 else self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
         odd = [w for w in words if "<|" in w]
         self.known.update(zip(odd, self._raw(odd), strict=True))
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(ids == self.mark)
-            begin, end = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(ids)]])
+        letters = [w for w in words if w.isalpha()] if self.ends.any() else []  # one end of word in each
+        rest = [w for w in words if "<|" not in w and not (self.ends.any() and w.isalpha())]
+        for part, between in [(letters[i : i + 500], " ") for i in range(0, len(letters), 500)] + [(rest[i : i + 500], self.between) for i in range(0, len(rest), 500)]:
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            if between == " ":
+                end = np.flatnonzero(self.ends[ids]) + 1
+                begin = np.concatenate([[0], end[:-1]])
+            else:
+                cut = np.flatnonzero(ids == self.mark)
+                begin, end = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(ids)]])
             if len(begin) != len(part):
                 self.known.update(zip(part, self._raw(part), strict=True))
                 continue
-            for w, b, e in zip(part, begin.tolist(), end.tolist(), strict=True):
-                self.known[w] = ids[b:e].tobytes()
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            self.known.update(zip(part, [raw[b * size : e * size] for b, e in zip(begin.tolist(), end.tolist(), strict=True)], strict=True))
+
+    def _learn_forms(self, words: list[str]) -> None:
+        """Learns words by their lower-case form without a closing point or comma after a letter."""
+        known = self.known
+        forms = []
+        for w in words:
+            tail = w[-1] if w and w[-1] in ".," and w[-2:-1].isalpha() else ""
+            base = w[:-1] if tail else w
+            if base and max(base) < "\u0180" and "\u0130" not in base:  # beyond, lower case may depend on the library
+                base = base.lower()
+            forms.append((w, base, tail))
+        self._learn(list({x for _, base, tail in forms for x in (base, tail) if x not in known}))
+        for w, base, tail in forms:
+            known[w] = known[base] + known[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
@@ -74,8 +97,9 @@ class WordEncoder:
             fresh.update(words)
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self.known.clear()
+            self.known[""] = b""
         known = self.known
-        self._learn([w for w in fresh if w not in known])
+        self._learn_forms([w for w in fresh if w not in known])
         look = known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
