@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import benchmarks, jaccard, language, lines, nearest, tokens, toxicity, urls
+from . import benchmarks, jaccard, language, lines, nearest, pieces, secrets, tokens, toxicity, urls
 
-QUERIES = {"op2_line_dedup": lines.op2_line_dedup, "op8_decontamination": benchmarks.op8_decontamination, "op4_language_id": language.op4_language_id, "op10_toxicity": toxicity.op10_toxicity, "op7_ngram_jaccard": jaccard.op7_ngram_jaccard, "op1_token_files": tokens.op1_token_files, "op3_url_filters": urls.op3_url_filters, "op5_nearest": nearest.op5_nearest}
+QUERIES = {"op6_sentencepiece": pieces.op6_sentencepiece, "op9_secret_scan": secrets.op9_secret_scan, "op2_line_dedup": lines.op2_line_dedup, "op8_decontamination": benchmarks.op8_decontamination, "op4_language_id": language.op4_language_id, "op10_toxicity": toxicity.op10_toxicity, "op7_ngram_jaccard": jaccard.op7_ngram_jaccard, "op1_token_files": tokens.op1_token_files, "op3_url_filters": urls.op3_url_filters, "op5_nearest": nearest.op5_nearest}
 SQL = {"op3_url_filters": urls.OP3_SQL, "op5_nearest": nearest.OP5_SQL}
