@@ -1,4 +1,58 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxic documents go, then repeated lines, near copies and documents with benchmark items; the rest is encoded.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's docs. All
+but the last return the columns of docs, in order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from medlattice.llm import benchmarks, jaccard, lines, pieces, toxicity
+from medlattice.llm.common import table, written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier document holds alike; documents that lose all their words go."""
+    return lines.without_repeated_lines(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, nor one with other numbers, names or units."""
+    return benchmarks.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_digest, weight and decodes of each document that is left."""
+    import public_tokenizers
+
+    return pieces.piece_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", keep_one_of_each),
+    ("decontamination", drop_benchmark_leaks),
+    ("sentencepiece", encode_pieces),
+]
+
+#: No stage of trained models, SimHash or piece search can be put in SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

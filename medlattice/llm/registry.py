@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import benchmarks, jaccard, language, lines, nearest, pieces, secrets, tokens, toxicity, urls
 
-QUERIES = {"op6_sentencepiece": pieces.op6_sentencepiece, "op9_secret_scan": secrets.op9_secret_scan, "op2_line_dedup": lines.op2_line_dedup, "op8_decontamination": benchmarks.op8_decontamination, "op4_language_id": language.op4_language_id, "op10_toxicity": toxicity.op10_toxicity, "op7_ngram_jaccard": jaccard.op7_ngram_jaccard, "op1_token_files": tokens.op1_token_files, "op3_url_filters": urls.op3_url_filters, "op5_nearest": nearest.op5_nearest}
+QUERIES = {
+    "op1_token_files": tokens.op1_token_files,
+    "op2_line_dedup": lines.op2_line_dedup,
+    "op3_url_filters": urls.op3_url_filters,
+    "op4_language_id": language.op4_language_id,
+    "op5_nearest": nearest.op5_nearest,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op8_decontamination": benchmarks.op8_decontamination,
+    "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
+}
+
+#: Queries that SQL can express. The others are tested against brute force, exact round trips or held-out labels (tests/llm).
 SQL = {"op3_url_filters": urls.OP3_SQL, "op5_nearest": nearest.OP5_SQL}
