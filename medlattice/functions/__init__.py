@@ -1 +1 @@
-
+"""Column helpers: references, dates, text and codes."""

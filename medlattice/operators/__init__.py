@@ -1 +1 @@
-
+"""Relational operators: DataFrame in, DataFrame out."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import driver_queries
+
+QUERIES = dict(driver_queries.QUERIES)
+SQL = dict(driver_queries.SQL)
