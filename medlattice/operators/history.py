@@ -92,17 +92,17 @@ def integrity(dim: DataFrame, key: str) -> DataFrame:
     """Failures of a Type 2 table, (check_name, key, detail); empty if it is sound."""
     w = Window.partitionBy(key).orderBy("effective_from", "version_number")
     d = dim.where(F.col(key).isNotNull()).withColumn("_next", F.lead("effective_from").over(w)).withColumn("_place", F.row_number().over(w)).withColumn("_before", F.lag("row_hash").over(w))
-    n = d.groupBy(key).agg(F.count_if("is_current").alias("n"), F.count("*").alias("k"), F.countDistinct("version_number").alias("v"))
+    n = d.groupBy(key).agg(F.count_if("is_current").alias("_n"), F.count("*").alias("_k"), F.countDistinct("version_number").alias("_v"))
     said = lambda df, name, detail: df.select(F.lit(name).alias("check_name"), F.col(key).cast("string").alias("member"), detail.cast("string").alias("detail"))
     out = [
         said(d.where("effective_to < effective_from"), "reversed", F.col("effective_to")),
         said(d.where("_next <= effective_to"), "overlap", F.col("_next")),
         said(d.where(F.col("_next") > F.date_add("effective_to", 1)), "gap", F.col("_next")),
-        said(n.where("n != 1"), "not_one_current", F.col("n")),
+        said(n.where("_n != 1"), "not_one_current", F.col("_n")),
         said(d.where(F.col("is_current") != (F.col("effective_to") == F.lit(OPEN_END).cast("date"))), "current_not_open", F.col("effective_to")),
         said(d.where("version_number != _place"), "version_order", F.col("version_number")),
         said(d.where("row_hash = _before"), "no_change", F.col("version_number")),
-        said(n.where("v != k"), "version_repeated", F.col("v")),
+        said(n.where("_v != _k"), "version_repeated", F.col("_v")),
     ]
     result = out[0]
     for part in out[1:]:

@@ -28,9 +28,9 @@ def _visits(df: DataFrame) -> DataFrame:
 def dm(records: DataFrame, subjects: DataFrame, study: str = STUDY) -> DataFrame:
     """One row for each subject, with or without a demographics record; age in completed years at consent."""
     own = records.where("form_id = 'DM'").groupBy("subject_id").agg(F.max_by(F.struct("BRTHDAT", "SEX", "RFICDAT", "ARM"), "ord").alias("r")).select("subject_id", "r.*")
-    d = subjects.join(own, "subject_id", "left")
+    given = subjects.withColumnRenamed("arm", "subjects_arm") if "arm" in subjects.columns else subjects.withColumn("subjects_arm", F.lit(None).cast("string"))
+    d = given.join(own, "subject_id", "left")
     arm, consent = F.coalesce("ARM", F.col("subjects_arm")), F.coalesce("RFICDAT", "consent_date")
-    d = d.withColumnRenamed("arm", "subjects_arm") if "arm" in subjects.columns else d.withColumn("subjects_arm", F.lit(None).cast("string"))
     born = ~C.blank(F.col("BRTHDAT"))
     return d.select(*_head("DM", study), F.col("subject_id").alias("SUBJID"), F.col("site_id").alias("SITEID"), F.coalesce("BRTHDAT", F.lit("")).alias("BRTHDTC"), F.when(born, C.completed_years(C.calendar_date(F.col("BRTHDAT")), C.calendar_date(consent))).alias("AGE"),
         F.when(born, "YEARS").otherwise("").alias("AGEU"), F.coalesce("SEX", F.lit("")).alias("SEX"), arm.alias("ARMCD"), F.when(arm == "A", "Investigational product").otherwise("Placebo").alias("ARM"), consent.alias("RFICDTC"), F.lit("CAN").alias("COUNTRY"))
