@@ -78,14 +78,24 @@ class Pieces:
         self.unknown = next(i for i, (_, _, kind) in enumerate(found) if kind == 2)
         self.odd = min(self.scores.values()) - 10
         self.longest = max(map(len, self.ids))
-        self.starts: dict[str, int] = {}
-        for p in self.ids:
-            self.starts[p[0]] = max(self.starts.get(p[0], 1), len(p))
+        # Every beginning of a piece, with the score of those that are pieces.
+        self.begins: dict[str, float | None] = {p[:i]: None for p in self.ids for i in range(1, len(p))} | self.scores
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         if "\n" in inner or any("▁" in p.lstrip("▁") for p in self.ids):
             raise ValueError("pieces must not reach over a new line or into a word from before")
+        # What an id weighs: the first byte of a character without a piece stands for it, further bytes weigh nothing.
+        self.by_id = np.zeros(len(self.names))
+        for p, i in self.ids.items():
+            self.by_id[i] = self.scores[p]
+        for b, i in self.bytes.items():
+            self.by_id[i] = 0.0 if 0x80 <= b < 0xC0 else self.odd
+        self.by_id[self.unknown] = self.odd
+        byte = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.spelled = [byte.get(i, p.encode()) for i, p in enumerate(self.names)]
         self.known: dict[str, bytes] = {}
-        self.weight: dict[str, float] = {}
+        self.solved: dict[str, bytes] = {}
+        self.broken: set[str] = set()
 
     def best(self, text: str, begin: int, end: int, last: int | None = None) -> tuple[float, list[int]]:
         """Weight and cut positions of the best path from begin to end; with last, its last piece begins before last. Of equal
@@ -94,7 +104,7 @@ class Pieces:
         top = [_NONE] * (n + 1)
         back = [0] * (n + 1)
         top[0] = 0.0
-        starts, scores, odd = self.starts, self.scores, self.odd
+        begins, scores, odd = self.begins, self.scores, self.odd
         for i in range(n):
             have = top[i]
             if have == _NONE:
@@ -102,14 +112,15 @@ class Pieces:
             at = begin + i
             if last is not None and at >= last:
                 break
-            single = False
-            for j in range(i + 1, min(n, i + starts.get(text[at], 1)) + 1):
-                score = scores.get(text[at : begin + j])
-                if j == i + 1:
-                    single = score is not None
-                    if not single:
-                        score = odd
-                if score is not None and have + score > top[j]:
+            if scores.get(text[at]) is None and have + odd > top[i + 1]:
+                top[i + 1], back[i + 1] = have + odd, i
+            for j in range(i + 1, n + 1):
+                score = begins.get(text[at : begin + j], _NONE)
+                if score is None:
+                    continue
+                if score == _NONE:
+                    break
+                if have + score > top[j]:
                     top[j], back[j] = have + score, i
         if top[n] == _NONE:
             return _NONE, []
@@ -128,27 +139,48 @@ class Pieces:
         return out
 
     def _learn(self, keys: list[str]) -> None:
-        """A key is a word after a space, or a new line and what follows it."""
+        """A key is a word after a space, or a new line and what follows it. It is cut where no piece holds the two characters on
+        either side (a word from the point behind it, say), and each part is solved once."""
+        inner, solved = self.inner, self.solved
         for key in keys:
             segment = key if key[:1] == "\n" else "▁" + key
-            weight, cuts = self.best(segment, 0, len(segment))
-            self.known[key] = np.array(self.spell(segment, cuts), "<i4").tobytes()
-            self.weight[key] = weight
+            out, begin = [], 0
+            for i in range(1, len(segment) + 1):
+                if i == len(segment) or segment[i - 1 : i + 1] not in inner:
+                    part = segment[begin:i]
+                    ids = solved.get(part)
+                    if ids is None:
+                        found = self.spell(part, self.best(part, 0, len(part))[1])
+                        if b"".join(map(self.spelled.__getitem__, found)) != part.encode():
+                            self.broken.add(part)
+                        ids = solved[part] = np.array(found, "<i4").tobytes()
+                    out.append(ids)
+                    begin = i
+            self.known[key] = b"".join(out)
+
+    def _room(self, fresh: int) -> None:
+        if len(self.known) + fresh > CACHE:
+            self.known.clear()
+        if len(self.solved) + fresh > CACHE:
+            self.solved.clear()
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
-        """Ids (int32, little-endian) and weight of each text. No piece reaches over a new line or from a word over the space
-        behind it, so a text falls into segments that are solved once for each worker."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids (int32, little-endian) of each text. No piece reaches over a new line or from a word over the space behind it, so a
+        text falls into segments that are solved once for each worker; each is decoded once to see that it gives its text back."""
         split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
         fresh: set[str] = set()
         for t, keys in zip(texts, split, strict=True):
             if "  " in t or "▁" in t or t[:1] == " " or t[-1:] == " " or " \n" in t:
                 keys[:] = _segments(normal(t))
             fresh.update(keys)
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            self.weight.clear()
+        self._room(len(fresh))
         self._learn([k for k in fresh if k not in self.known])
-        return [(b"".join(map(self.known.__getitem__, keys)), sum(map(self.weight.__getitem__, keys))) for keys in split]
+        return [b"".join(map(self.known.__getitem__, keys)) for keys in split]
+
+    def _ids(self, keys: list[str]) -> np.ndarray:
+        self._room(len(keys))
+        self._learn([k for k in dict.fromkeys(keys) if k not in self.known])
+        return np.frombuffer(b"".join(self.known[k] for k in keys), "<i4")
 
     def matrix(self, text: str, n: int) -> np.ndarray:
         """Best weights [entry, exit] of a chunk of n characters; text goes on beyond it by what a piece can reach."""
@@ -163,20 +195,12 @@ class Pieces:
             return out
         first, final = at[0], at[-1]
         enter = np.array([self.best(text, s, first)[0] for s in range(k)])
-        keys = _segments(text[first:final])
-        through = sum(self._weights(keys))
+        through = float(self.by_id[self._ids(_segments(text[first:final]))].sum())
         leave = np.full(k, _NONE)
         for t in range(more + 1):
             leave[t] = self.best(text, final, n + t, n)[0] if final < n else (0.0 if t == 0 else _NONE)
         return enter[:, None] + through + leave[None, :]
 
-    def _weights(self, keys: list[str]) -> list[float]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.weight.clear()
-        self._learn([k for k in dict.fromkeys(keys) if k not in self.known])
-        return [self.weight[k] for k in keys]
-
     def trace(self, text: str, n: int, enter: int, leave: int) -> list[int]:
         """The ids of a chunk whose entry and exit are known."""
         at = [i for i in cut_places(text[: n + 1]) if self.longest - 1 <= i <= n]
@@ -184,18 +208,12 @@ class Pieces:
             return self.spell(text, self.best(text, enter, n + leave, n)[1]) if enter < n else []
         first, final = at[0], at[-1]
         out = self.spell(text, self.best(text, enter, first)[1])
-        keys = _segments(text[first:final])
-        self._weights(keys)
-        out += np.frombuffer(b"".join(self.known[k] for k in keys), "<i4").tolist()
+        out += self._ids(_segments(text[first:final])).tolist()
         return out + (self.spell(text, self.best(text, final, n + leave, n)[1]) if final < n else [])
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: bytes join to characters, each mark is a space."""
-        out = bytearray()
-        byte = {i: b for b, i in self.bytes.items()}
-        for i in ids:
-            out += bytes([byte[i]]) if i in byte else self.names[i].encode()
-        return out.decode(errors="replace").replace("▁", " ")
+        return b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace").replace("▁", " ")
 
 
 def normal(text: str) -> str:
@@ -248,15 +266,18 @@ def through(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
 
 
 _CHUNK = "rid long, chunk long, n int, text string"
-_OUT = "rid long, doc_id long, chunk long, n_chunks long, ids array<int>, weight double, intact boolean"
+_OUT = "rid long, doc_id long, chunk long, n_chunks long, n long, s1 long, s2 long, weight double, intact boolean"
 
 
-def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """(rid, doc_id, chunk, n_chunks, ids, weight, intact): the ids of each row of docs, in one row or, if it is longer than CHUNK
+def encoded(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
+    """(rid, doc_id, chunk, n_chunks, n, s1, s2, weight, intact, ids): the ids of each row of docs, in one row or, if it is longer than CHUNK
     characters, one for each chunk (rid tells rows of docs apart, weight is then that of the whole text in chunk 0 and 0 in the
-    others). intact says that the ids spell what they stand for. Null and empty texts have no ids (and are intact)."""
+    others). n is their number, s1 and s2 the sums of id + 1, and of that times its position from 1, modulo PRIME. intact
+    says that the ids spell what they stand for. Without with_ids the ids themselves are left out. Null and empty texts have no ids (and are intact)."""
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     small = F.length(F.coalesce("text", F.lit(""))) < CHUNK
+    schema = _OUT + (", ids array<int>" if with_ids else "")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _model(model)
@@ -264,14 +285,14 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             for part in row_slices(batch):
                 texts = part.column(2).fill_null("").to_pylist()
                 got = of.encode(texts)
-                flat = np.frombuffer(b"".join(x for x, _ in got), "<i4")
-                at = np.cumsum([0, *(len(x) // 4 for x, _ in got)])
+                flat = np.frombuffer(b"".join(got), "<i4")
+                at = np.cumsum([0, *(len(x) // 4 for x in got)])
                 n = part.num_rows
-                intact = [_intact(of, ids, t) for ids, t in zip((flat[b:e] for b, e in zip(at, at[1:], strict=False)), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)),
-                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)), pa.array([w for _, w in got], pa.float64()), pa.array(intact, pa.bool_()),
-                ], names=["rid", "doc_id", "chunk", "n_chunks", "ids", "weight", "intact"])
+                intact = np.ones(n, bool) if not of.broken else np.array([of.decode(flat[b:e].tolist()) == (f" {t}" if t else "") for b, e, t in zip(at, at[1:], texts, strict=False)])
+                cols = [part.column(0), part.column(1), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), *_sums(flat, at, of.by_id), pa.array(intact, pa.bool_())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = _model(model).longest - 1
@@ -315,12 +336,12 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             for r in batch.to_pylist():
                 ids = of.trace(r["text"], r["n"], r["enter"], r["leave"])
                 span = r["text"][r["enter"] : r["n"] + r["leave"]]
-                yield pa.RecordBatch.from_pydict({
-                    "rid": pa.array([r["rid"]], pa.int64()), "doc_id": pa.array([r["doc_id"]], pa.int64()), "chunk": pa.array([r["chunk"]], pa.int64()), "n_chunks": pa.array([r["n_chunks"]], pa.int64()),
-                    "ids": pa.array([ids], pa.list_(pa.int32())), "weight": pa.array([r["total"] if r["chunk"] == 0 else 0.0]), "intact": [of.decode(ids) == span.replace("▁", " ")],
-                })
+                n, s1, s2, _ = _sums(np.array(ids, np.int64), np.array([0, len(ids)]), of.by_id)
+                cols = [pa.array([r[c]], pa.int64()) for c in ("rid", "doc_id", "chunk", "n_chunks")]
+                cols += [n, s1, s2, pa.array([r["total"] if r["chunk"] == 0 else 0.0]), pa.array([of.decode(ids) == span.replace("▁", " ")])]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array([ids], pa.list_(pa.int32()))] if with_ids else []), names=names)
 
-    short = docs.where(small).mapInArrow(whole, _OUT)
+    short = docs.where(small).mapInArrow(whole, schema)
     giant = docs.where(~small)
     chunks = written(giant.mapInArrow(cut, _CHUNK), "chunks")
     spread = chunks.repartition("rid", "chunk")
@@ -333,7 +354,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     totals = of_run.select("rid", "total").distinct()
     counts = chunks.groupBy("rid").agg(F.count("*").alias("n_chunks"))
     about = giant.select("rid", "doc_id").join(counts, "rid").join(totals, "rid")
-    long = chunks.join(of_chunk, ["rid", "chunk"]).join(about, "rid").mapInArrow(trace, _OUT)
+    long = chunks.join(of_chunk, ["rid", "chunk"]).join(about, "rid").mapInArrow(trace, schema)
     return short.unionByName(long)
 
 
@@ -349,11 +370,18 @@ def times_vector(matrices: list[np.ndarray], enter: int, leave: int) -> float:
     return float(v[leave])
 
 
-def _intact(of: Pieces, ids: np.ndarray, text: str) -> bool:
-    if not hasattr(of, "spelled"):
-        byte = {i: bytes([b]) for b, i in of.bytes.items()}
-        of.spelled = [byte.get(i, p.encode()) for i, p in enumerate(of.names)]
-    return b"".join(map(of.spelled.__getitem__, ids.tolist())).replace("▁".encode(), b" ") == (b" " + text.replace("▁", " ").encode() if text else b"")
+def _sums(flat: np.ndarray, at: np.ndarray, by_id: np.ndarray) -> list[pa.Array]:
+    """Number of ids, the two sums modulo PRIME and the weight of each run flat[at[i]:at[i + 1]]."""
+    size = np.diff(at)
+    place = np.arange(len(flat)) - np.repeat(at[:-1], size) + 1
+    term = flat.astype(np.int64) + 1
+    full = np.flatnonzero(size > 0)
+    out = [np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(len(size))]
+    if len(full):
+        cut = at[:-1][full]
+        for k, v in enumerate((term, term * (place % PRIME) % PRIME, by_id[flat])):
+            out[k][full] = np.add.reduceat(v, cut)
+    return [pa.array(size.astype(np.int64)), pa.array(out[0] % PRIME), pa.array(out[1] % PRIME), pa.array(out[2])]
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
@@ -362,15 +390,12 @@ def piece_digest(docs: DataFrame, model: str) -> DataFrame:
     ids_digest is the sum of (id + 1) * position (from 1) modulo PRIME; decodes says that decoding the ids gives the text back.
     Null and empty texts: no tokens, digest 0, weight 0, decodes true. Repeated rows are encoded alike, each for itself.
     """
-    rows = encoded(docs, model)
-    one = rows.select(
-        "rid", "doc_id", "chunk", F.size("ids").cast("long").alias("n"), "weight", "intact",
-        F.expr(f"aggregate(ids, 0L, (a, x) -> (a + x + 1) % {PRIME}L)").alias("s1"),
-        F.expr(f"aggregate(ids, named_struct('i', 0L, 's', 0L), (a, x) -> named_struct('i', a.i + 1L, 's', (a.s + (x + 1L) * ((a.i + 1L) % {PRIME}L)) % {PRIME}L), a -> a.s)").alias("s2"),
-    )
-    doc = one.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("weight").alias("weight"), F.bool_and("intact").alias("decodes"), F.array_sort(F.collect_list(F.struct("chunk", "n", "s1", "s2"))).alias("parts"))
+    rows = encoded(docs, model, with_ids=False)
+    whole = rows.where("n_chunks = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("s2").alias("ids_digest"), "weight", F.col("intact").alias("decodes"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "n", "s1", "s2")))
+    doc = rows.where("n_chunks > 1").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("weight").alias("weight"), F.bool_and("intact").alias("decodes"), parts.alias("parts"))
     total = F.expr(f"aggregate(parts, named_struct('at', 0L, 's', 0L), (a, x) -> named_struct('at', a.at + x.n, 's', (a.s + x.s2 + (a.at % {PRIME}L) * x.s1) % {PRIME}L), a -> a.s)")
-    return doc.select("doc_id", "n_tokens", total.alias("ids_digest"), "weight", "decodes")
+    return whole.unionByName(doc.select("doc_id", "n_tokens", total.alias("ids_digest"), "weight", "decodes"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
