@@ -330,7 +330,7 @@ def test_queries_with_sql(spark):
     for f in glob.glob(f"{SF}/*.parquet"):
         c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     for name, sql in registry.SQL.items():
-        a, b = registry.QUERIES[name](spark, SF).toArrow(), c.execute(sql).fetch_arrow_table()
+        a, b = registry.QUERIES[name](spark, SF).toArrow(), c.execute(sql).to_arrow_table()
         names = sorted(a.column_names)
         assert names == sorted(b.column_names)
         assert sorted(map(repr, a.select(names).to_pylist())) == sorted(map(repr, b.select(names).to_pylist())), name
