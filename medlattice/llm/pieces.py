@@ -187,13 +187,12 @@ class Pieces:
         k = self.longest
         out = np.full((k, k), _NONE)
         more = min(k - 1, len(text) - n)
-        at = [i for i in cut_places(text[: n + 1]) if k - 1 <= i <= n]
-        if not at:
+        first, final = outer_cuts(text[: n + 1], k - 1)
+        if first is None:
             for s in range(min(k, n + 1)):
                 for t in range(more + 1):
                     out[s, t] = self.best(text, s, n + t, n)[0] if s < n else (0.0 if t == 0 else _NONE)
             return out
-        first, final = at[0], at[-1]
         enter = np.array([self.best(text, s, first)[0] for s in range(k)])
         through = float(self.by_id[self._ids(_segments(text[first:final]))].sum())
         leave = np.full(k, _NONE)
@@ -203,10 +202,9 @@ class Pieces:
 
     def trace(self, text: str, n: int, enter: int, leave: int) -> list[int]:
         """The ids of a chunk whose entry and exit are known."""
-        at = [i for i in cut_places(text[: n + 1]) if self.longest - 1 <= i <= n]
-        if not at or enter >= n:
+        first, final = outer_cuts(text[: n + 1], self.longest - 1)
+        if first is None or enter >= n:
             return self.spell(text, self.best(text, enter, n + leave, n)[1]) if enter < n else []
-        first, final = at[0], at[-1]
         out = self.spell(text, self.best(text, enter, first)[1])
         out += self._ids(_segments(text[first:final])).tolist()
         return out + (self.spell(text, self.best(text, final, n + leave, n)[1]) if final < n else [])
@@ -236,9 +234,26 @@ def cut_places(text: str) -> list[int]:
     return sorted({x for x in out if 0 < x < len(text)})
 
 
+def outer_cuts(text: str, least: int) -> tuple[int, int] | tuple[None, None]:
+    """The first and the last of the text's cut places from least on."""
+
+    def mark(find, *span: int) -> int:
+        i = find("▁", *span)
+        while i > 0 and text[i - 1] == "▁":
+            i = find("▁", i + 1) if find == text.find else find("▁", 0, i)
+        return i
+
+    n = len(text)
+    ahead = [i for i in (mark(text.find, max(least, 1)), text.find("\n", max(least, 1))) if 0 < i < n]
+    back = [i for i in (mark(text.rfind, 0, n), text.rfind("\n", 0, n)) if max(least, 1) <= i < n]
+    return (min(ahead), max(back)) if ahead and back else (None, None)
+
+
 def _segments(text: str) -> list[str]:
     """Keys of the segments between cut places of a normalised text; a key leaves out its first mark, or begins with a new line."""
-    at = [0, *cut_places(text), len(text)] if text else []
+    if "▁▁" not in text and "▁\n" not in text and text[-1:] != "▁":
+        return text.replace("\n", "▁\n").removeprefix("▁").split("▁") if text else []
+    at = [0, *cut_places(text), len(text)]
     parts = [text[b:e] for b, e in zip(at, at[1:], strict=False)]
     return [p if p[0] == "\n" else p[1:] for p in parts]
 
@@ -269,11 +284,17 @@ _CHUNK = "rid long, chunk long, n int, text string"
 _OUT = "rid long, doc_id long, chunk long, n_chunks long, n long, s1 long, s2 long, weight double, intact boolean"
 
 
-def encoded(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, model: str) -> DataFrame:
     """(rid, doc_id, chunk, n_chunks, n, s1, s2, weight, intact, ids): the ids of each row of docs, in one row or, if it is longer than CHUNK
     characters, one for each chunk (rid tells rows of docs apart, weight is then that of the whole text in chunk 0 and 0 in the
     others). n is their number, s1 and s2 the sums of id + 1, and of that times its position from 1, modulo PRIME. intact
-    says that the ids spell what they stand for. Without with_ids the ids themselves are left out. Null and empty texts have no ids (and are intact)."""
+    says that the ids spell what they stand for. Null and empty texts have no ids (and are intact)."""
+    short, long = _encoded(docs, model, with_ids=True)
+    return short.unionByName(long)
+
+
+def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """encoded() of the documents of one chunk, and of the others; without with_ids the ids themselves are left out."""
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     small = F.length(F.coalesce("text", F.lit(""))) < CHUNK
     schema = _OUT + (", ids array<int>" if with_ids else "")
@@ -355,7 +376,7 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     counts = chunks.groupBy("rid").agg(F.count("*").alias("n_chunks"))
     about = giant.select("rid", "doc_id").join(counts, "rid").join(totals, "rid")
     long = chunks.join(of_chunk, ["rid", "chunk"]).join(about, "rid").mapInArrow(trace, schema)
-    return short.unionByName(long)
+    return short, long
 
 
 def _matrices(g: pa.Table) -> list[np.ndarray]:
@@ -390,10 +411,10 @@ def piece_digest(docs: DataFrame, model: str) -> DataFrame:
     ids_digest is the sum of (id + 1) * position (from 1) modulo PRIME; decodes says that decoding the ids gives the text back.
     Null and empty texts: no tokens, digest 0, weight 0, decodes true. Repeated rows are encoded alike, each for itself.
     """
-    rows = encoded(docs, model, with_ids=False)
-    whole = rows.where("n_chunks = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("s2").alias("ids_digest"), "weight", F.col("intact").alias("decodes"))
+    short, long = _encoded(docs, model, with_ids=False)
+    whole = short.select("doc_id", F.col("n").alias("n_tokens"), F.col("s2").alias("ids_digest"), "weight", F.col("intact").alias("decodes"))
     parts = F.array_sort(F.collect_list(F.struct("chunk", "n", "s1", "s2")))
-    doc = rows.where("n_chunks > 1").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("weight").alias("weight"), F.bool_and("intact").alias("decodes"), parts.alias("parts"))
+    doc = long.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("weight").alias("weight"), F.bool_and("intact").alias("decodes"), parts.alias("parts"))
     total = F.expr(f"aggregate(parts, named_struct('at', 0L, 's', 0L), (a, x) -> named_struct('at', a.at + x.n, 's', (a.s + x.s2 + (a.at % {PRIME}L) * x.s1) % {PRIME}L), a -> a.s)")
     return whole.unionByName(doc.select("doc_id", "n_tokens", total.alias("ids_digest"), "weight", "decodes"))
 
