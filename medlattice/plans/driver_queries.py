@@ -449,3 +449,141 @@ def idempotent_landing(spark, sf):
 def emission_ids(spark, sf):
     w = Window.orderBy("o_orderdate", "o_orderkey")
     return read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.format_string("Q%05d", F.row_number().over(w)).alias("query_id"), "o_orderkey")
+
+
+@query("""
+select c_custkey, case when a < 18 then '00-17' when a < 45 then '18-44' when a < 65 then '45-64' when a < 80 then '65-79' else '80+' end as age_band from (select c_custkey, 2026 - (1930 + c_custkey % 90) as a from customer)""")
+def age_bands(spark, sf):
+    birth = F.make_date((1930 + F.col("c_custkey") % 90).cast("int"), F.lit(7), F.lit(1))
+    return read(spark, sf, "customer").select("c_custkey", C.age_band(birth, F.lit("2026-08-01").cast("date")).alias("age_band"))
+
+
+@query("""
+with r as (select event_id, case event_id % 5 when 0 then 'Patient/' || user_id when 1 then 'https://h.example/fhir/Patient/' || user_id when 2 then 'Practitioner?identifier=sys|' || user_id when 3 then 'urn:uuid:' || user_id else event_type end as ref, user_id, event_id % 5 as k from events)
+select event_id, case k when 0 then 'literal' when 1 then 'absolute' when 2 then 'conditional' when 3 then 'urn' else 'unparseable' end as kind, case when k in (0, 1, 3) then cast(user_id as varchar) end as target, case when k = 2 then 'sys' end as id_system, case when k = 2 then cast(user_id as varchar) end as id_value from r""")
+def reference_parser(spark, sf):
+    u = F.col("user_id").cast("string")
+    ref = F.element_at(F.array(F.concat(F.lit("Patient/"), u), F.concat(F.lit("https://h.example/fhir/Patient/"), u), F.concat(F.lit("Practitioner?identifier=sys|"), u), F.concat(F.lit("urn:uuid:"), u), F.col("event_type")), (F.col("event_id") % 5 + 1).cast("int"))
+    system, value = C.conditional_reference(F.col("ref"))
+    return read(spark, sf, "events").withColumn("ref", ref).select("event_id", C.reference_kind(F.col("ref")).alias("kind"), C.literal_reference(F.col("ref")).alias("target"), system.alias("id_system"), value.alias("id_value"))
+
+
+@query("""
+select o_orderstatus as class_code, o_orderkey % 12 as k, case o_orderkey % 12 when 0 then 'Inpatient' when 1 then 'Inpatient' when 2 then 'Inpatient' when 3 then 'Emergency' when 4 then 'Ambulatory' when 5 then 'Ambulatory' when 6 then 'Ambulatory' when 7 then 'Ambulatory' when 8 then 'Virtual' when 9 then 'Home' when 10 then 'Other' else 'Unknown' end as care_setting, count(*) as n from orders group by 1, 2, 3""")
+def care_settings(spark, sf):
+    codes = ["IMP", "ACUTE", "NONAC", "EMER", "AMB", "OBSENC", "PRENC", "SS", "VR", "HH", "FLD", "?"]
+    o = read(spark, sf, "orders").withColumn("k", F.col("o_orderkey") % 12)
+    code = F.element_at(F.array(*(F.lit(c) for c in codes)), (F.col("k") + 1).cast("int"))
+    return o.groupBy(F.col("o_orderstatus").alias("class_code"), "k", C.care_setting(code).alias("care_setting")).agg(F.count("*").alias("n"))
+
+
+@query("""
+with s as (select o_orderkey, o_custkey, cast(o_orderdate as date) as d, o_orderkey % 60 as off, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as visit from orders),
+b as (select o_custkey, d as baseline from s where visit = 1), w(visit, day, win) as (values (1, 1, 0), (2, 28, 3), (3, 84, 5), (4, 168, 7))
+select o_orderkey, s.visit, abs(date_diff('day', baseline + cast(day - 1 as integer), d)) - win as days_outside from s join b using (o_custkey) join w using (visit) where abs(date_diff('day', baseline + cast(day - 1 as integer), d)) > win""")
+def visit_windows(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    s = read(spark, sf, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("d"), F.row_number().over(w).alias("visit"))
+    base = s.where("visit = 1").select("o_custkey", F.col("d").alias("baseline"))
+    plan = spark.createDataFrame([(1, 1, 0), (2, 28, 3), (3, 84, 5), (4, 168, 7)], "visit int, day int, win int")
+    v = s.join(base, "o_custkey").join(F.broadcast(plan), "visit").withColumn("off", F.abs(F.datediff("d", F.date_add("baseline", F.col("day") - 1))))
+    return v.where("off > win").select("o_orderkey", F.col("visit").cast("long").alias("visit"), (F.col("off") - F.col("win")).cast("long").alias("days_outside"))
+
+
+@query("""
+select c_custkey as subject, cast(row_number() over (partition by c_custkey order by cast(o_orderdate as date), o_orderpriority, o_orderkey) as bigint) as aeseq, o_orderkey from customer join orders on o_custkey = c_custkey where o_orderpriority != ''""")
+def event_sequence(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy(day("o_orderdate"), "o_orderpriority", "o_orderkey")
+    o = read(spark, sf, "orders").where("o_orderpriority != ''").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return o.select(F.col("o_custkey").alias("subject"), F.row_number().over(w).cast("long").alias("aeseq"), "o_orderkey")
+
+
+@query("""
+select 'LANG is required' as rule, count(*) as records from documents where coalesce(trim(lang), '') = '' having count(*) > 0
+union all select 'DTC must be ISO 8601', count(*) from (select case when event_id % 100 = 0 then strftime(ts, '%d.%m.%Y') else strftime(ts, '%Y-%m-%d') end as d from events) where not regexp_matches(d, '^.{4}-.{2}-.{2}$') having count(*) > 0
+union all select 'SEQ must be unique', cast(sum(n - 1) as bigint) from (select count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1) having sum(n - 1) > 0""")
+def conformance(spark, sf):
+    rule = lambda name, df, c: df.agg(c.cast("long").alias("records")).where("records > 0").select(F.lit(name).alias("rule"), "records")
+    d = F.when(F.col("event_id") % 100 == 0, F.date_format("ts", "dd.MM.yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return (
+        rule("LANG is required", read(spark, sf, "documents").where(C.blank(F.col("lang"))), F.count("*"))
+        .unionByName(rule("DTC must be ISO 8601", read(spark, sf, "events").where(~d.rlike(r"^.{4}-.{2}-.{2}$")), F.count("*")))
+        .unionByName(rule("SEQ must be unique", tables.duplicates(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]), F.sum(F.col("n_rows") - 1)))
+    )
+
+
+@query("""
+select 'negative balance' as failure, cast(c_custkey as varchar) as member from customer where c_acctbal < -900
+union all select 'future order', cast(o_orderkey as varchar) from orders where cast(o_orderdate as date) > date '2001-07-25'
+union all select 'discount over tax', cast(l_orderkey as varchar) from lineitem where l_discount > 0.09 and l_tax < 0.01""")
+def plausibility(spark, sf):
+    said = lambda df, failure, key: df.select(F.lit(failure).alias("failure"), F.col(key).cast("string").alias("member"))
+    return (
+        said(read(spark, sf, "customer").where("c_acctbal < -900"), "negative balance", "c_custkey").unionByName(said(read(spark, sf, "orders").where(day("o_orderdate") > "2001-07-25"), "future order", "o_orderkey"))
+        .unionByName(said(read(spark, sf, "lineitem").where("l_discount > 0.09 and l_tax < 0.01"), "discount over tax", "l_orderkey"))
+    )
+
+
+@query("""
+with l as (select o_custkey % 10 as site, case when o_orderstatus = 'O' then null else o_orderkey % 40 end as days from orders)
+select site, count(*) as queries_raised, count(*) filter (days is null) as queries_open, count(days) as queries_closed, round(cast(count(days) as double) / count(*), 4) as close_rate, list_sort(list(days) filter (days is not null))[cast(count(days) // 2 as bigint) + 1] as median_days from l group by site""")
+def site_performance(spark, sf):
+    l = read(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("site"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey") % 40).alias("days"))
+    return l.groupBy("site").agg(F.count("*").alias("queries_raised"), F.count_if(F.col("days").isNull()).alias("queries_open"), F.count("days").alias("queries_closed"), C.ratio(F.count("days"), F.count("*"), 4).alias("close_rate"), measures.upper_median("days").alias("median_days"))
+
+
+@query("""
+select case when a <= 7 then '0-7 days' when a <= 14 then '8-14 days' when a <= 30 then '15-30 days' when a <= 60 then '31-60 days' else 'over 60 days' end as age_band, count(*) as n from (select date_diff('day', cast(o_orderdate as date), date '2001-08-01') as a from orders) group by 1""")
+def query_ageing(spark, sf):
+    from ..operators.edc import age_band
+
+    return read(spark, sf, "orders").groupBy(age_band(F.datediff(F.lit("2001-08-01").cast("date"), day("o_orderdate"))).alias("age_band")).agg(F.count("*").alias("n"))
+
+
+@query("""
+select o_custkey, first_order, first_priority from (select o_custkey, o_orderkey as first_order, o_orderpriority as first_priority, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as p from orders) where p = 1""")
+def first_by_group(spark, sf):
+    o = read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("first_order"), F.col("o_orderpriority").alias("first_priority"), "o_orderdate")
+    return tables.first_by(o, ["o_custkey"], F.struct("o_orderdate", "first_order"), ["first_order", "first_priority"])
+
+
+@query("""
+select conv_id, role, texts[cast(len(texts) as bigint)] as last_text, len(texts) as n from (select conv_id, role, list(text order by turn, text) as texts from conversations group by 1, 2)""")
+def pivot_last_wins(spark, sf):
+    return read(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.max_by("text", F.struct("turn", "text")).alias("last_text"), F.count("*").alias("n"))
+
+
+@query("""
+select 'encounters' as measure, cast(count(*) as double) as value from orders union all select 'patients', cast(count(distinct o_custkey) as double) from orders union all select 'finished share', round(cast(count(*) filter (o_orderstatus = 'F') as double) / count(*), 6) from orders
+union all select 'median price', round(quantile_cont(o_totalprice, 0.5), 6) from orders""")
+def bi_measures(spark, sf):
+    o = read(spark, sf, "orders")
+    both = o.agg(F.count("*").cast("double").alias("encounters"), F.countDistinct("o_custkey").cast("double").alias("patients"), C.ratio(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("finished share"), F.round(F.expr("percentile_cont(0.5) within group (order by o_totalprice)"), 6).alias("median price"))
+    return both.unpivot([], ["encounters", "patients", "finished share", "median price"], "measure", "value")
+
+
+@query("""
+select 'orders' as source, count(*) as n_rows from orders union all select 'customer', count(*) from customer union all select 'events', count(*) from events""")
+def source_ledger(spark, sf):
+    from ..operators.release import source_ledger as ledger
+
+    return ledger({n: read(spark, sf, n) for n in ("orders", "customer", "events")})
+
+
+@query("""
+select 'event_type' as constraint_name, 'events' as table_name, count(*) as n_rows from events where event_type not in ('click', 'view') having count(*) > 0
+union all select 'c_nationkey -> nation', 'customer', count(*) from customer where c_nationkey not in (select n_nationkey from nation where n_nationkey < 20) having count(*) > 0""")
+def declared_constraints(spark, sf):
+    e = read(spark, sf, "events").where(~F.col("event_type").isin("click", "view"))
+    c = tables.orphans(read(spark, sf, "customer"), "c_nationkey", read(spark, sf, "nation").where("n_nationkey < 20"), "n_nationkey")
+    row = lambda df, name, table: df.agg(F.count("*").alias("n_rows")).where("n_rows > 0").select(F.lit(name).alias("constraint_name"), F.lit(table).alias("table_name"), "n_rows")
+    return row(e, "event_type", "events").unionByName(row(c, "c_nationkey -> nation", "customer"))
+
+
+@query("""
+select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, cast(sum(cast(value as decimal(18,4))) as double) as total from events group by 1, 2""")
+def event_windows(spark, sf):
+    """The streaming window count, over the table as a batch."""
+    from ..streaming.landing import counts_by_window
+
+    return counts_by_window(read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("value", F.col("value").cast("decimal(18,4)"))).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.col("total").cast("double").alias("total"))

@@ -305,3 +305,11 @@ def test_codings_are_numbered(spark):
     c = shred.codings(spark.createDataFrame(docs, "resource_type string, resource_id string, payload string"))
     own = c.where("resource_id = 'p0-o0a'").orderBy("coding_seq").collect()
     assert [(r.coding_seq, r.code) for r in own] == [(1, "33747003"), (2, "2339-0")]
+
+
+def test_lineage_names_real_columns(built):
+    from medlattice.operators import constraints, lineage
+
+    _, t, _ = built
+    assert lineage.broken(t) == []
+    assert ("encounter", "patient_id", "string", "references patient.patient_id") in constraints.catalog(t)
