@@ -280,7 +280,7 @@ def through(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
     return states[::-1]
 
 
-_CHUNK = "rid long, chunk long, n int, text string"
+_CHUNK = "rid long, doc_id long, chunk long, n_chunks long, n int, text string"
 _OUT = "rid long, doc_id long, chunk long, n_chunks long, n long, s1 long, s2 long, weight double, intact boolean"
 
 
@@ -318,11 +318,14 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = _model(model).longest - 1
         for batch in batches:
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = normal(text)
-                for k, i in enumerate(range(0, len(text), CHUNK)):
-                    own = text[i : i + CHUNK + more]
-                    yield pa.RecordBatch.from_pydict({"rid": pa.array([rid], pa.int64()), "chunk": pa.array([k], pa.int64()), "n": pa.array([min(CHUNK, len(text) - i)], pa.int32()), "text": pa.array([own])})
+                begins = range(0, len(text), CHUNK)
+                for k, i in enumerate(begins):
+                    yield pa.RecordBatch.from_pydict({
+                        "rid": pa.array([rid], pa.int64()), "doc_id": pa.array([doc], pa.int64()), "chunk": pa.array([k], pa.int64()), "n_chunks": pa.array([len(begins)], pa.int64()),
+                        "n": pa.array([min(CHUNK, len(text) - i)], pa.int32()), "text": pa.array([text[i : i + CHUNK + more]]),
+                    })
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _model(model)
@@ -363,9 +366,8 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array([ids], pa.list_(pa.int32()))] if with_ids else []), names=names)
 
     short = docs.where(small).mapInArrow(whole, schema)
-    giant = docs.where(~small)
-    chunks = written(giant.mapInArrow(cut, _CHUNK), "chunks")
-    spread = chunks.repartition("rid", "chunk")
+    chunks = written(docs.where(~small).mapInArrow(cut, _CHUNK), "chunks")  # rows are numbered once
+    spread = chunks.select("rid", "chunk", "n", "text").repartition("rid", "chunk")
     matrices = written(spread.mapInArrow(weigh, "rid long, chunk long, matrix binary").withColumn("run", F.expr(f"chunk div {RUN}")), "matrices")
     runs = matrices.repartition("rid", "run").sortWithinPartitions("rid", "run", "chunk").mapInArrow(product, "rid long, run long, matrix binary")
     of_run = runs.repartition("rid").sortWithinPartitions("rid", "run").mapInArrow(states(["rid"], []), "rid long, run long, enter int, leave int, total double")
@@ -373,9 +375,7 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
     inner = matrices.join(of_run, ["rid", "run"]).repartition("rid", "run").sortWithinPartitions("rid", "run", "chunk")
     of_chunk = inner.mapInArrow(states(["rid", "run"], ["run_enter", "run_leave"]), "rid long, chunk long, enter int, leave int, total double").drop("total")
     totals = of_run.select("rid", "total").distinct()
-    counts = chunks.groupBy("rid").agg(F.count("*").alias("n_chunks"))
-    about = giant.select("rid", "doc_id").join(counts, "rid").join(totals, "rid")
-    long = chunks.join(of_chunk, ["rid", "chunk"]).join(about, "rid").mapInArrow(trace, schema)
+    long = chunks.join(of_chunk, ["rid", "chunk"]).join(totals, "rid").mapInArrow(trace, schema)
     return short, long
 
 
