@@ -47,6 +47,18 @@ class UrlTransport:
             return Reply(e.code, e.read().decode(errors="replace"), e.headers.get("Retry-After"))
 
 
+class FileTransport:
+    """Pages from a folder: file:///folder/Patient is Patient.json there; query texts are left out."""
+
+    def get(self, url: str) -> Reply:
+        path = urllib.parse.urlparse(url).path
+        try:
+            with open(path if path.endswith(".json") else f"{path}.json", encoding="utf-8") as f:
+                return Reply(200, f.read())
+        except FileNotFoundError:
+            return Reply(404, "")
+
+
 def delay(attempt: int, retry_after: str | None, draw: Callable[[], float] = random.random) -> float:
     """Seconds before the next attempt: a numeric Retry-After wins, else full jitter below a doubling cap."""
     if retry_after and retry_after.strip().isdigit():

@@ -313,3 +313,22 @@ def test_lineage_names_real_columns(built):
     _, t, _ = built
     assert lineage.broken(t) == []
     assert ("encounter", "patient_id", "string", "references patient.patient_id") in constraints.catalog(t)
+
+
+def test_sql_functions_are_inlined(spark):
+    from medlattice.functions import sql
+
+    sql.register(spark)
+    df = spark.sql("select reference_id(concat('Patient/', t.id)) as a, coded_term(' Ab-c! ') as t, r.id as b from range(3) t, lateral reference_ids(concat('X/', t.id)) r")
+    assert sorted(map(tuple, df.collect())) == [("0", "abc", "0"), ("1", "abc", "1"), ("2", "abc", "2")]
+    assert "PythonUDF" not in df._jdf.queryExecution().toString()
+
+
+def test_rest_data_source(spark, tmp_path):
+    bundle = lambda ids, nxt: json.dumps({"resourceType": "Bundle", "link": [{"relation": "next", "url": nxt}] if nxt else [], "entry": [{"resource": {"resourceType": "Patient", "id": i}} for i in ids]})
+    (tmp_path / "Patient.json").write_text(bundle(["a", "b"], f"file://{tmp_path}/Patient-2.json"))
+    (tmp_path / "Patient-2.json").write_text(bundle(["c"], None))
+    spark.dataSource.register(rest.RestSearch)
+    rows = spark.read.format("rest_search").option("base_url", f"file://{tmp_path}").option("types", "Patient").option("transport", "medlattice.sources.rest.FileTransport").load()
+    assert sorted(json.loads(r.payload)["id"] for r in rows.collect()) == ["a", "b", "c"]
+    assert rows.where("mode = 'match'").count() == 3
