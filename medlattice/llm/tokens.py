@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +26,10 @@ from .common import fresh_path, row_slices, table, written
 NO_ID = -(1 << 63)
 #: Words kept with their ids in a worker; the cache is emptied when full.
 CACHE_WORDS = 900_000
+#: Text bytes whose distinct words are looked up together.
+WORD_BYTES = 8_000_000
+#: What may close a word: no white space, letter, digit, apostrophe or mark that joins the character before.
+POINTS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 _WORKER: dict = {}
 
@@ -33,7 +38,7 @@ class WordEncoder:
     """The tokenizer's ids of whole texts.
 
     With words_apart (for tokenizers that lower-case, drop white space, never merge across it, and set letters apart from other
-    characters) each distinct word is encoded once per worker, capitals and a closing point or comma apart; words are sent to the
+    characters) each distinct word is encoded once per worker, capitals and closing points apart; words are sent to the
     library many at a time, set apart by a special token.
     """
 
@@ -50,6 +55,7 @@ class WordEncoder:
         self.ends = np.zeros(1 << 16 if self.dtype.itemsize == 2 else self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.lettered = bool(self.ends.any())
         self.known: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -58,8 +64,8 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         odd = [w for w in words if "<|" in w]
         self.known.update(zip(odd, self._raw(odd), strict=True))
-        letters = [w for w in words if w.isalpha()] if self.ends.any() else []  # one end of word in each
-        rest = [w for w in words if "<|" not in w and not (self.ends.any() and w.isalpha())]
+        letters = [w for w in words if w.isalpha()] if self.lettered else []  # one end of word in each
+        rest = [w for w in words if "<|" not in w and not (self.lettered and w.isalpha())]
         for part, between in [(letters[i : i + 500], " ") for i in range(0, len(letters), 500)] + [(rest[i : i + 500], self.between) for i in range(0, len(rest), 500)]:
             ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, self.dtype)
             if between == " ":
@@ -75,33 +81,42 @@ class WordEncoder:
             self.known.update(zip(part, [raw[b * size : e * size] for b, e in zip(begin.tolist(), end.tolist(), strict=True)], strict=True))
 
     def _learn_forms(self, words: list[str]) -> None:
-        """Learns words by their lower-case form without a closing point or comma after a letter."""
+        """Learns words by their lower-case form, with the points after a closing letter apart."""
         known = self.known
         forms = []
         for w in words:
-            tail = w[-1] if w and w[-1] in ".," and w[-2:-1].isalpha() else ""
-            base = w[:-1] if tail else w
-            if base and max(base) < "\u0180" and "\u0130" not in base:  # beyond, lower case may depend on the library
+            base = w.rstrip(POINTS)
+            if len(base) < len(w) and (not base[-1:].isalpha() or base[-1] > "\u0180" or base[-1] == "\u0130" or "<|" in w):
+                base = w  # a letter that normalises to a letter and a mark would leave the mark with the points
+            tail = w[len(base) :]
+            if base.isascii() or (max(base) < "\u0180" and "\u0130" not in base):  # beyond, lower case may depend on the library
                 base = base.lower()
             forms.append((w, base, tail))
         self._learn(list({x for _, base, tail in forms for x in (base, tail) if x not in known}))
         for w, base, tail in forms:
             known[w] = known[base] + known[tail]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """The ids of each text of a column without nulls.
+
+        The distinct words of the column are looked up once each; the ids of all words are then one take, and those of a text
+        are a slice of it.
+        """
         if not self.apart:
-            return self._raw(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh: set[str] = set()
-        for words in split:
-            fresh.update(words)
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            self.known[""] = b""
+            return pa.array(self._raw(texts.to_pylist()), pa.large_binary())
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        self._learn_forms([w for w in fresh if w not in known])
-        look = known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        fresh = [w for w in words if w not in known]
+        if len(known) + len(fresh) > CACHE_WORDS:
+            known.clear()
+            known[""] = b""
+            fresh = words
+        self._learn_forms(fresh)
+        flat = pa.array([known[w] for w in words], pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)[np.asarray(split.offsets)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), flat.buffers()[2]])
 
 
 def _encoder(path: str, words_apart: bool) -> WordEncoder:
@@ -130,9 +145,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, words_apart: bool
         begin, ids, at = [], [], 0
         with fs.open_output_stream(f"{path}.tokens") as out:
             for batch in batches:
-                for part in row_slices(batch):
-                    texts = part.column(1).fill_null("").to_pylist()
-                    coded = of(texts)
+                for part in row_slices(batch, most=WORD_BYTES):
+                    coded = of(part.column(1).fill_null("")).to_pylist()
                     ids.append(part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy())
                     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // of.dtype.itemsize + 1
                     begin.append(at + np.cumsum(sizes) - sizes)

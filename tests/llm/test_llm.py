@@ -83,6 +83,18 @@ def test_tokens_equal_the_library(spark, odd):
     assert tokens.read_tokens(tokens.write_tokens(docs.where("1 = 0"), path, 2)).count() == 0
 
 
+def test_words_apart_equal_the_library_on_odd_texts():
+    import random
+
+    of = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), words_apart=True)
+    rng = random.Random(1)
+    parts = ["a", "B", "é", "É", "İ", "ß", "'s", "'re", "'", ".", ",", "$", "%%", "<|", "|>", "<|endoftext|>", " ", "\n", "\t", "\x0b", "\u00a0", "\u2028", "\u0301", "\u0338", "\u0958", "1", "²", "Ⅷ", "中", "한", "=", "`", "^", "ǅ", "ª", "🙂", ";"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20_000)]
+    got = of(pa.array(texts)).to_pylist()
+    assert [t for t, a, b in zip(texts, got, of._raw(texts), strict=True) if a != b] == []
+    assert of(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_line_groups(spark, odd):
     a = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar papa"
     near = [a, a.upper() + "!", a.replace("papa", "papas"), "short line", "short line"]
