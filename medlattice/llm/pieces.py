@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from .common import groups, row_slices, table, written
 CHUNK, RUN = 16_384, 256
 #: Segments kept with their ids in a worker.
 CACHE = 700_000
+#: Text bytes whose distinct segments are looked up together.
+SEGMENT_BYTES = 4_000_000
 #: The digest's modulus.
 PRIME = (1 << 31) - 1
 _NONE = -np.inf
@@ -158,28 +161,40 @@ class Pieces:
                     begin = i
             self.known[key] = b"".join(out)
 
-    def _room(self, fresh: int) -> None:
-        if len(self.known) + fresh > CACHE:
-            self.known.clear()
-        if len(self.solved) + fresh > CACHE:
+    def _know(self, keys: list[str]) -> None:
+        """Makes all keys (each given once) known; caches are emptied when full."""
+        fresh = [k for k in keys if k not in self.known]
+        if len(self.solved) + len(fresh) > CACHE:
             self.solved.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids (int32, little-endian) of each text. No piece reaches over a new line or from a word over the space behind it, so a
-        text falls into segments that are solved once for each worker; each is decoded once to see that it gives its text back."""
-        split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
-        fresh: set[str] = set()
-        for t, keys in zip(texts, split, strict=True):
-            if "  " in t or "▁" in t or t[:1] == " " or t[-1:] == " " or " \n" in t:
-                keys[:] = _segments(normal(t))
-            fresh.update(keys)
-        self._room(len(fresh))
-        self._learn([k for k in fresh if k not in self.known])
-        return [b"".join(map(self.known.__getitem__, keys)) for keys in split]
+        if len(self.known) + len(fresh) > CACHE:
+            self.known.clear()
+            fresh = keys
+        self._learn(fresh)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids (int32, little-endian) of each text of a column without nulls. No piece reaches over a new line or from a word over
+        the space behind it, so a text falls into segments: the distinct ones of the column are looked up once each and solved
+        once for each worker; each is decoded once to see that it gives its text back."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))
+        for x in ("  ", "▁", " \n"):
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0))
+        split = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")
+        coded = split.values.dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        apart = [_segments(normal(t)) for t in texts.filter(odd).to_pylist()]
+        self._know(list({*keys, *(k for own in apart for k in own)}))
+        known = self.known
+        flat = pa.array([known[k] for k in keys], pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)[np.asarray(split.offsets)].tolist()
+        raw = flat.buffers()[2].to_pybytes() if len(flat) else b""
+        plain = (raw[b:e] for b, e in zip(at, at[1:], strict=False))
+        hard = (b"".join(map(known.__getitem__, own)) for own in apart)
+        return [next(hard) if o else next(plain) for o in odd.to_pylist()]
 
     def _ids(self, keys: list[str]) -> np.ndarray:
-        self._room(len(keys))
-        self._learn([k for k in dict.fromkeys(keys) if k not in self.known])
+        self._know(list(dict.fromkeys(keys)))
         return np.frombuffer(b"".join(self.known[k] for k in keys), "<i4")
 
     def matrix(self, text: str, n: int) -> np.ndarray:
@@ -303,13 +318,13 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _model(model)
         for batch in batches:
-            for part in row_slices(batch):
-                texts = part.column(2).fill_null("").to_pylist()
+            for part in row_slices(batch, most=SEGMENT_BYTES):
+                texts = part.column(2).fill_null("")
                 got = of.encode(texts)
                 flat = np.frombuffer(b"".join(got), "<i4")
                 at = np.cumsum([0, *(len(x) // 4 for x in got)])
                 n = part.num_rows
-                intact = np.ones(n, bool) if not of.broken else np.array([of.decode(flat[b:e].tolist()) == (f" {t}" if t else "") for b, e, t in zip(at, at[1:], texts, strict=False)])
+                intact = np.ones(n, bool) if not of.broken else np.array([of.decode(flat[b:e].tolist()) == (f" {t}" if t else "") for b, e, t in zip(at, at[1:], texts.to_pylist(), strict=False)])
                 cols = [part.column(0), part.column(1), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), *_sums(flat, at, of.by_id), pa.array(intact, pa.bool_())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))

@@ -277,7 +277,7 @@ def test_chunks_weigh_the_same(spark, odd, model, monkeypatch):
         ids = [i for r in sorted(rows, key=lambda r: r.chunk) for i in r.ids]
         assert all(r.intact for r in rows)
         said[model.decode(ids), round(sum(r.weight for r in rows), 3)] += 1
-    want = collections.Counter((f" {t}" if t else "", round(float(model.by_id[np.frombuffer(model.encode([t])[0], "<i4")].sum()), 3)) for t in texts)
+    want = collections.Counter((f" {t}" if t else "", round(float(model.by_id[np.frombuffer(model.encode(pa.array([t]))[0], "<i4")].sum()), 3)) for t in texts)
     assert said == want
     digest = pieces.piece_digest(odd, path)
     assert digest.where("not decodes").count() == 0 and digest.count() == len(texts)
