@@ -127,6 +127,32 @@ def test_line_groups(spark, odd):
     assert left[4] is None and left[14] == "1 2 3 4 5 6 7" and a not in (left.get(1) or "").lower()
 
 
+def test_line_pairs_against_edit_similarity_alone(spark):
+    """Lines with words replaced or misspelt: every pair of edit similarity 0.8 is compared, however many bits its SimHashes differ in."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(150):
+        w = [x + "".join("abcdefghij"[k] for k in rng.integers(0, 10, 4)) for x in prose(500 + i, 6 + i % 40).split()]
+        texts.append(" ".join(w))
+        if i % 2:
+            for k in rng.permutation(len(w))[: max(1, len(w) // 12)]:
+                w[k] = "".join("abcdefghij"[c] for c in rng.integers(0, 10, len(w[k])))
+        else:
+            w[2] = "qq" + w[2][2:]
+            w[4] = w[4][:-1] + "z"
+        texts.append(" ".join(w))
+    # B and C are alike, A has the words of both in another order: all three may have one SimHash.
+    w = prose(900, 24).split()
+    texts += [" ".join(reversed(w)), " ".join(w), " ".join([w[1], w[0], *w[2:]])]
+    pairs = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if lines.alike(a, b)]
+    sims = [int(lines.line_hashes(pa.array([x]))[4][0]) for x in texts]
+    assert len(pairs) >= 151 and np.mean([bin(sims[i] ^ sims[j]).count("1") <= 3 for i, j in pairs]) < 0.7
+    group = unions(pairs, range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in lines.line_digest(docs).collect() if r.removed}
+    assert got == {i for i, root in group.items() if i != root}
+
+
 def test_edits():
     rng = np.random.default_rng(5)
     for _ in range(200):
