@@ -153,6 +153,12 @@ def test_line_pairs_against_edit_similarity_alone(spark):
     assert got == {i for i, root in group.items() if i != root}
 
 
+def test_short_lines_lose_exact_repeats_only(spark):
+    texts = ["Back to top\n\nfirst text here", "other one\nback  to TOP!", "back to tip\n--\n", "back to top", "\n--\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in lines.line_digest(docs).collect()} == {0: [], 1: [1], 2: [], 3: [0], 4: []}
+
+
 def test_edits():
     rng = np.random.default_rng(5)
     for _ in range(200):
