@@ -98,7 +98,7 @@ class Pieces:
         self.spelled = [byte.get(i, p.encode()) for i, p in enumerate(self.names)]
         self.known: dict[str, bytes] = {}
         self.solved: dict[str, bytes] = {}
-        self.broken: set[str] = set()
+        self.spellings = pa.array(self.spelled, pa.large_binary())
 
     def best(self, text: str, begin: int, end: int, last: int | None = None) -> tuple[float, list[int]]:
         """Weight and cut positions of the best path from begin to end; with last, its last piece begins before last. Of equal
@@ -154,8 +154,6 @@ class Pieces:
                     ids = solved.get(part)
                     if ids is None:
                         found = self.spell(part, self.best(part, 0, len(part))[1])
-                        if b"".join(map(self.spelled.__getitem__, found)) != part.encode():
-                            self.broken.add(part)
                         ids = solved[part] = np.array(found, "<i4").tobytes()
                     out.append(ids)
                     begin = i
@@ -174,7 +172,7 @@ class Pieces:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids (int32, little-endian) of each text of a column without nulls. No piece reaches over a new line or from a word over
         the space behind it, so a text falls into segments: the distinct ones of the column are looked up once each and solved
-        once for each worker; each is decoded once to see that it gives its text back."""
+        once for each worker."""
         texts = texts.cast(pa.large_string())
         odd = pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))
         for x in ("  ", "▁", " \n"):
@@ -193,6 +191,15 @@ class Pieces:
         hard = (b"".join(map(known.__getitem__, own)) for own in apart)
         return [next(hard) if o else next(plain) for o in odd.to_pylist()]
 
+    def intact(self, flat: np.ndarray, at: np.ndarray, texts: pa.Array) -> pa.Array:
+        """Whether the ids flat[at[i]:at[i + 1]], decoded to bytes, are the normalised text i; all texts are decoded at once."""
+        got = self.spellings.take(pa.array(flat))
+        ends = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)[at] if len(got) else np.zeros(len(at), np.int64)
+        spelled = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), (len(got) and got.buffers()[2]) or pa.py_buffer(b"")])
+        texts = texts.cast(pa.large_string())
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar("▁", pa.large_string())), " ", "▁")
+        return pc.equal(spelled, pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), marked).cast(pa.large_binary()))
+
     def _ids(self, keys: list[str]) -> np.ndarray:
         self._know(list(dict.fromkeys(keys)))
         return np.frombuffer(b"".join(self.known[k] for k in keys), "<i4")
@@ -324,8 +331,7 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
                 flat = np.frombuffer(b"".join(got), "<i4")
                 at = np.cumsum([0, *(len(x) // 4 for x in got)])
                 n = part.num_rows
-                intact = np.ones(n, bool) if not of.broken else np.array([of.decode(flat[b:e].tolist()) == (f" {t}" if t else "") for b, e, t in zip(at, at[1:], texts.to_pylist(), strict=False)])
-                cols = [part.column(0), part.column(1), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), *_sums(flat, at, of.by_id), pa.array(intact, pa.bool_())]
+                cols = [part.column(0), part.column(1), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), *_sums(flat, at, of.by_id), of.intact(flat, at, texts)]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -315,6 +315,19 @@ def test_chunks_weigh_the_same(spark, odd, model, monkeypatch):
     assert digest.where("not decodes").count() == 0 and digest.count() == len(texts)
 
 
+def test_every_text_is_decoded(model):
+    texts = pa.array(["one two stone", "", "glass  漢 paper\n", " x", "one stone"])
+    def told():
+        ids = model.encode(texts)
+        return model.intact(np.frombuffer(b"".join(ids), "<i4"), np.cumsum([0, *(len(x) // 4 for x in ids)]), texts).to_pylist()
+    assert told() == [True] * 5
+    right = model.known["stone"]
+    model.known["stone"] = right + right  # a fault in the cache
+    assert told() == [False, True, True, True, False]
+    model.known["stone"] = right
+    assert model.intact(np.zeros(0, "<i4"), np.zeros(2, np.int64), pa.array([""])).to_pylist() == [True]
+
+
 def test_leaks(spark, odd):
     item = "Tom has 12 apples and 30 pears. Then Ann gives Bob 12 apples and Bob walks 5 km to sell 30 pears at noon before the shop closes"
     moved = item.replace("12", "17").replace("30", "44").replace("Bob", "Eve").replace("Ann", "Liz").replace("km", "miles")
