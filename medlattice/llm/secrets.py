@@ -26,21 +26,24 @@ WORDS = (
     "admin root server client config build version release image images static assets public private project source target main index page list item items get set new old class "
     "function string number object array type error message request response header content service manager controller handler factory"
 ).split()
-_KEYED = re.compile(r"(?i)\b([a-z0-9_.-]*(?:token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|auth|credential|private_?key|passphrase)[a-z0-9_.-]*)[\"']?\s*(?::=|=>|[:=])\s*[\"']?([^\s\"'<>,;]{8,200})")
-_ISSUED = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, ISSUED)) + r")[A-Za-z0-9_\-.]{12,400}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]{0,199}[0-9])[A-Za-z0-9+/_\-]{24,200}={0,2}(?![A-Za-z0-9+/_=\-])")
+_KEYED = re.compile(r"(?i)\b([a-z0-9_.-]*(?:token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|auth|credential|private_?key|passphrase)[a-z0-9_.-]*)[\"']?\s*(?::=|=>|[:=])\s*[\"']?([^\s\"'<>,;]{8,}+)")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, ISSUED)) + r")[A-Za-z0-9_\-.]{12,}+")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_\-]{24,}+={0,2}+(?![A-Za-z0-9+/_=\-])")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 _COVER = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)), re.IGNORECASE)
 FEATURES = ("length", "entropy", "digits", "capitals", "marks", "changes", "hex", "longest_run", "coverage", "slashes", "in_path", "quoted", "assigned", "words_for", "words_against", "issued", "distinct", "vowels")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of what may be a secret, in order; of overlapping ones the first by kind issued, keyed, token stays."""
+    """(begin, end, kind) of what may be a secret, in order; of overlapping ones the first by kind issued, keyed, token stays. None is too long."""
     found: list[tuple[int, int, str]] = []
     for kind, pattern in (("private_key", _PEM), ("issued", _ISSUED), ("keyed", _KEYED), ("token", _TOKEN)):
         for m in pattern.finditer(text):
             b, e = m.span(2) if kind == "keyed" else m.span()
+            if kind == "token" and not _DIGIT.search(text, b, e):
+                continue
             if not any(b < y and x < e for x, y, _ in found):
                 found.append((b, e, kind))
     return sorted(found)

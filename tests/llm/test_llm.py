@@ -352,6 +352,16 @@ def test_secrets(spark, odd):
     assert set(got) == {60, 62} and got[60].value_crc32 == zlib.crc32(b"9b0b3c6a43eb78aa99cbd7049c572391524f37a8")
 
 
+def test_secrets_of_any_length():
+    rng = np.random.default_rng(31)
+    draw = lambda n: "a1" + "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[i] for i in rng.integers(0, 62, n - 2))
+    jwt = f"eyJ{draw(300)}.{draw(900)}.{draw(342)}"
+    for kind, lead, value in (("token", "see ", draw(201)), ("token", "see ", draw(5000) + "=="), ("token", "see ", "x" * 300 + "7"), ("issued", "see ", jwt), ("keyed", "password = ", "%" + draw(700))):
+        text = f"{lead}{value} end"
+        assert secrets.candidates(text) == [(len(lead), len(lead) + len(value), kind)]
+    assert secrets.candidates("x" * 100_000 + " " + "y" * 100_000 + "===") == []
+
+
 def test_marginals_against_all_labelings():
     rng = np.random.default_rng(6)
     first, move = np.array([0, 4, 4, 5]), rng.standard_normal((2, 2))
