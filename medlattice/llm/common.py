@@ -24,7 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='medlattice-')}"
+        if current.isDefined():
+            at = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            at = f"file://{tempfile.mkdtemp(prefix='medlattice-')}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -95,30 +100,30 @@ FILTER_BITS = 1 << 23
 
 
 def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers from 0 to FILTER_BITS - 1 for each key: the low and the high half of its mix."""
     k = mix(keys.astype(np.int64).view(np.uint64))
     return (k % np.uint64(FILTER_BITS)).astype(np.int64), ((k >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 def key_filter(df: DataFrame, key: str) -> bytes:
-    """A membership filter of FILTER_BITS bits (1 MB, whatever the size of df) over a long column."""
+    """A membership filter of FILTER_BITS bits (1 MB, whatever the size of df) over a long column.
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            for s in _slots(b.column(0).to_numpy(zero_copy_only=False)):
-                bits[s] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
+    Slots are found where the rows are; words of 64 slots are grouped with a bit_or that starts before the shuffle, so no more than
+    FILTER_BITS / 64 rows leave a task or reach the driver.
+    """
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0).to_pylist():
-                bits |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
-
-    parts = df.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).coalesce(12).mapInArrow(fill, "bits binary")
-    rows = parts.coalesce(1).mapInArrow(merge, "bits binary").collect()
-    return bytes(rows[0][0]) if rows else bytes(FILTER_BITS // 8)
+            at = np.unique(np.concatenate(_slots(b.column(0).to_numpy(zero_copy_only=False))))
+            first = np.flatnonzero(np.concatenate([[True], at[1:] >> 6 != at[:-1] >> 6])) if len(at) else at
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] >> 6), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    some = df.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).mapInArrow(slots, "word long, bits long")
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    found = some.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little")).tobytes()
 
 
 class KeyFilter:

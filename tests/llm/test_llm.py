@@ -104,18 +104,10 @@ def test_line_groups(spark, odd):
     for r in rows:
         for i, x in enumerate((r.text or "").split("\n")):
             w = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", x.translate(LOW))
-            if len(w) >= 5:
+            if w:
                 occurrences[" ".join(w)].append((r.doc_id if r.doc_id is not None else -1, i))
     keys = sorted(occurrences, key=lambda k: min(occurrences[k]))
-    sims = {k: int(lines.line_hashes(pa.array([k]))[4][0]) for k in keys}
-    heads = {}
-    pairs = []
-    for k in keys:
-        if sims[k] in heads and lines.alike(heads[sims[k]], k):
-            pairs.append((keys.index(heads[sims[k]]), keys.index(k)))
-        heads.setdefault(sims[k], k)
-    some = list(heads.items())
-    pairs += [(keys.index(p), keys.index(q)) for i, (x, p) in enumerate(some) for y, q in some[i + 1 :] if bin(x ^ y).count("1") <= 3 and lines.alike(p, q)]
+    pairs = [(i, j) for i, p in enumerate(keys) for j, q in enumerate(keys[:i]) if min(len(p.split()), len(q.split())) >= 5 and lines.alike(p, q)]
     group = unions(pairs, range(len(keys)))
     by = collections.defaultdict(set)
     for i, k in enumerate(keys):
@@ -123,7 +115,12 @@ def test_line_groups(spark, odd):
     gone = {o for g in by.values() for o in g - {min(g)}}
     got = {(r.doc_id if r.doc_id is not None else -1, i) for r in lines.line_digest(docs).collect() for i in r.removed}
     assert got == gone and (1, 1) in gone
-    left = {r.doc_id: r.text for r in lines.without_repeated_lines(docs).where("doc_id in (1, 4, 14)").collect()}
+    clash = docs.select("doc_id", "text", *(F.lit("own").alias(c) for c in ("_left", "_text_key", "text_key", "removed", "kept", "row", "of")))
+    kept = lines.without_repeated_lines(clash)
+    assert kept.columns == clash.columns
+    rows = kept.where("doc_id in (1, 4, 14)").collect()
+    assert {r[c] for r in rows for c in clash.columns[2:]} == {"own"}
+    left = {r.doc_id: r.text for r in rows}
     assert left[4] is None and left[14] == "1 2 3 4 5 6 7" and a not in (left.get(1) or "").lower()
 
 
@@ -159,6 +156,23 @@ def test_short_lines_lose_exact_repeats_only(spark):
     assert {r.doc_id: r.removed for r in lines.line_digest(docs).collect()} == {0: [], 1: [1], 2: [], 3: [0], 4: []}
 
 
+def test_line_recall_in_documents(spark):
+    """All pairs of the distinct lines of documents, by edit similarity alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    line = {}
+    for r in docs.collect():
+        for x in (r.text or "").split("\n"):
+            w = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", x.translate(LOW))
+            if len(w) >= 5:
+                line.setdefault(" ".join(w), (r.doc_id, len(line)))
+    keys = list(line)
+    pairs = [(i, j) for i, p in enumerate(keys) for j, q in enumerate(keys[:i]) if abs(len(p) - len(q)) <= 0.2 * max(len(p), len(q)) and lines.alike(p, q)]
+    one_each = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "doc_id long, text string")
+    removed = {r.doc_id for r in lines.line_digest(one_each).collect() if r.removed}
+    want = {i for i, root in unions(pairs, range(len(keys))).items() if i != root}
+    assert len(want) > 30 and removed <= want and len(removed) >= 0.95 * len(want)
+
+
 def test_edits():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -168,6 +182,10 @@ def test_edits():
             for j in range(1, len(b) + 1):
                 d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
         assert lines.edits(a, b) == d[-1][-1]
+        for most in range(8):
+            assert (lines.edits(a, b, most) <= most) == (d[-1][-1] <= most)
+        p, q = (" ".join(x) for x in (a, b))
+        assert not lines.by_words(p, q, 3) or lines.edits(p, q) <= 3
 
 
 def test_close_pairs_beyond_brute_size():
