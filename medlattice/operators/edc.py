@@ -149,7 +149,7 @@ def age_band(days: Column) -> Column:
     out = None
     for top, name in ((7, "0-7 days"), (14, "8-14 days"), (30, "15-30 days"), (60, "31-60 days")):
         out = F.when(days <= top, name) if out is None else out.when(days <= top, name)
-    return F.when(days.isNull(), None).otherwise(out.otherwise("over 60 days"))
+    return F.when(days.isNull(), None).otherwise(out.otherwise("60+ days"))
 
 
 def query_log(queries: DataFrame, dates: DataFrame, cut: str = "2026-07-30") -> DataFrame:

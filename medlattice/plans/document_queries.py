@@ -386,3 +386,86 @@ def _failures(check_id: str, sf_dir: str, spark: SparkSession, **changed) -> Dat
     t = _tables(spark, sf_dir)
     check = next(c for c in warehouse_checks.CHECKS if c.check_id == check_id)
     return check.failures(t | {k: f(t[k]) for k, f in changed.items()})
+
+
+_TENTH = "(regexp_extract({0}, '[0-9]+')::int % 10 = 0)"
+
+
+def _tenth(c: str) -> Column:
+    """Keys whose number ends in 0: where faults are planted for the checks."""
+    return F.coalesce(F.regexp_extract(c, "[0-9]+", 0).try_cast("long") % 10 == 0, F.lit(False))
+
+
+def _when_tenth(key: str, column: str, value: Column):
+    return lambda df: df.withColumn(column, F.when(_tenth(key), value).otherwise(F.col(column)))
+
+
+@_query(f"select 'patient_id -> patient' as constraint_name, table_name, count(*) as n_rows from (select 'encounter' as table_name, patient_id from enc union all select 'condition', patient_id from con union all select 'observation', patient_id from obs union all select 'procedure', patient_id from pro union all select 'medication_request', patient_id from med union all select 'patient_address', patient_id from pat union all select 'patient_address', patient_id from pat) where {_TENTH.format('patient_id')} group by all")
+def check_foreign_keys(spark, sf_dir):
+    """RI-01 with a tenth of the patients gone."""
+    return _failures("RI-01", sf_dir, spark, patient=lambda df: df.where(~_tenth("patient_id")))
+
+
+@_query(f"select 'gender' as constraint_name, 'patient' as table_name, count(*) as n_rows from pat where {_TENTH.format('patient_id')} having count(*) > 0 union all select 'period', 'procedure', count(*) from pro where {_TENTH.format('procedure_id')} having count(*) > 0")
+def check_declared(spark, sf_dir):
+    """RI-02 with odd genders and reversed procedures."""
+    return _failures("RI-02", sf_dir, spark, patient=_when_tenth("patient_id", "gender", F.lit("?")), procedure=_when_tenth("procedure_id", "performed_end", F.expr("timestamp_ntz'1900-01-01 00:00:00'")))
+
+
+@_query(f"select 'patient_key -> dw.patient' as constraint_name, 'fact.procedure' as table_name, count(*) as n_rows from pro where {_TENTH.format('procedure_id')} having count(*) > 0")
+def check_fact_orphans(spark, sf_dir):
+    """RI-03 with keys that no dimension has."""
+    return _failures("RI-03", sf_dir, spark, **{"fact.procedure": _when_tenth("procedure_id", "patient_key", F.lit(-7).cast("long"))})
+
+
+@_query(f"select check_name, patient_id as member from pat, (values ('current_not_open'), ('reversed')) as c(check_name) where {_TENTH.format('patient_id')}")
+def check_history(spark, sf_dir):
+    """SCD-01 with versions that end before they start."""
+    return _failures("SCD-01", sf_dir, spark, **{"dw.patient": _when_tenth("patient_id", "effective_to", F.lit("1899-01-01").cast("date"))}).select("check_name", "member")
+
+
+@_query(f"select 'result missing' as failure, observation_id as member from obs where {_TENTH.format('observation_id')} union all select 'component missing', observation_id from comp where component_seq = 2")
+def check_layers(spark, sf_dir):
+    """REC-01 with results and second components left out of the facts."""
+    return _failures("REC-01", sf_dir, spark, **{"fact.observation": lambda df: df.where(~_tenth("observation_id") & (F.col("component_seq") != 2))})
+
+
+@_query(f"select 'unique (encounter_id)' as constraint_name, 'encounter' as table_name, count(*) as n_rows from enc where {_TENTH.format('encounter_id')} having count(*) > 0")
+def check_natural_keys(spark, sf_dir):
+    """DUP-01 with encounters that are there twice."""
+    return _failures("DUP-01", sf_dir, spark, encounter=lambda df: df.unionByName(df.where(_tenth("encounter_id"))))
+
+
+@_query(f"""select column_name, n, nulls, round(nulls / n, 6) as rate from (select 'patient.birth_date' as column_name, count(*) as n, count(*) filter ({_TENTH.format('patient_id')}) as nulls, 0.02 as most from pat
+  union all select 'encounter.service_provider_id', count(*), count(*) filter (service_provider_id is null), 0.05 from enc union all select 'encounter.primary_performer_id', count(*), count(*) filter (primary_performer_id is null), 0.15 from enc) where nulls / n > most""")
+def check_null_shares(spark, sf_dir):
+    """NULL-01 with missing birth dates."""
+    return _failures("NULL-01", sf_dir, spark, patient=_when_tenth("patient_id", "birth_date", F.lit(None).cast("date"))).select("column_name", "n", "nulls", "rate")
+
+
+@_query(f"""select 'result in the future' as failure, observation_id as member from obs where {_TENTH.format('observation_id')} union all select 'seen before birth', encounter_id from enc join pat using (patient_id) where period_start::date < birth_date
+  union all select 'condition reversed', condition_id from con where {_TENTH.format('condition_id')}""")
+def check_plausibility(spark, sf_dir):
+    """DOM-01 with results to come and conditions that end before they begin."""
+    at = lambda day: F.expr(f"timestamp_ntz'{day} 00:00:00'")
+    return _failures("DOM-01", sf_dir, spark, observation=_when_tenth("observation_id", "effective_datetime", at("2030-01-01")), condition=_when_tenth("condition_id", "abatement_datetime", at("1950-01-01")))
+
+
+@_query("select 'Observation: other vocabulary' as failure, observation_id as member from obs where code = 'error'")
+def check_vocabulary(spark, sf_dir):
+    """TERM-01 with one result code of another system."""
+    return _failures("TERM-01", sf_dir, spark, code=lambda df: df.withColumn("system", F.when(F.col("code") == "error", "urn:other").otherwise(F.col("system"))))
+
+
+@_query("select failure, count(*) as n from (select 'no reason' as failure from rej where resource_type = 'Encounter' union all select 'no payload' from rej where resource_type = 'Encounter' union all select 'rejects differ from the batch' from (select count(*) as n from rej where resource_type = 'Condition') where n > 0) group by all")
+def check_quarantine(spark, sf_dir):
+    """QUAR-01 with rejects without reason and payload, and some that are lost."""
+    faulty = F.coalesce(F.col("resource_type") == "Encounter", F.lit(False))
+    lost = lambda df: df.where(~F.coalesce(F.col("resource_type") == "Condition", F.lit(False))).withColumn("reason", F.when(~faulty, F.col("reason"))).withColumn("payload", F.when(~faulty, F.col("payload")))
+    return _failures("QUAR-01", sf_dir, spark, **{"stg.rejects": lost}).groupBy("failure").agg(F.count("*").alias("n"))
+
+
+@_query(f"select 'value lost' as failure, observation_id as member from obs where not has_components and {_TENTH.format('observation_id')} and value <> 0")
+def check_precision(spark, sf_dir):
+    """DOM-02 with values that became 0."""
+    return _failures("DOM-02", sf_dir, spark, observation=_when_tenth("observation_id", "value_quantity", F.lit(0).cast("decimal(18,6)")))

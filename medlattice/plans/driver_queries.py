@@ -533,7 +533,7 @@ def site_performance(spark, sf):
 
 
 @query("""
-select case when a <= 7 then '0-7 days' when a <= 14 then '8-14 days' when a <= 30 then '15-30 days' when a <= 60 then '31-60 days' else 'over 60 days' end as age_band, count(*) as n from (select date_diff('day', cast(o_orderdate as date), date '2001-08-01') as a from orders) group by 1""")
+select case when a <= 7 then '0-7 days' when a <= 14 then '8-14 days' when a <= 30 then '15-30 days' when a <= 60 then '31-60 days' else '60+ days' end as age_band, count(*) as n from (select date_diff('day', cast(o_orderdate as date), date '2001-08-01') as a from orders) group by 1""")
 def query_ageing(spark, sf):
     from ..operators.edc import age_band
 

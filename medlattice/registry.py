@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import driver_queries
+from .plans import document_queries, driver_queries, trial_queries
 
-QUERIES = dict(driver_queries.QUERIES)
-SQL = dict(driver_queries.SQL)
+QUERIES = {**driver_queries.QUERIES, **document_queries.QUERIES, **trial_queries.QUERIES}
+SQL = {**driver_queries.SQL, **document_queries.SQL, **trial_queries.SQL}
