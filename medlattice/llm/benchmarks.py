@@ -40,11 +40,13 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(column: pa.Array):
-    """Token hashes with placeholders, which tokens are placeholders, begin and end byte, tokens before each row, the bytes.
+def template(column: pa.Array, openings: bool = False):
+    """Token hashes with placeholders, plain token hashes, which tokens are placeholders, begin and end byte, tokens before each row,
+    the bytes.
 
     A token is a run of letters and digits (a point or comma between digits belongs to it). One with a digit is a number; one of
-    UNITS a unit; a capital followed by a small letter, within a sentence, makes a name. All else is itself in lower case.
+    UNITS a unit; a capital followed by a small letter makes a name: within a sentence, with openings also where one opens. Names
+    that follow each other are one. All else is itself in lower case.
     """
     data, at = text_bytes(column)
     blank = _BLANK[data]
@@ -64,19 +66,36 @@ def template(column: pa.Array):
         opens[1:] = stops[start[1:]] > stops[end[:-1]]
         opens[first[:-1][np.diff(first) > 0]] = True
         second = data[np.minimum(start + 1, len(data) - 1)]
-        name = (data[start] >= 65) & (data[start] <= 90) & (end - start > 1) & (second >= 97) & ~opens & ~number
+        name = (data[start] >= 65) & (data[start] <= 90) & (end - start > 1) & (second >= 97) & (~opens | openings) & ~number
         unit = ~number & ~name & np.isin(h, _UNIT_HASHES)
+        plain = h
         h = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, h)))
         slot = number | name | unit
+        keep = np.ones(len(h), bool)
+        keep[1:] = ~(name[1:] & name[:-1] & ~opens[1:])
+        last = np.append(np.flatnonzero(keep)[1:], len(h)) - 1
+        first = np.concatenate([[0], np.cumsum(keep)])[first]
+        h, plain, slot, start, end = h[keep], plain[keep], slot[keep], start[keep], end[last]
     else:
-        slot = np.zeros(0, bool)
-    return h, slot, start, end, first, low
+        plain, slot = h, np.zeros(0, bool)
+    return h, plain, slot, start, end, first, low
 
 
-def _rows(column: pa.Array, wanted=None):
-    """For each row: a list of (position, window hash, slot positions within the window, slot values), wanted hashes only."""
-    h, slot, start, end, first, low = template(column)
-    wide = windows(h, WINDOW_WORDS).view(np.int64)
+def _hashes(h: np.ndarray, plain: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of n tokens; one of placeholders only is hashed by what stands in them."""
+    wide = windows(h, n)
+    slots = np.concatenate([[0], np.cumsum(slot)])
+    bare = np.flatnonzero(slots[n:] - slots[:-n] == n) if len(wide) else np.zeros(0, int)
+    if len(bare):
+        wide[bare] = windows(plain, n)[bare]
+    return wide.view(np.int64)
+
+
+def _rows(column: pa.Array, reading: int, wanted=None):
+    """For each row: a list of (position, window hash, slot positions within the window, slot values), wanted hashes only. Reading 1
+    takes capitals that open a sentence for names, reading 0 doesn't."""
+    h, plain, slot, start, end, first, low = template(column, bool(reading))
+    wide = _hashes(h, plain, slot, WINDOW_WORDS)
     seen = wanted(wide) if wanted is not None and len(wide) else np.ones(len(wide), bool)
     out = []
     for b, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -87,42 +106,45 @@ def _rows(column: pa.Array, wanted=None):
         else:
             at, hashes, n = np.zeros(0, int), [], e - b
             if e - b >= LEAST_ITEM and wanted is None:
-                at, hashes = np.array([b]), windows(h[b:e], n).view(np.int64).tolist()
+                at, hashes = np.array([b]), _hashes(h[b:e], plain[b:e], slot[b:e], n).tolist()
         made = []
         for i, x in zip(at.tolist(), hashes, strict=True):
             places = np.flatnonzero(slot[i : i + n]).tolist()
-            made.append({"at": i - b, "h": x, "places": places, "values": [low[start[i + p] : end[i + p]].tobytes().decode() for p in places]})
+            made.append({"reading": reading, "at": i - b, "h": x, "places": places, "values": [low[start[i + p] : end[i + p]].tobytes().decode() for p in places]})
         out.append((e - b, made))
     return out
 
 
-def _short_rows(column: pa.Array, sizes: list[int], wanted) -> list[list[dict]]:
+def _short_rows(column: pa.Array, reading: int, sizes: list[int], wanted) -> list[list[dict]]:
     """Windows of other lengths, for items shorter than a window."""
-    h, slot, start, end, first, low = template(column)
+    h, plain, slot, start, end, first, low = template(column, bool(reading))
     found: list[list[dict]] = [[] for _ in range(len(first) - 1)]
     for n in sizes:
-        wide = windows(h, n).view(np.int64)
+        wide = _hashes(h, plain, slot, n)
         for i in np.flatnonzero(wanted(wide)).tolist() if len(wide) else []:
             row = int(np.searchsorted(first, i, "right")) - 1
             if i + n <= first[row + 1]:
                 places = np.flatnonzero(slot[i : i + n]).tolist()
-                found[row].append({"at": i - int(first[row]), "h": int(wide[i]), "places": places, "values": [low[start[i + p] : end[i + p]].tobytes().decode() for p in places]})
+                found[row].append({"reading": reading, "at": i - int(first[row]), "h": int(wide[i]), "places": places, "values": [low[start[i + p] : end[i + p]].tobytes().decode() for p in places]})
     return found
 
 
-_HIT = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64()), ("places", pa.list_(pa.int32())), ("values", pa.list_(pa.string()))]))
-_HIT_SQL = "array<struct<at:int,h:long,places:array<int>,values:array<string>>>"
+_HIT = pa.list_(pa.struct([("reading", pa.int32()), ("at", pa.int32()), ("h", pa.int64()), ("places", pa.list_(pa.int32())), ("values", pa.list_(pa.string()))]))
+_HIT_SQL = "array<struct<reading:int,at:int,h:long,places:array<int>,values:array<string>>>"
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_words, b_at, h, b_places, b_values) of all template windows of all items."""
+    """(item_id, item_key, reading, n_words, b_at, h, b_places, b_values) of all template windows of all items; item_key is a hash of
+    the text, so that texts of one item_id are told apart."""
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = _rows(part.column(1))
-        return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([n for n, _ in rows], pa.int32()), pa.array([w for _, w in rows], _HIT)], names=["item_id", "n_words", "hits"])
+    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for reading in (0, 1):
+            rows = _rows(part.column(2), reading)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in rows], pa.int32()), pa.array([w for _, w in rows], _HIT)], names=["item_id", "item_key", "n_words", "hits"])
 
-    rows = benchmark.select("item_id", "text").where("item_id is not null").mapInArrow(by_slices(run), f"item_id long, n_words int, hits {_HIT_SQL}")
-    return rows.select("item_id", "n_words", F.explode("hits").alias("x")).select("item_id", "n_words", F.col("x.at").alias("b_at"), F.col("x.h").alias("h"), F.col("x.places").alias("b_places"), F.col("x.values").alias("b_values")).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text").where("item_id is not null and text is not null")
+    rows = items.mapInArrow(by_slices(run), f"item_id long, item_key long, n_words int, hits {_HIT_SQL}").select("item_id", "item_key", "n_words", F.inline("hits"))
+    return rows.select("item_id", "item_key", "reading", "n_words", F.col("at").alias("b_at"), "h", F.col("places").alias("b_places"), F.col("values").alias("b_values")).distinct()
 
 
 def _consistent(rows: list[dict], n_words: int) -> dict | None:
@@ -161,8 +183,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Template windows of the item and of the document are joined by hash; windows of one alignment count if every slot value of the
     item stands for one value in the document and the other way round. Null or empty texts hold nothing; items of fewer than
-    LEAST_ITEM words and null item ids are left out; rows that repeat a doc_id are told apart by text_key (a hash of the text); an
-    item that is there several times in a document gives one row. Empty tables give no rows.
+    LEAST_ITEM words and null item ids are left out; rows that repeat a doc_id are told apart by text_key (a hash of the text), and
+    texts of one item_id are items of their own; an item that is there several times in a document gives one row. Item and document
+    are read twice, with and without names that open a sentence. Empty tables give no rows; further columns don't matter.
     """
     spark = docs.sparkSession
     theirs = written(benchmark_windows(benchmark), "benchmark-windows")
@@ -173,43 +196,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         wanted = KeyFilter(shared.value)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            hits = [w for _, w in _rows(part.column(2), wanted)]
-            if sizes:
-                hits = [a + b for a, b in zip(hits, _short_rows(part.column(2), sizes, wanted), strict=True)]
+            hits: list[list[dict]] = [[] for _ in range(part.num_rows)]
+            for reading in (0, 1):
+                for own, (_, more) in zip(hits, _rows(part.column(2), reading, wanted), strict=True):
+                    own += more
+                for own, more in zip(hits, _short_rows(part.column(2), reading, sizes, wanted), strict=True):
+                    own += more
             some = pa.array([bool(x) for x in hits])
             return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).filter(some), part.column(1).filter(some), pa.array([x for x in hits if x], _HIT)], names=["doc_id", "text_key", "hits"])
 
         return by_slices(one)(batches)
 
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id long, text_key long, hits {_HIT_SQL}")
-    ours = rows.select("doc_id", "text_key", F.explode("hits").alias("x")).select("doc_id", "text_key", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.places").alias("places"), F.col("x.values").alias("values"))
+    ours = rows.select("doc_id", "text_key", F.inline("hits"))
     if theirs.count() <= BROADCAST_WINDOWS:
-        pairs = ours.join(F.broadcast(theirs), "h")
+        pairs = ours.join(F.broadcast(theirs), ["h", "reading"])
     else:  # a passage that very many documents hold is spread over SALTS tasks
         salted = ours.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
-        pairs = salted.join(theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
-    pairs = pairs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("key"), "doc_id", "text_key", "item_id", "n_words", "at", "b_at", "places", "b_places", "values", "b_values")
+        pairs = salted.join(theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "reading", "salt"])
+    pairs = pairs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("key"), "doc_id", "text_key", "item_id", "item_key", "reading", "n_words", "at", "b_at", "places", "b_places", "values", "b_values")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "n_windows", "n_covered", "n_words", "first_word", "reparameterised", "changed", "text_key"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
-        for g in groups(batches, ["key", "text_key", "item_id"]):
+        names = ["doc_id", "item_id", "n_windows", "n_covered", "n_words", "first_word", "reparameterised", "changed", "text_key", "item_key"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.int64(), pa.int64()]
+        for g in groups(batches, keys):
             rows = list({(r["at"], r["b_at"]): r for r in g.to_pylist()}.values())
             n = rows[0]["n_words"]
             if got := _consistent(rows, n):
-                values = [rows[0]["doc_id"], rows[0]["item_id"], got["windows"], got["covered"], n, got["begin"], bool(got["changed"]), got["changed"], rows[0]["text_key"]]
+                values = [rows[0]["doc_id"], rows[0]["item_id"], got["windows"], got["covered"], n, got["begin"], bool(got["changed"]), got["changed"], rows[0]["text_key"], rows[0]["item_key"]]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     schema = "doc_id long, item_id long, n_windows int, n_covered int, n_words int, first_word int, reparameterised boolean, changed array<string>, text_key long"
-    keys = ["key", "text_key", "item_id"]
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(judge, schema)
+    keys = ["key", "text_key", "item_id", "item_key", "reading"]
+    found = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(judge, schema + ", item_key long")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    # Of the two readings the one that covers a larger share.
+    best = found.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.max_by(F.struct(*names), F.struct(F.col("n_covered") / F.col("n_words"), ~F.col("reparameterised"), "n_covered")).alias("best"))
+    return best.select("best.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item of the benchmark."""
     found = leaks(docs, benchmark).select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_text_key"] == found["text_key"]), "left_anti").drop("_text_key")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    return rows.join(found, rows["id"].eqNullSafe(found["doc_id"]) & (rows["key"] == found["text_key"]), "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

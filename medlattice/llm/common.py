@@ -68,6 +68,7 @@ def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.Reco
             for part in row_slices(batch, text):
                 got = work(part)
                 yield from [got] if isinstance(got, pa.RecordBatch) else got
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
     return run
 

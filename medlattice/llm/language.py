@@ -15,8 +15,8 @@ from .words import LOWER, text_bytes
 
 #: Units of each direction, and bytes of a window: the network reads a text as windows, each from a state of zeros.
 UNITS, WINDOW = 8, 64
-#: Languages learned (the most frequent), documents of each that training uses, windows of each document, at most.
-LANGUAGES, TRAIN_DOCS, DOC_WINDOWS = 64, 400, 8
+#: Rows of each language that training uses, rows of all together (but one of each language at least), windows of each, at most.
+TRAIN_DOCS, TRAIN_ALL, DOC_WINDOWS = 400, 25_600, 8
 #: Windows that one pass of the network takes.
 _AT_ONCE = 4096
 _LETTER = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
@@ -162,16 +162,18 @@ def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit_language(docs: DataFrame) -> Network | None:
     """A network from the text and lang of documents whose crc32(doc_id) mod 5 is not 0; None where none has a lang and letters.
 
-    Fitted on at most TRAIN_DOCS documents of each language (those with the least hash of doc_id) and DOC_WINDOWS windows of each,
-    spread evenly over the text.
+    Fitted on at most TRAIN_DOCS rows of each language (those with the least hash of doc_id and text), or fewer of each where there
+    are so many languages that they would be more than TRAIN_ALL, and DOC_WINDOWS windows of each row, spread evenly over the text.
     """
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(LANGUAGES)
-    # A share that leaves about 3 * TRAIN_DOCS rows of each language, then the first of those.
-    share = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("size") < 3 * TRAIN_DOCS
-    chosen = known.join(F.broadcast(sizes), "lang").where(share)
-    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("place") <= TRAIN_DOCS)
-    chosen = written(chosen.select("doc_id", F.col("lang").alias("label")), "lang-rows")  # LANGUAGES * TRAIN_DOCS rows at most
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("size")), "lang-sizes")
+    each = max(1, min(TRAIN_DOCS, TRAIN_ALL // max(1, sizes.count())))
+    # A share that leaves about three times as many rows of each language as are used, then the first of those.
+    share = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("size") < 3 * each
+    chosen = known.join(sizes, "lang").where(share)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
+    chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    chosen = written(chosen.select("text", F.col("lang").alias("label")), "lang-rows")  # TRAIN_ALL rows at most, one of each language at least
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +183,7 @@ def fit_language(docs: DataFrame) -> Network | None:
                 keep = [i for r in np.unique(row).tolist() for i in np.unique(np.linspace(*_ends(row, r), DOC_WINDOWS).astype(int)).tolist()]
                 yield pa.RecordBatch.from_pydict({"label": pa.array([label[row[i]] for i in keep], pa.string()), "window": pa.array([x[i].tobytes() for i in keep], pa.binary())})
 
-    text = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    text = chosen.where("text is not null")
     rows = sorted((r["label"], bytes(r["window"])) for r in text.mapInArrow(cut, "label string, window binary").collect())
     rows = [r for r in rows if _LETTER[np.frombuffer(r[1].rstrip(b"\0"), np.uint8)].any()]
     languages = sorted({r[0] for r in rows})

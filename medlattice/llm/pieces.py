@@ -23,10 +23,10 @@ from .common import groups, row_slices, table, written
 
 #: Characters of a chunk; documents of at most so many are solved at once. Chunks that one task combines.
 CHUNK, RUN = 16_384, 256
-#: Segments kept with their ids in a worker.
-CACHE = 700_000
+#: Bytes of segments kept with their ids in a worker, and what an entry takes beside its own.
+CACHE, ENTRY = 48_000_000, 200
 #: Text bytes whose distinct segments are looked up together.
-SEGMENT_BYTES = 4_000_000
+SEGMENT_BYTES = 3_000_000
 #: The digest's modulus.
 PRIME = (1 << 31) - 1
 _NONE = -np.inf
@@ -98,6 +98,7 @@ class Pieces:
         self.spelled = [byte.get(i, p.encode()) for i, p in enumerate(self.names)]
         self.known: dict[str, bytes] = {}
         self.solved: dict[str, bytes] = {}
+        self.held = {"known": 0, "solved": 0}
         self.spellings = pa.array(self.spelled, pa.large_binary())
 
     def best(self, text: str, begin: int, end: int, last: int | None = None) -> tuple[float, list[int]]:
@@ -155,19 +156,19 @@ class Pieces:
                     if ids is None:
                         found = self.spell(part, self.best(part, 0, len(part))[1])
                         ids = solved[part] = np.array(found, "<i4").tobytes()
+                        self.held["solved"] += len(part) + len(ids) + ENTRY
                     out.append(ids)
                     begin = i
             self.known[key] = b"".join(out)
+            self.held["known"] += len(key) + len(self.known[key]) + ENTRY
 
     def _know(self, keys: list[str]) -> None:
-        """Makes all keys (each given once) known; caches are emptied when full."""
-        fresh = [k for k in keys if k not in self.known]
-        if len(self.solved) + len(fresh) > CACHE:
-            self.solved.clear()
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = keys
-        self._learn(fresh)
+        """Makes all keys (each given once) known; a cache that is full is emptied first."""
+        for name, cache in (("known", self.known), ("solved", self.solved)):
+            if self.held[name] > CACHE:
+                cache.clear()
+                self.held[name] = 0
+        self._learn([k for k in keys if k not in self.known])
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids (int32, little-endian) of each text of a column without nulls. No piece reaches over a new line or from a word over
@@ -335,6 +336,7 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        pa.default_memory_pool().release_unused()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = _model(model).longest - 1

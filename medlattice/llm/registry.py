@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import benchmarks, jaccard, language, lines, nearest, pieces, secrets, tokens, toxicity, urls
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_decontamination": benchmarks.op8_decontamination,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
-    "pipeline": corpus_pipeline.run,
 }
 
 #: Queries that SQL can express. The others are tested against brute force, exact round trips or held-out labels (tests/llm).

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ _KEYED = re.compile(r"(?i)\b([a-z0-9_.-]*(?:token|secret|passw(?:or)?d|passwd|pw
 _ISSUED = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, ISSUED)) + r")[A-Za-z0-9_\-.]{12,}+")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_\-]{24,}+={0,2}+(?![A-Za-z0-9+/_=\-])")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\-]*+")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 _COVER = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)), re.IGNORECASE)
@@ -38,15 +40,25 @@ FEATURES = ("length", "entropy", "digits", "capitals", "marks", "changes", "hex"
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of what may be a secret, in order; of overlapping ones the first by kind issued, keyed, token stays. None is too long."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order, and apart
     for kind, pattern in (("private_key", _PEM), ("issued", _ISSUED), ("keyed", _KEYED), ("token", _TOKEN)):
         for m in pattern.finditer(text):
             b, e = m.span(2) if kind == "keyed" else m.span()
+            if kind == "private_key":
+                e = _pem_end(text, e)
             if kind == "token" and not _DIGIT.search(text, b, e):
                 continue
-            if not any(b < y and x < e for x, y, _ in found):
-                found.append((b, e, kind))
-    return sorted(found)
+            at = bisect.bisect_left(found, (b,))
+            if (at == 0 or found[at - 1][1] <= b) and (at == len(found) or e <= found[at][0]):
+                found.insert(at, (b, e, kind))
+    return found
+
+
+def _pem_end(text: str, begin: int) -> int:
+    """Where a private key ends whose header ends at begin: behind its footer, if nothing but a key lies between."""
+    footer = text.find("-----END ", begin)
+    end = text.find("-----", footer + 9) + 5 if footer >= 0 else 4
+    return end if end > 4 and _PEM_BODY.fullmatch(text, begin, footer) else begin
 
 
 def features(text: str, begin: int, end: int) -> list[float]:

@@ -115,7 +115,7 @@ def _class_counts(sample: DataFrame) -> np.ndarray:
                     total[y, np.unique(f[i:j])] += 1
         yield pa.RecordBatch.from_pydict({"counts": [total.tobytes()]})
 
-    rows = sample.coalesce(4).mapInArrow(count, "counts binary").collect()
+    rows = sample.repartition(4).mapInArrow(count, "counts binary").collect()
     return sum((np.frombuffer(r[0], np.int32).reshape(2, WIDTH) for r in rows), np.zeros((2, WIDTH), np.int32))
 
 
@@ -221,8 +221,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit_tagger(docs: DataFrame, labels: DataFrame) -> Tagger | float:
     """A tagger from labelled documents whose crc32(doc_id) mod 5 is not 0; the toxic share if there is only one class or none.
 
-    Fitted on at most TRAIN_ROWS rows of each class, those with the least hash of doc_id. Null labels don't count; a doc_id that is
-    labelled twice is toxic if any label says so.
+    Fitted on at most TRAIN_ROWS rows of each class, those with the least hash of doc_id and text. Null labels don't count; a doc_id
+    that is labelled twice is toxic if any label says so. If no text of one of the classes is there, the share of toxic labels too.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(~held_out(F.col("doc_id")))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -230,9 +230,13 @@ def fit_tagger(docs: DataFrame, labels: DataFrame) -> Tagger | float:
         return float(1 in totals)
     some = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
     chosen = written(some[0].unionByName(some[1]), "toxic-rows")  # 2 * TRAIN_ROWS rows at most
-    sample = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
-    counts = _class_counts(sample)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # a doc_id may repeat
+    least = [rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
+    sample = written(least[0].unionByName(least[1]), "toxic-sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return totals[1] / sum(totals.values())
+    counts = _class_counts(sample)
     share = counts / np.array([[max(1, sizes.get(0, 0))], [max(1, sizes.get(1, 0))]])
     enough = counts[1] >= max(3, SUPPORT * sizes.get(1, 0))
     toxic_word = enough & (share[1] / np.maximum(share.sum(axis=0), 1e-12) >= PRECISION)
@@ -286,7 +290,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, score (0 to 1), predicted (score >= 0.5), spans.
 
     The chain's features are the word itself and its neighbours; labels, lang, source and doc_id are never inputs. Null and empty
-    texts and texts without words get the score of a text without any sign. Repeated rows are scored alike. Without labels of both
+    texts and texts without words get the score of a text without any sign. Repeated rows are scored alike; further columns don't matter. Without labels of both
     classes every text gets the share of toxic labels (0 if there are none) and no spans.
     """
     tagger = fit_tagger(docs, labels)

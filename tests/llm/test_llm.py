@@ -433,3 +433,87 @@ def test_pipeline(spark):
             assert kept.select("doc_id").subtract(docs.select("doc_id")).count() == 0
         assert 0 < kept.count() <= docs.count()
     assert corpus_pipeline.run(spark, SF).where("not decodes").count() == 0
+
+
+def test_reparameterised_items_are_found(spark):
+    """New numbers, new and longer names, also where they open a sentence; other questions of the same kind stay."""
+    rng = np.random.default_rng(12)
+    people = ["Tom", "Ann", "Bob", "Liz", "Max", "Eve", "Mary Jane", "John Paul Smith", "Kim"]
+    things = ["apples", "pears", "books", "coins", "stamps", "shells"]
+    items, docs = [], []
+    for i in range(40):
+        a, b = (people[k] for k in rng.permutation(4)[:2])
+        x, y = (int(k) for k in rng.integers(2, 90, 2))
+        t, u = (things[k] for k in rng.permutation(6)[:2])
+        form = f"{{a}} has {{x}} {t} and buys {{y}} {u} at the market for shop {prose(300 + i, 4)}. {{a}} gives {{b}} half of the {t}. How many {t} does {{b}} have after the walk of {{x}} km?"
+        items.append((i, form.format(a=a, b=b, x=x, y=y)))
+        c, d = (people[k] for k in 4 + rng.permutation(5)[:2])
+        docs.append((i, f"{prose(400 + i, 30)}. {form.format(a=c, b=d, x=x + 7, y=y + 9)} {prose(500 + i, 30)}"))
+        docs.append((1000 + i, f"{c} walks {x} km to the river and {d} reads {y} books there. {prose(600 + i, 60)}"))
+    got = benchmarks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    hits = {(r.doc_id, r.item_id) for r in got}
+    assert sum((i, i) in hits for i in range(40)) >= 36 and not [h for h in hits if h[0] >= 1000]  # items of one form are each other's
+    assert all(r.reparameterised for r in got)
+
+
+def test_leaks_of_repeated_items_and_clashing_names(spark):
+    a, b = prose(801, 30), prose(802, 30)
+    bench = spark.createDataFrame([(1, a), (1, b), (1, a)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y", "own", 5), (2, b, "own", 5), (2, b, "own", 5), (3, prose(803, 40), "own", 5), (None, a, "own", 5), (4, None, "own", 5)], "doc_id long, text string, _text_key string, key int")
+    assert sorted((r.doc_id or 0, r.item_id) for r in benchmarks.leaks(docs, bench).collect()) == [(0, 1), (1, 1), (2, 1)]
+    left = benchmarks.without_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted((r.doc_id, r._text_key) for r in left.collect()) == [(3, "own"), (4, "own")]
+    numbers = " ".join(str(n) for n in range(100, 140))
+    others = spark.createDataFrame([(1, numbers), (2, " ".join(str(n) for n in range(500, 540)))], "doc_id long, text string")
+    assert [r.doc_id for r in benchmarks.leaks(others, spark.createDataFrame([(9, numbers)], "item_id long, text string")).collect()] == [1]
+
+
+def test_toxicity_without_one_class(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "some words here" if i % 2 else None) for i in range(40)], "doc_id long, text string")
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert {r.score for r in toxicity.toxicity(docs, labels).collect()} == {sum(i % 2 for i in known) / len(known)}
+    assert toxicity.without_toxic(docs.where("1 = 0"), labels).count() == 0
+    again = spark.createDataFrame([(1, f"word{i % 7} calm text of row {i}", "s") for i in range(600)] + [(i, f"awful idiot text {i}", "s") for i in range(2, 40)], "doc_id long, text string, spans string")
+    rows = toxicity.toxicity(again, labels.select("doc_id", (1 - F.col("toxic")).cast("int").alias("toxic"))).collect()
+    assert len(rows) == 638 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_any_number_of_languages_and_repeated_ids(spark):
+    rows = [(7, f"text number {i} of one document", "en") for i in range(300)] + [(1000 + i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3} {i} zz", f"l{i:03d}") for i in range(110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit_language(docs)
+    want = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(net.languages) == want and len(want) > 64
+    assert language.language_id(docs).count() == len(rows)
+
+
+def test_secrets_in_whole_blocks():
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq" + "x" * 40 for _ in range(12))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    text = f"before {key} after"
+    assert secrets.candidates(text) == [(7, 7 + len(key), "private_key")]
+    assert secrets.candidates("-----BEGIN PRIVATE KEY----- (see the manual!) -----END PRIVATE KEY-----")[0][1] == 27
+    many = " ".join(f"token = a{i:07d}{'q' * 24}" for i in range(3000))
+    assert len(secrets.candidates(many)) == 3000
+
+
+def test_odd_rows_through_every_stage(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("removed"), F.lit(2).alias("h"))
+    for empty in (False, True):
+        now = docs.where("1 = 0") if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, now, SF).cache()
+            if name != "sentencepiece":
+                assert kept.columns == docs.columns, name
+            assert kept.count() <= now.count() and (empty or kept.count())
+            now = kept
+        assert now.where("not decodes").count() == 0
+
+
+def test_one_of_each_repeated_row(spark, odd):
+    kept = jaccard.one_of_each(odd).collect()
+    assert collections.Counter(r.doc_id for r in kept)[7] == 1 and {r.doc_id for r in kept} >= {None, 1, 4, 5, 6}
+    assert not {2, 3} & {r.doc_id for r in kept}
