@@ -517,3 +517,21 @@ def test_one_of_each_repeated_row(spark, odd):
     kept = jaccard.one_of_each(odd).collect()
     assert collections.Counter(r.doc_id for r in kept)[7] == 1 and {r.doc_id for r in kept} >= {None, 1, 4, 5, 6}
     assert not {2, 3} & {r.doc_id for r in kept}
+
+
+def test_lines_in_large_blocks(spark, monkeypatch):
+    """With blocks of two lines at most compared in full, the nearest by sketch join the same groups."""
+    base = prose(950, 24).split()
+    rng = np.random.default_rng(40)
+    texts = []
+    for i in range(60):
+        w = list(base if i % 3 else prose(960 + i % 2, 24).split())
+        for k in rng.permutation(len(w))[: int(rng.integers(0, 5))]:
+            w[k] = f"zz{int(rng.integers(1000))}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = list(dict.fromkeys(texts))
+    root = unions([(i, j) for i, p in enumerate(keys) for j, q in enumerate(keys[:i]) if lines.alike(p, q)], range(len(keys)))
+    monkeypatch.setattr(lines, "FEW", 2)
+    kept = {texts[r.doc_id] for r in lines.line_digest(docs).collect() if not r.removed}
+    assert kept == {k for i, k in enumerate(keys) if root[i] == i}
