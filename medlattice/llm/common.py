@@ -39,13 +39,19 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, at: str = "") -> DataFrame:
     """The rows of df as a table in the shared folder: cuts lineage, and survives lost executors."""
-    at = fresh_path(df.sparkSession, tag)
+    at = at or fresh_path(df.sparkSession, tag)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, at: str) -> None:
+    """Deletes a table that written() made and that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_slices(batch: pa.RecordBatch, text: str = "text", most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with at most `most` bytes of text each, one row at least."""
     n = batch.num_rows
