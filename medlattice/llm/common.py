@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy pass works on; a longer single row is one pass of its own.
-PASS_BYTES = 2_000_000
+#: Text bytes that one numpy pass works on, few enough for caches; a longer single row is one pass of its own.
+PASS_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
