@@ -22,7 +22,7 @@ WINDOW, PER_DOC, WINDOWS = 48, 4, 1500
 #: A word of a toxic document counts as toxic if it is in at least this share of the toxic and if, of the documents that hold it, at
 #: least this share is toxic (classes weighted alike).
 SUPPORT, PRECISION = 0.02, 0.9
-_SLICE = 8_000_000
+_SLICE = 4_000_000
 #: What can't be part of a word: ASCII but letters and digits.
 _BLANK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
