@@ -1,89 +1,89 @@
-"""The warehouse build: read, validate, land, shred, load, check. Tables are Parquet folders; each load writes a new one and the
-pointer to the latest is moved last, so readers never see half a load."""
+"""The warehouse build: read, validate, land, shred, load, check. Every step is a load of a snapshot store (sources.snapshots): what it
+writes becomes visible at once, when its manifest is in place, and a load that dies leaves the version before.
+"""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality, shred, star, tables, views, warehouse_checks
 from ..operators.gate import validate
 from ..sources.documents import read_directory
+from ..sources.fixtures import inject
 from ..sources.schemas import SCHEMAS
+from ..sources.snapshots import Load, Store
 
 DOCUMENT = "resource_type string, resource_id string, version_id string, last_updated timestamp_ntz, payload string, source_ref string, line_number long, batch_id string"
 REJECT = "resource_type string, resource_id string, source_ref string, line_number long, failure_stage string, reason string, detail string, payload string, batch_id string"
-BATCH = "batch_id string, batch_kind string, status string, n_read long, n_accepted long, n_duplicate long, n_rejected long"
+LANDED = ["resource_type", "resource_id", "version_id"]
+INGESTS = ("bulk", "rest", "changefeed")
+Warehouse = Store
 
 
-@dataclass
-class Warehouse:
-    """A folder of tables. write() puts a table in a folder of its own version; read() gives the latest that was written."""
+def ingest(w: Store, rows: DataFrame, kind: str = "bulk", limit: int | None = None, inject_every: int = 0) -> dict[str, int | str]:
+    """Validates read rows and lands what is new; what fails goes to quarantine. Landing the same rows again adds nothing.
 
-    spark: SparkSession
-    root: str
-    latest: dict[str, str] = field(default_factory=dict)
+    Only the batch's own rows are written, in folders of its own. Two ingests at once are told apart at the commit: the later one starts
+    again on top of the other. Read = accepted + duplicate + rejected, as the batch row says. limit: the first rows by file and line only;
+    inject_every: every n-th row, by its place, is made faulty before it is validated (a test of the gate).
+    """
+    if limit is not None:
+        rows = rows.orderBy("source_ref", "line_number").limit(limit)
+    if inject_every:
+        rows = inject(rows, inject_every)
 
-    def write(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
-        at = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        w = df.write
-        (w.partitionBy(partition) if partition else w).parquet(at)
-        self.latest[name] = at
-        return self.read(name)
+    def work(load: Load) -> dict[str, int | str]:
+        got = load.scratch("incoming", rows)
+        accepted, rejected = validate(got)
+        accepted = load.scratch("accepted", accepted)
+        fresh, _ = tables.land(load.read("raw.document", DOCUMENT), accepted, LANDED, [F.col("source_ref"), F.col("line_number")])
+        mine = F.lit(load.id).alias("batch_id")
+        landed = load.append("raw.document", fresh.select("*", mine), "resource_type", unique=True)
+        rejects = load.append("stg.rejects", rejected.select("*", mine))
+        n = {"n_read": got.count(), "n_accepted": landed.count(), "n_rejected": rejects.count()}
+        n["n_duplicate"] = accepted.count() - n["n_accepted"]
+        load.counts = n
+        return {"batch_id": load.id, **n}
 
-    def read(self, name: str, schema: str | None = None) -> DataFrame:
-        if name not in self.latest:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(self.latest[name])
+    return w.transact(kind, work)
 
 
-def ingest(w: Warehouse, rows: DataFrame, kind: str = "bulk") -> dict[str, int | str]:
-    """Validates read rows and lands what is new; what fails goes to quarantine. Landing the same rows again adds nothing.
+def batches(w: Store) -> DataFrame:
+    """The ingests so far, running and failed ones too: (batch_id, batch_kind, status, n_read, n_accepted, n_duplicate, n_rejected)."""
+    loads = w.loads().where(F.col("kind").isin(*INGESTS))
+    counts = [F.coalesce(F.col("counts")[n], F.lit(0)).alias(n) for n in ("n_read", "n_accepted", "n_duplicate", "n_rejected")]
+    return loads.select(F.col("load").alias("batch_id"), F.col("kind").alias("batch_kind"), F.col("state").alias("status"), *counts)
 
-    One writer at a time is assumed. Read = accepted + duplicate + rejected, as the batch row says.
-    """
-    batch = uuid.uuid4().hex
-    rows = w.write("incoming", rows)
-    accepted, rejected = validate(rows)
-    accepted = w.write("accepted", accepted)
-    before = w.read("raw.document", DOCUMENT)
-    fresh, twice = tables.land(before, accepted, ["resource_type", "resource_id", "version_id"], [F.col("source_ref"), F.col("line_number")])
-    landed = w.write("raw.document", before.unionByName(fresh.withColumn("batch_id", F.lit(batch))), "resource_type")
-    rejects = w.write("stg.rejects", w.read("stg.rejects", REJECT).unionByName(rejected.withColumn("batch_id", F.lit(batch))))
-    n = {"n_read": rows.count(), "n_accepted": landed.where(F.col("batch_id") == batch).count(), "n_rejected": rejects.where(F.col("batch_id") == batch).count()}
-    n["n_duplicate"] = accepted.count() - n["n_accepted"]
-    row = w.spark.createDataFrame([(batch, kind, "succeeded", n["n_read"], n["n_accepted"], n["n_duplicate"], n["n_rejected"])], BATCH)
-    w.write("meta.load_batch", w.read("meta.load_batch", BATCH).unionByName(row))
-    return {"batch_id": batch, **n}
-
-
-def load(w: Warehouse, effective: str, batch_id: str) -> dict[str, DataFrame]:
-    """Shreds the current versions and loads the star at the given day. Returns all tables by name."""
+
+def load(w: Store, effective: str, batch_id: str) -> dict[str, DataFrame]:
+    """Shreds the current versions and loads the star at the given day, all of it as one load. Returns all tables by name."""
+    return w.transact("star", lambda one: _load(one, effective, batch_id)) | {"meta.load_batch": batches(w)}
+
+
+def _load(w: Load, effective: str, batch_id: str) -> dict[str, DataFrame]:
     t: dict[str, DataFrame] = {}
     current = w.write("current", shred.current_version(w.read("raw.document", DOCUMENT)), "resource_type")  # read by every shred step
-    systems, concepts = shred.empty_terminology(w.spark)
-    systems, concepts = (w.read(n) if n in w.latest else df for n, df in (("code_system", systems), ("code_concept", concepts)))
+    systems, concepts = shred.empty_terminology(w.store.spark)
+    systems, concepts = (w.read(n) if n in w else df for n, df in (("code_system", systems), ("code_concept", concepts)))
     systems, concepts = shred.register_codes(systems, concepts, shred.codings(current))
     systems, concepts = w.write("code_system", systems), w.write("code_concept", concepts)
     norm = {name: w.write(name, df) for name, df in shred.norm_tables(current, systems, concepts).items()}
     names = ("provider", "organization", "diagnosis", "procedure", "medication", "observation_code", "encounter_type", "patient")
-    before = {n: w.read(f"dim.{n}") for n in names if f"dim.{n}" in w.latest}
+    before = {n: w.read(f"dim.{n}") for n in names if f"dim.{n}" in w}
     dims = {n: w.write(f"dim.{n}", df) for n, df in star.dimensions(norm, before, effective).items()}
     facts = {n: w.write(f"fact.{n}", df) for n, df in star.facts(norm, dims, batch_id).items()}
     dims = star.unknown_members(dims)
     t |= norm | {"code_system": systems, "code_concept": concepts, "current": current}
     t |= {f"dw.{n}": df for n, df in dims.items()} | {f"fact.{n}": df for n, df in facts.items()}
-    t |= {"raw.document": w.read("raw.document"), "stg.rejects": w.read("stg.rejects"), "meta.load_batch": w.read("meta.load_batch")}
+    t |= {"raw.document": w.read("raw.document", DOCUMENT), "stg.rejects": w.read("stg.rejects", REJECT)}
     lost = norm["unresolved"].groupBy("resource_type").agg(F.count("*").alias("unresolved_rows"))
     t["reconciliation"] = views.reconciliation(current, norm, facts).join(lost, "resource_type", "left").withColumn("unresolved_rows", F.coalesce("unresolved_rows", F.lit(0)))
     d = current.where("resource_type = 'Observation'").select(F.col("resource_id").alias("observation_id"), F.from_json("payload", SCHEMAS["Observation"]).alias("d"))
     t["source_values"] = d.select("observation_id", F.col("d.valueQuantity.value").alias("source_value")).where("source_value is not null")
     parts = d.select("observation_id", F.posexplode("d.component").alias("i", "c")).select("observation_id", (F.col("i") + 1).alias("component_seq"))
     t["source_components"] = parts.join(norm["observation"].select("observation_id"), "observation_id", "left_semi")
-    t["as_of"] = w.spark.createDataFrame([(effective,)], "day string")
+    t["as_of"] = current.sparkSession.createDataFrame([(effective,)], "day string")
     return t
 
 
@@ -96,9 +96,9 @@ def check(t: dict[str, DataFrame]) -> list[quality.Outcome]:
     return quality.run_checks(warehouse_checks.CHECKS, t)
 
 
-def build(spark: SparkSession, root: str, extract: str, effective: str = "2026-08-01", feed: str | None = None, feed_day: str = "2026-08-03") -> tuple[Warehouse, dict[str, DataFrame]]:
+def build(spark: SparkSession, root: str, extract: str, effective: str = "2026-08-01", feed: str | None = None, feed_day: str = "2026-08-03") -> tuple[Store, dict[str, DataFrame]]:
     """The whole build: the extract, then (if given) a change feed that is ingested and loaded as a second day."""
-    w = Warehouse(spark, root)
+    w = Store(spark, root)
     got = ingest(w, read_directory(spark, extract))
     t = load(w, effective, str(got["batch_id"]))
     if feed:

@@ -23,11 +23,11 @@ def _checked(text: Column) -> Column:
     )
 
 
-def _rows(df: DataFrame) -> DataFrame:
+def _rows(df: DataFrame, *more: str) -> DataFrame:
     df = df.withColumn("parse_error", _checked(F.col("text")))
     return df.select(
         F.when(F.col("parse_error").isNull(), F.col("text")).alias("payload"), "source_ref", "line_number", "parse_error",
-        F.when(F.col("parse_error").isNotNull(), F.left(F.make_valid_utf8(F.col("text")), F.lit(RAW_CHARS))).alias("raw_text"),
+        F.when(F.col("parse_error").isNotNull(), F.left(F.make_valid_utf8(F.col("text")), F.lit(RAW_CHARS))).alias("raw_text"), *more,
     )
 
 

@@ -6,6 +6,9 @@ import json
 from datetime import datetime, timedelta
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Defect classes, the type they are planted in, and what the reason must hold.
 DEFECTS = {
     "malformed_json": ("Observation", "not valid JSON"), "missing_required_status": ("Observation", "status"), "code_outside_value_set": ("Patient", "value set"), "medication_choice_both_branches": ("MedicationRequest", "medication[x]"),
@@ -74,6 +77,15 @@ def with_defects(docs: dict[str, list[dict]], per_class: int = 3) -> tuple[dict[
     return lines, manifest
 
 
+def inject(rows: DataFrame, every: int) -> DataFrame:
+    """Read rows (sources.documents) of which each n-th by its place is made faulty: cut off, without a valid id, or of an unknown type."""
+    place = F.pmod(F.xxhash64("source_ref", "line_number"), F.lit(3 * every))
+    bad = {0: F.lit(None).cast("string"), 1: F.regexp_replace("payload", r'"id"\s*:\s*"', '"id": "not an id! '), 2: F.regexp_replace("payload", r'"resourceType"\s*:\s*"', '"resourceType": "Space')}
+    cut = (place == 0) & F.col("payload").isNotNull()
+    payload = F.when(cut, bad[0]).when(place == 1, bad[1]).when(place == 2, bad[2]).otherwise(F.col("payload"))
+    return rows.withColumns({"payload": payload, "parse_error": F.when(cut, "not valid JSON: injected truncation").otherwise(F.col("parse_error")), "raw_text": F.when(cut, F.left("payload", F.lit(40))).otherwise(F.col("raw_text"))})
+
+
 def write_lines(lines: dict[str, list[str]], folder: str) -> str:
     Path(folder).mkdir(parents=True, exist_ok=True)
     for kind, rows in lines.items():

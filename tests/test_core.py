@@ -288,18 +288,6 @@ def test_csv_blanks_stay_empty(spark, tmp_path):
     assert r.site_id == "" and r.baseline_date == ""
 
 
-def test_stream_lands_once(spark, tmp_path):
-    from medlattice.streaming.landing import land_stream
-
-    docs = fixtures.extract(3)
-    fixtures.write_lines({"Patient": [json.dumps(d) for d in docs["Patient"]] + ["oops"]}, f"{tmp_path}/in")
-    run = lambda: land_stream(spark, f"{tmp_path}/in", f"{tmp_path}/raw", f"{tmp_path}/rejects", f"{tmp_path}/cp").awaitTermination()
-    run()
-    fixtures.write_lines({"Patient.again": [json.dumps(d) for d in docs["Patient"]]}, f"{tmp_path}/in")
-    run()
-    assert spark.read.parquet(f"{tmp_path}/raw").count() == 3 and spark.read.parquet(f"{tmp_path}/rejects").count() == 1
-
-
 def test_codings_are_numbered(spark):
     docs = [(k, d["id"], json.dumps(d)) for k, v in fixtures.extract(1).items() for d in v]
     c = shred.codings(spark.createDataFrame(docs, "resource_type string, resource_id string, payload string"))
