@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import term
+from .tables import numbered
 
 #: The dictionaries of the trial.
 REACTIONS = {
@@ -18,6 +19,8 @@ REACTIONS = {
 REACTION_SYNONYMS = {"head ache": "Headache", "feeling sick to stomach": "Nausea", "tired all the time": "Fatigue", "sore throat and runny nose": "Nasopharyngitis"}
 REACTION_AMBIGUOUS = {"bp high": "Hypertension | Blood pressure increased"}
 DRUGS = {"Paracetamol": "N02BE01", "Ibuprofen": "M01AE01", "Amoxicillin": "J01CA04", "Omeprazole": "A02BC01", "Atorvastatin": "C10AA05", "Metformin": "A10BA02", "Salbutamol": "R03AC02"}
+ACTIONS = {"uncoded": "Query site for clarification", "ambiguous": "Medical monitor to select term"}
+DICTIONARIES = ("MedDRA", "WHODrug")
 DRUG_SYNONYMS = {"tylenol": "Paracetamol", "advil": "Ibuprofen"}
 
 
@@ -38,8 +41,8 @@ def code_terms(df: DataFrame, verbatim: str, preferred: DataFrame, synonyms: Dat
 
 
 def worklist(coded: DataFrame, verbatim: str, order: str) -> DataFrame:
-    """Unresolved verbatims by the records they block, first seen first among equals."""
-    action = F.when(F.col("status") == "ambiguous", "query the site: more than one preferred term fits").otherwise("propose a synonym or query the site")
-    out = coded.where("status in ('ambiguous', 'uncoded')").groupBy(verbatim, "status").agg(F.count("*").alias("records_blocked"), F.min(order).alias("_first"))
-    place = Window.orderBy(F.desc("records_blocked"), "_first")
-    return out.withColumn("place", F.row_number().over(place)).withColumn("suggested_action", action).drop("_first")
+    """Unresolved verbatims of each dictionary by the records they block, first seen first among equals; coded has the dictionary's name."""
+    action = F.when(F.col("status") == "ambiguous", ACTIONS["ambiguous"]).otherwise(ACTIONS["uncoded"])
+    out = coded.where("status in ('ambiguous', 'uncoded')").groupBy("dictionary", verbatim, "status").agg(F.count("*").alias("records_blocked"), F.min(order).alias("_first"))
+    placed = numbered(out, [F.desc("records_blocked"), F.col("_first"), F.col("dictionary"), F.col(verbatim)], "place")
+    return placed.withColumn("place", F.col("place").cast("int")).withColumn("suggested_action", action).drop("_first")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .measures import upper_medians
+from .tables import numbered
 
 #: The study's code lists, visits, forms and items.
 CODELISTS = {
@@ -16,6 +18,8 @@ CODELISTS = {
 }
 #: (visit, number, label, study day, window in days)
 VISITS = [("SCR", 1, "Screening", -14, 7), ("BASE", 2, "Baseline / Day 1", 1, 0), ("WK4", 3, "Week 4", 28, 3), ("WK12", 4, "Week 12", 84, 5), ("EOS", 5, "End of study", 168, 7)]
+#: The forms of each visit.
+VISIT_FORMS = {"SCR": ("DM", "IE", "VS", "MH"), "BASE": ("VS", "EX", "AE"), "WK4": ("VS", "EX", "AE", "CM"), "WK12": ("VS", "EX", "AE", "CM"), "EOS": ("VS", "AE", "CM", "DS")}
 #: form: [(item, label, type, required, code list, low, high, unit)]
 FORMS = {
     "DM": [("BRTHDAT", "Date of birth", "date", True, None, None, None, None), ("SEX", "Sex", "code", True, "SEX", None, None, None), ("RFICDAT", "Date of informed consent", "date", True, None, None, None, None), ("ARM", "Randomised arm", "code", True, "ARM", None, None, None)],
@@ -140,9 +144,8 @@ def run_checks(items: DataFrame, subjects: DataFrame) -> DataFrame:
     visit = visit_checks(rec, subjects, meta).withColumn("phase", F.lit(0))
     form = universal_checks(rec, meta).unionByName(cross_checks(rec, subjects)).withColumn("phase", F.lit(1))
     both = visit.withColumn("ord", F.lit(0).cast("long")).unionByName(form.withColumn("ord", F.col("ord").cast("long")))
-    # Queries are few against items, and numbers in one sequence need one order.
-    w = Window.orderBy("phase", "ord", F.when(F.col("phase") == 0, F.col("subject_id")), F.when(F.col("phase") == 0, F.col("visit_id")), "place", "check_id")
-    return both.withColumn("query_id", F.format_string("Q%05d", F.row_number().over(w))).select("query_id", *RECORD, "item_oid", "check_id", "severity", "protocol_ref", "query_text")
+    order = [F.col("phase"), F.col("ord"), F.when(F.col("phase") == 0, F.col("subject_id")), F.when(F.col("phase") == 0, F.col("visit_id")), F.col("place"), F.col("check_id")]
+    return numbered(both, order, "_n").withColumn("query_id", F.format_string("Q%05d", "_n")).select("query_id", *RECORD, "item_oid", "check_id", "severity", "protocol_ref", "query_text")
 
 
 def age_band(days: Column) -> Column:
@@ -160,17 +163,39 @@ def query_log(queries: DataFrame, dates: DataFrame, cut: str = "2026-07-30") ->
     return q.withColumn("age_band", age_band(F.col("age_days")))
 
 
+def query_ledger(log: DataFrame) -> DataFrame:
+    """Queries by status, open before closed, then by age, the oldest first, with their place; those without an age come last."""
+    shown = log.select("query_id", "site_id", "subject_id", "check_id", "severity", "status", "age_days", "query_text")
+    return numbered(shown, [F.desc("status"), F.desc_nulls_last("age_days"), F.col("query_id")], "place")
+
+
 def site_performance(log: DataFrame) -> DataFrame:
     """Raised, open, closed, share closed and (upper) median days to close for each site."""
     closed = F.col("status") == "closed"
-    days = F.sort_array(F.collect_list(F.when(closed, F.col("days_to_close"))))
-    return log.groupBy("site_id").agg(
-        F.count("*").alias("queries_raised"), F.count_if(~closed).alias("queries_open"), F.count_if(closed).alias("queries_closed"), C.ratio(F.count_if(closed), F.count("*"), 4).alias("close_rate"), F.get(days, (F.size(days) / 2).cast("int")).alias("median_days_to_close"))
+    median = upper_medians(log.where(closed), ["site_id"], "days_to_close", "median_days_to_close")
+    counts = log.groupBy("site_id").agg(
+        F.count("*").alias("queries_raised"), F.count_if(~closed).alias("queries_open"), F.count_if(closed).alias("queries_closed"), C.ratio(F.count_if(closed), F.count("*"), 4).alias("close_rate"))
+    return counts.join(median, "site_id", "left")
 
 
 def test_cases(spark: SparkSession) -> DataFrame:
-    """Acceptance tests from the metadata: one for each form, item, code list and visit, two (raises, stays silent) for each check."""
-    rows = [("form", f, f"Form {f} opens with its items") for f in FORMS] + [("item", f"{f}.{i[0]}", f"{i[1]} accepts a valid entry") for f, items in FORMS.items() for i in items]
-    rows += [("codelist", k, f"Only {', '.join(v)} can be chosen") for k, v in CODELISTS.items()] + [("visit", v[0], f"{v[2]} is due on day {v[3]} +/- {v[4]}") for v in VISITS]
-    rows += [(f"check {kind}", c, f"{c} {said}") for c in CHECKS for kind, said in (("positive", "raises a query on a planted defect"), ("negative", "stays silent on clean data"))]
-    return spark.createDataFrame([(f"UAT-{i:03d}", *r, "", "", "", None) for i, r in enumerate(rows, 1)], "test_id string, category string, object string, objective string, actual_result string, pass_fail string, tester string, date string")
+    """The acceptance plan from the metadata: each form, item, code item and visit, two cases for each check (raises, stays silent), and what
+    any such system must do. What testers fill in is empty."""
+    rows = []
+    for form, items in FORMS.items():
+        rows.append(("Form rendering", form, f"Form {form} shows its items", f"Open form {form} for a test subject", f"{len(items)} items, labelled and ordered as specified"))
+        rows += [("Data entry", f"{form}.{oid}", f"{label} takes a valid value", f"Enter a valid {kind} value in {label}, save, leave the form and come back", "The value is shown as entered") for oid, label, kind, *_ in items]
+    for form, items in FORMS.items():
+        rows += [("Controlled terminology", f"{form}.{oid}", f"{label} offers its permitted values only", f"Open the list of {label}", f"Exactly: {', '.join(CODELISTS[codes])}") for oid, label, kind, _, codes, *_ in items if kind == "code"]
+    for check, (severity, section, _) in CHECKS.items():
+        rows.append(("Edit check (positive)", check, f"{check} raises a query", f"Enter data that {check} ({section}) forbids", f"A query of severity {severity} with the specified text"))
+        rows.append(("Edit check (negative)", check, f"{check} stays silent", f"Enter valid data in the fields of {check}", "No query"))
+    rows += [("Visit structure", visit, f"{label} has its forms", f"Go to {label} for a test subject", f"Exactly: {', '.join(VISIT_FORMS[visit])}") for visit, _, label, *_ in VISITS]
+    rows += [
+        ("Audit trail", "System", "Changes leave a trail", "Enter a value, save, change it, save; open the trail", "Old and new value, each with user, time and reason"),
+        ("Access control", "System", "Roles are kept", "Log in as a monitor who may only read; try to enter data", "The record is shown, entry is refused"),
+        ("Query workflow", "System", "Queries go from open to answered to closed", "Answer an open query as the site, close it as data management", "Each step by its role only, and in the trail"),
+        ("Extract integrity", "System", "The extract equals what is shown", "Extract the study; compare 20 records with the screens", "All fields of all 20 are equal"),
+    ]
+    names = "test_id string, category string, object string, objective string, steps string, expected_result string, actual_result string, pass_fail string, tester string, date string"
+    return spark.createDataFrame([(f"UAT-{i:03d}", *r, "", "", "", "") for i, r in enumerate(rows, 1)], names)

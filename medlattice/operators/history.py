@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import FIRST_DAY, OPEN_END, row_hash
+from ..shared import written
 
 HISTORY = ("effective_from", "effective_to", "is_current", "version_number", "row_hash")
 
@@ -88,6 +89,37 @@ def as_of_join(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns:
     return facts.withColumn("_at", when).join(d, (F.col(key) == F.col("_key")) & F.col("_at").between(F.col("_from"), F.col("_to")), "left").drop("_key", "_from", "_to", "_at")
 
 
+def as_of_sorted(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns: Sequence[str], start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+    """as_of_join for keys with very many facts or versions: facts and versions are sorted together by key and time, over range partitions,
+    and each fact takes the last version before it.
+
+    A key's rows may span partitions. What a partition hands on is the last version of its last key, one row; partitions that begin with
+    that key take it up. So no task holds a key, and no fact meets versions of other times. Versions of a key must not overlap. A version
+    that begins at a fact's time applies; facts without a key or a version keep nulls, null dates look at the first
+    day.
+    """
+    time = dim.schema[start].dataType
+    when = (F.coalesce(at, F.lit(FIRST_DAY).cast(time)) if time.typeName().startswith(("date", "timestamp")) else at).cast(time)
+    version = F.struct(F.col(end).alias("_to"), *columns)
+    kind = dim.select(version.alias("v")).schema["v"].dataType
+    f = facts.select(F.col(key).alias("_k"), when.alias("_at"), F.lit(1).alias("_fact"), F.struct(*facts.columns).alias("_f"), F.lit(None).cast(kind).alias("_v"))
+    v = dim.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(start).alias("_at"), F.lit(0).alias("_fact"), F.lit(None).cast(f.schema["_f"].dataType).alias("_f"), version.alias("_v"))
+    order = ["_k", "_at", "_fact"]
+    placed = written(f.unionByName(v).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_line", F.monotonically_increasing_id()), "as-of").withColumn("_part", F.shiftright("_line", 33))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumn("_own", F.last("_v", ignorenulls=True).over(up_to(Window.partitionBy("_part", "_k").orderBy("_line"))))
+    # The last version in each partition of each key that ends there, and the keys that partitions begin with: two rows for a partition.
+    edges = placed.groupBy("_part").agg(F.min_by(F.struct("_k"), "_line").alias("first"), F.max_by(F.struct("_k"), "_line").alias("last"))
+    last = placed.where("_v is not null").groupBy("_part", F.col("_k").alias("_lk")).agg(F.max_by("_v", "_line").alias("_hand"))
+    ends = edges.join(last, (F.col("last._k") == F.col("_lk")) & (edges["_part"] == last["_part"]), "left").select(edges["_part"], F.col("last._k").alias("_k"), "_hand", F.lit(1).alias("_give"))
+    begins = edges.select("_part", F.col("first._k").alias("_k"), F.lit(None).cast(kind).alias("_hand"), F.lit(0).alias("_give"))
+    taken = ends.unionByName(begins).withColumn("_carried", F.last("_hand", ignorenulls=True).over(up_to(Window.partitionBy("_k").orderBy("_part", "_give"))))
+    taken = F.broadcast(taken.where("_give = 0 and _carried is not null").select(F.col("_part").alias("_p"), F.col("_k").alias("_pk"), "_carried"))  # a row for each partition at most
+    found = own.where("_fact = 1").join(taken, (F.col("_part") == F.col("_p")) & (F.col("_k") == F.col("_pk")), "left").withColumn("_use", F.coalesce("_own", "_carried"))
+    use = F.when(F.col("_at") <= F.col("_use._to"), F.col("_use"))
+    return found.select("_f.*", *(use[c].alias(c) for c in columns))
+
+
 def integrity(dim: DataFrame, key: str) -> DataFrame:
     """Failures of a Type 2 table, (check_name, key, detail); empty if it is sound."""
     w = Window.partitionBy(key).orderBy("effective_from", "version_number")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import FIRST_DAY, ratio
+from . import order_stats
 
 
 def returns(visits: DataFrame, who: str, start: Column, end: Column, visit_id: str, within: int = 30) -> DataFrame:
@@ -23,8 +24,14 @@ def rate_by(df: DataFrame, by: Sequence[Column | str], flag: str, count: str = "
     return df.groupBy(*by).agg(F.count("*").alias(count), F.sum(F.col(flag).cast("long")).alias(hits)).withColumn(rate, ratio(F.col(hits), F.col(count)))
 
 
-def reference_band(df: DataFrame, by: Sequence[str], value: str, least: int = 30) -> DataFrame:
-    """5th and 95th percentile (interpolated), extremes and mean of each group with enough values."""
+def reference_band(df: DataFrame, by: Sequence[str], value: str, least: int = 30, large: int = order_stats.LARGE) -> DataFrame:
+    """5th and 95th percentile (interpolated), extremes and mean of each group with enough values. Percentiles of groups with more than
+    `large` values are found by counting, without a task that holds the group."""
+    if order_stats.has_large(df, by, value, large):
+        rest = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n_values"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(F.col(value).cast("double")), 6).alias("mean"))
+        q = order_stats.quantiles(df, by, value, {"p05": 0.05, "p95": 0.95}, large).drop("n_values")
+        both = rest.alias("a").join(q.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+        return both.where(F.col("n_values") >= least).select(*(F.col(f"a.{c}") for c in by), "n_values", F.round("p05", 6).alias("p05"), F.round("p95", 6).alias("p95"), "low", "high", "mean")
     p = lambda q: F.round(F.expr(f"percentile_cont({q}) within group (order by `{value}`)"), 6)
     stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(value).alias("n_values"), p(0.05).alias("p05"), p(0.95).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(F.col(value).cast("double")), 6).alias("mean"),
@@ -38,17 +45,20 @@ def outliers(df: DataFrame, band: DataFrame, by: Sequence[str], value: str) -> D
     return df.where(F.col(value).isNotNull()).join(b, list(by)).withColumn("is_outlier", ((F.col(value) < F.col("p05")) | (F.col(value) > F.col("p95"))).cast("int"))
 
 
-def iqr_fence(df: DataFrame, by: Sequence[str], value: str, times: float = 3.0) -> DataFrame:
-    """Rows outside the fence of quartiles, with the distance to it."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+def iqr_fence(df: DataFrame, by: Sequence[str], value: str, times: float = 3.0, large: int = order_stats.LARGE) -> DataFrame:
+    """Rows outside the fence of quartiles, with the distance to it; quartiles of groups of more than `large` values as in reference_band."""
+    if order_stats.has_large(df, by, value, large):
+        q = order_stats.quantiles(df, by, value, {"q1": 0.25, "q3": 0.75}, large).select(*by, F.array("q1", "q3").alias("_q"))
+    else:
+        q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     q = q.select(*by, (F.col("_q")[0] - times * (F.col("_q")[1] - F.col("_q")[0])).alias("fence_low"), (F.col("_q")[1] + times * (F.col("_q")[1] - F.col("_q")[0])).alias("fence_high"))
     out = df.join(q, list(by)).where((F.col(value) < F.col("fence_low")) | (F.col(value) > F.col("fence_high")))
     return out.withColumn("beyond", F.greatest(F.col("fence_low") - F.col(value), F.col(value) - F.col("fence_high")))
 
 
-def upper_median(value: str) -> Column:
-    """The middle value of a group, the upper of two; not interpolated."""
-    return F.expr(f"sort_array(collect_list(`{value}`))[cast(count(`{value}`) div 2 as int)]")
+def upper_medians(df: DataFrame, by: Sequence[str], value: str, name: str = "upper_median", large: int = order_stats.LARGE) -> DataFrame:
+    """The middle value of each group, the upper of two; not interpolated. Groups without values have no row."""
+    return order_stats.at_ranks(df, by, value, {name: F.floor(F.col("n_values") / 2)}, large).select(*by, name)
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str = "running") -> DataFrame:

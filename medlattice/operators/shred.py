@@ -12,6 +12,11 @@ from .tables import first_by, latest_version, upsert, with_keys
 #: Fixed values.
 NPI = "http://hl7.org/fhir/sid/us-npi"
 LOINC, SNOMED, RXNORM = "http://loinc.org", "http://snomed.info/sct", "http://www.nlm.nih.gov/research/umls/rxnorm"
+#: Known code systems, their names, and whether their content is licensed.
+SYSTEMS = {
+    "http://loinc.org": ("LOINC", True), "http://snomed.info/sct": ("SNOMED CT", True), "http://www.nlm.nih.gov/research/umls/rxnorm": ("RxNorm", False), "http://hl7.org/fhir/sid/icd-10-ca": ("ICD-10-CA", True),
+    "http://terminology.hl7.org/CodeSystem/v3-ActCode": ("HL7 v3 ActCode", False), "http://terminology.hl7.org/CodeSystem/v3-MaritalStatus": ("HL7 v3 MaritalStatus", False), "http://unitsofmeasure.org": ("UCUM", False),
+}
 EXPECTED_SYSTEM = {"Condition": SNOMED, "Observation": LOINC, "MedicationRequest": RXNORM, "Procedure": SNOMED}
 
 
@@ -61,7 +66,13 @@ def register_codes(systems: DataFrame, concepts: DataFrame, found: DataFrame) ->
 
 
 def empty_terminology(spark) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame([], "code_system_id long, system_uri string"), spark.createDataFrame([], "code_concept_id long, code_system_id long, code string, display string")
+    return spark.createDataFrame([], "code_system_id long, system_uri string, system_name string, is_licensed boolean"), spark.createDataFrame([], "code_concept_id long, code_system_id long, code string, display string")
+
+
+def seeded(systems: DataFrame) -> DataFrame:
+    """The code systems with the known ones' names, licensed or not; systems that documents bring are added as they are found."""
+    known = systems.sparkSession.createDataFrame([(uri, *said) for uri, said in SYSTEMS.items()], "system_uri string, system_name string, is_licensed boolean")
+    return with_keys(upsert(systems, known, ["system_uri"]), "code_system_id", ["system_uri"])
 
 
 def code_view(systems: DataFrame, concepts: DataFrame) -> DataFrame:

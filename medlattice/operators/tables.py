@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by the given order."""
@@ -43,22 +45,23 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: bo
     return both.select(*cols)
 
 
-def with_keys(df: DataFrame, key: str, order: Sequence[str], start: int = 1) -> DataFrame:
-    """Numbers rows whose key is null after the greatest key there is, in the order of a business key.
-
-    Rows are numbered within range partitions of the order, and each partition's base is the number of rows before it, so no
-    single task holds them all.
-    """
-    old, new = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
-    top = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    placed = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str, start: int | Column = 1) -> DataFrame:
+    """Rows with their place in an order, from `start`, without a task that sees them all: they are sorted by range and written, so that
+    the numbers within partitions and the sizes of those before come from the same rows; the sizes are a row for each partition."""
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("_part", F.shiftright("_id", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")  # a row for each partition
-    numbered = placed.join(F.broadcast(base), "_part").crossJoin(F.broadcast(top))
+    base = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = numbered.withColumn(key, (F.greatest(F.col("_top"), F.lit(start - 1)) + F.col("_base") + inside + 1).cast(df.schema[key].dataType))
-    return old.unionByName(numbered.select(*df.columns))
+    return placed.join(F.broadcast(base), "_part").withColumn(name, F.lit(start) + F.col("_base") + inside).drop("_id", "_part", "_base")
+
+
+def with_keys(df: DataFrame, key: str, order: Sequence[str], start: int = 1) -> DataFrame:
+    """Numbers rows whose key is null after the greatest key there is, in the order of a business key (see numbered)."""
+    old, new = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    top = df.agg(F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(start - 1)).alias("_top"))
+    placed = numbered(new.drop(key), order, "_n").crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast(df.schema[key].dataType))
+    return old.unionByName(placed.select(*df.columns))
 
 
 def with_unknown(df: DataFrame, key: str, **values) -> DataFrame:

@@ -8,12 +8,10 @@ One build serves all queries of a session over the same tables.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
 from ..operators import gate, shred, views, warehouse_checks
 from ..sources import documents
 from ..operators.shred import LOINC, NPI, RXNORM, SNOMED
@@ -22,15 +20,6 @@ from . import warehouse
 EFFECTIVE = "2026-08-01"
 
 
-def _scratch(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='medlattice-')}"
-    return f"{at.rstrip('/')}/documents-{uuid.uuid4().hex}"
-
-
 def _coding(system: str, code: Column, display: Column | None = None) -> Column:
     return F.struct(F.array(F.struct(F.lit(system).alias("system"), code.alias("code"), (F.lit(None).cast("string") if display is None else display).alias("display"))).alias("coding"))
 
@@ -43,10 +32,31 @@ def _stamp(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _texts(df: DataFrame, kind: str, **parts: Column) -> DataFrame:
+    return df.select(F.to_json(F.struct(F.lit(kind).alias("resourceType"), *(v.alias(k) for k, v in parts.items()))).alias("value"))
+
+
+def _home(new: Column | None = None) -> Column:
+    home = F.concat(F.lit("city "), F.col("c_nationkey").cast("string"))
+    return home if new is None else F.when(new, F.concat(F.lit("new "), home)).otherwise(home)
+
+
+def patient_texts(rows: DataFrame, version: str, city: Column, marital: Column | None = None) -> DataFrame:
+    """Customers as patients; some are robots, which the gate rejects."""
+    n = F.col("c_custkey")
+    usual = F.when(n % 3 == 0, "M").otherwise("S")
+    return _texts(
+        rows, "Patient", id=F.concat(F.lit("pat-"), n.cast("string")), meta=F.struct(F.lit(version).alias("versionId"), F.lit(f"2026-07-0{version}T00:00:00Z").alias("lastUpdated")),
+        name=F.array(F.struct(F.col("c_name").alias("family"), F.array(F.lit("P")).alias("given"))), birthDate=F.date_add(F.lit("1930-01-01").cast("date"), (n % 800 * 37).cast("int")).cast("string"),
+        gender=F.when(n % 50 == 7, "robot").when(n % 2 == 0, "female").otherwise("male"), maritalStatus=_coding("urn:marital", usual if marital is None else F.coalesce(marital, usual)),
+        address=F.array(F.struct(city.alias("city"), F.col("c_mktsegment").alias("state")), F.struct(F.lit("second").alias("city"), F.lit("none").alias("state"))),
+    )
+
+
 def document_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """(value) JSON texts by document type; they refer to each other."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = lambda df, kind, **parts: df.select(F.to_json(F.struct(F.lit(kind).alias("resourceType"), *(v.alias(k) for k, v in parts.items()))).alias("value"))
+    text = _texts
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     mod = lambda c, n: F.col(c) % n
     out = {}
@@ -56,12 +66,7 @@ def document_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     out["Practitioner"] = text(t("supplier"), "Practitioner", id=key("prac-", "s_suppkey"), name=F.array(F.struct(F.col("s_name").alias("family"), F.array(F.lit("Dr")).alias("given"))),
         gender=F.when(mod("s_suppkey", 2) == 0, "female").otherwise("male"), identifier=F.array(F.struct(F.lit(NPI).alias("system"), F.col("s_suppkey").cast("string").alias("value"))))
     c = t("customer")
-    patient = lambda rows, version, city: text(rows, "Patient", id=key("pat-", "c_custkey"), meta=F.struct(F.lit(version).alias("versionId"), F.lit(f"2026-07-0{version}T00:00:00Z").alias("lastUpdated")),
-        name=F.array(F.struct(F.col("c_name").alias("family"), F.array(F.lit("P")).alias("given"))), birthDate=F.date_add(F.lit("1930-01-01").cast("date"), (mod("c_custkey", 800) * 37).cast("int")).cast("string"),
-        gender=F.when(mod("c_custkey", 50) == 7, "robot").when(mod("c_custkey", 2) == 0, "female").otherwise("male"), maritalStatus=_coding("urn:marital", F.when(mod("c_custkey", 3) == 0, "M").otherwise("S")),
-        address=F.array(F.struct(city.alias("city"), F.col("c_mktsegment").alias("state")), F.struct(F.lit("second").alias("city"), F.lit("none").alias("state"))))
-    home = F.concat(F.lit("city "), F.col("c_nationkey").cast("string"))
-    out["Patient"] = patient(c, "1", home).unionByName(patient(c.where("c_custkey % 7 = 1"), "2", F.concat(F.lit("new "), home)))
+    out["Patient"] = patient_texts(c, "1", _home()).unionByName(patient_texts(c.where("c_custkey % 7 = 1"), "2", _home(F.lit(True))))
     o = t("orders")
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "EMER").when(F.col("o_orderpriority") == "2-HIGH", "IMP").when(F.col("o_orderpriority") == "3-MEDIUM", "AMB").when(F.col("o_orderpriority") == "5-LOW", "HH").otherwise("VR")
     start = F.col("o_orderdate")
@@ -90,22 +95,41 @@ def document_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
-_BUILT: dict[tuple[str, str], tuple[str, dict[str, DataFrame]]] = {}
+_BUILT: dict[tuple[str, str], tuple[str, warehouse.Store, dict[str, DataFrame]]] = {}
+_SECOND: dict[tuple[str, str], dict[str, DataFrame]] = {}
+#: The day that the second load stands for: orders are before and after it.
+FEED_DAY = "1996-01-01"
 
 
-def _built(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
-    """The folder of line-delimited documents, and all tables of the warehouse that was built from it."""
+def _built(spark: SparkSession, sf_dir: str) -> tuple[str, warehouse.Store, dict[str, DataFrame]]:
+    """The folder of line-delimited documents, the warehouse that was built from it, and its tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        root = _scratch(spark)
+        root = fresh_path(spark, "documents")
         for kind, texts in document_texts(spark, sf_dir).items():
             texts.write.text(f"{root}/extract/{kind}.ndjson")
-        _BUILT[key] = (f"{root}/extract", warehouse.build(spark, f"{root}/warehouse", f"{root}/extract", EFFECTIVE)[1])
+        _BUILT[key] = (f"{root}/extract", *warehouse.build(spark, f"{root}/warehouse", f"{root}/extract", EFFECTIVE))
     return _BUILT[key]
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return _built(spark, sf_dir)[1]
+    return _built(spark, sf_dir)[2]
+
+
+def _second(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables after a second load on FEED_DAY, whose feed has a new version of a fifth of the patients (moved, married or both), one
+    version that is landed already, and one document that is faulty. The tables of the first load stay as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SECOND:
+        extract, store, _ = _built(spark, sf_dir)
+        feed = f"{extract.rpartition('/')[0]}/feed"
+        c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+        patient_texts(c.where("c_custkey % 5 = 2"), "3", F.when(F.col("c_custkey") % 3 != 0, F.lit("moved")).otherwise(_home(F.col("c_custkey") % 7 == 1)), F.when(F.col("c_custkey") % 3 != 1, "W")).write.text(f"{feed}/Patient.ndjson")
+        t = patient_texts(c.where("c_custkey % 5 = 3"), "1", _home())
+        t.unionByName(spark.range(1).select(F.lit('{"resourceType": "Patient"}').alias("value"))).write.text(f"{feed}/Patient.again.ndjson")
+        got = warehouse.ingest(store, documents.read_lines(spark, [f"{feed}/Patient.ndjson", f"{feed}/Patient.again.ndjson"]), "changefeed")
+        _SECOND[key] = warehouse.load(store, FEED_DAY, str(got["batch_id"]))
+    return _SECOND[key]
 
 
 #: The rows that the documents must become, in SQL over the driver's tables.
@@ -469,3 +493,41 @@ def check_quarantine(spark, sf_dir):
 def check_precision(spark, sf_dir):
     """DOM-02 with values that became 0."""
     return _failures("DOM-02", sf_dir, spark, observation=_when_tenth("observation_id", "value_quantity", F.lit(0).cast("decimal(18,6)")))
+
+
+#: Patients by version after the second load.
+_VERSIONED = """, numbered as (select *, replace(patient_id, 'pat-', '')::int as c from pat),
+twice as (select patient_id, city, marital_status, 1 as version_number, c % 5 <> 2 as is_current, date '1900-01-01' as effective_from, case when c % 5 = 2 then date '1995-12-31' else date '9999-12-31' end as effective_to from numbered
+  union all select patient_id, case when c % 3 <> 0 then 'moved' else city end, case when c % 3 <> 1 then 'W' else marital_status end, 2, true, date '1996-01-01', date '9999-12-31' from numbered where c % 5 = 2)
+"""
+
+
+@_query(_VERSIONED + "select * from twice")
+def second_load_patients(spark, sf_dir):
+    """The patient dimension after a second load: a version more for those who moved or married."""
+    return _second(spark, sf_dir)["dw.patient"].where("patient_key != -1").select("patient_id", "city", "marital_status", "version_number", "is_current", "effective_from", "effective_to")
+
+
+@_query(_VERSIONED + "select encounter_id, patient_id, t.version_number, t.city from enc join twice t using (patient_id) where period_start::date between effective_from and effective_to")
+def second_load_visits(spark, sf_dir):
+    """Encounters with the version of their patient at the time."""
+    t = _second(spark, sf_dir)
+    return t["fact.encounter"].select("encounter_id", "patient_key").join(t["dw.patient"].select("patient_key", "patient_id", "version_number", "city"), "patient_key").drop("patient_key")
+
+
+@_query(_VERSIONED + "select procedure_id as fact_id, patient_id, t.version_number from pro join twice t using (patient_id) where performed_start::date between effective_from and effective_to union all select condition_id, patient_id, t.version_number from con join twice t using (patient_id) where onset_datetime::date between effective_from and effective_to union all select medication_request_id, patient_id, t.version_number from med join twice t using (patient_id) where authored_on::date between effective_from and effective_to union all select distinct observation_id, patient_id, t.version_number from obs join twice t using (patient_id) where effective_datetime::date between effective_from and effective_to")
+def second_load_facts(spark, sf_dir):
+    """The other facts with the version of their patient at the time."""
+    t = _second(spark, sf_dir)
+    ids = {"procedure": "procedure_id", "encounter_diagnosis": "condition_id", "medication_order": "medication_request_id", "observation": "observation_id"}
+    rows = [t[f"fact.{n}"].select(F.col(c).alias("fact_id"), "patient_key").distinct() for n, c in ids.items()]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return both.join(t["dw.patient"].select("patient_key", "patient_id", "version_number"), "patient_key").drop("patient_key")
+
+
+@_query("""select 'changefeed' as batch_kind, 'succeeded' as status, count(*) + 1 as n_read, count(*) filter (c_custkey % 50 <> 7 and c_custkey % 5 = 2) as n_accepted, count(*) filter (c_custkey % 50 <> 7 and c_custkey % 5 = 3) as n_duplicate, count(*) filter (c_custkey % 50 = 7) + 1 as n_rejected from customer where c_custkey % 5 in (2, 3)
+  union all select 'bulk', 'succeeded', n_read, n_read - n_rejected, 0, n_rejected from (select (select count(*) from rej) as n_rejected, (select count(*) from nation) + (select count(*) from supplier) + (select count(*) + count(*) filter (c_custkey % 7 = 1) from customer) + (select count(*) from orders) + (select count(*) from orders where o_orderkey % 500 = 1)
+  + (select count(*) from events) + (select count(*) from part) + (select count(*) from orders where o_orderkey % 3 = 0) + (select count(*) from orders where o_orderkey % 4 = 0) as n_read)""")
+def second_load_batches(spark, sf_dir):
+    """Both ingests: what the feed brought again counts as duplicates."""
+    return _second(spark, sf_dir)["meta.load_batch"].select("batch_kind", "status", "n_read", "n_accepted", "n_duplicate", "n_rejected")

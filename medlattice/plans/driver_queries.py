@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import history, measures, tables
+from ..operators import edc, history, measures, order_stats, release, skew, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,9 +139,10 @@ def scd2_build(spark, sf):
 
 @query(_VERSIONS + "select event_id, e.user_id, v.event_type as state, version_number from events e join v on v.user_id = e.user_id and e.ts >= valid_from and (valid_to is null or e.ts < valid_to)")
 def pit_join(spark, sf):
-    v = _user_versions(spark, sf).select(F.col("user_id").alias("u"), F.col("event_type").alias("state"), "valid_from", "valid_to", "version_number")
-    e = read(spark, sf, "events")
-    return e.join(v, (F.col("user_id") == F.col("u")) & (F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))).select("event_id", "user_id", "state", "version_number")
+    end = F.coalesce(F.col("valid_to") - F.expr("interval 1 microsecond"), F.lit("9999-12-31").cast("timestamp_ntz"))
+    v = _user_versions(spark, sf).select("user_id", F.col("event_type").alias("state"), "valid_from", end.alias("valid_until"), "version_number")
+    found = history.as_of_join(read(spark, sf, "events").select("event_id", "user_id", "ts"), v, "user_id", F.col("ts"), ["state", "version_number"], "valid_from", "valid_until")
+    return found.where("state is not null").drop("ts")
 
 
 def _customer_history(spark, sf):
@@ -281,9 +282,20 @@ def coding_outcome(spark, sf):
     return _coded(spark, sf).select("p_partkey", "status", "coded")
 
 
-@query(_CODED + "select term, count(*) as records_blocked from c where status = 'uncoded' group by term")
+@query("""
+with v as (select p_name as verbatim, p_partkey, regexp_replace(lower(trim(p_name)), '[^a-z0-9 ]', '', 'g') as term from part),
+c as (select *, case when term like 'b%' then 'auto' when term like 's%' then 'ambiguous' else 'uncoded' end as status from v),
+w as (select 'names' as dictionary, verbatim, status, count(*) as records_blocked, min(p_partkey) as f from c where status <> 'auto' group by all)
+select dictionary, verbatim, status, records_blocked, row_number() over (order by records_blocked desc, f, verbatim)::int as place, case status when 'ambiguous' then 'Medical monitor to select term' else 'Query site for clarification' end as suggested_action from w""")
 def coding_worklist(spark, sf):
-    return _coded(spark, sf).where("status = 'uncoded'").groupBy("term").agg(F.count("*").alias("records_blocked"))
+    """Names that no dictionary has, or that may mean two things, by the parts they hold up."""
+    from ..operators import coding
+
+    p = read(spark, sf, "part").select(F.col("p_name").alias("verbatim"), "p_partkey", F.lit("names").alias("dictionary"))
+    names = p.select(C.term(F.col("verbatim")).alias("term")).distinct()
+    some = lambda letter, said: names.where(F.col("term").startswith(letter)).select("term", said.alias("preferred"))
+    coded = coding.code_terms(p, "verbatim", some("b", F.col("term")), some("none", F.col("term")), some("s", F.concat("term", F.lit(" | other"))))
+    return coding.worklist(coded, "verbatim", "p_partkey")
 
 
 @query("""
@@ -403,7 +415,52 @@ def year_over_year(spark, sf):
 @query("""
 select o_orderpriority, list_sort(list(o_totalprice))[cast(count(*) // 2 as bigint) + 1] as upper_median, round(median(o_totalprice), 6) as median from orders group by 1""")
 def medians(spark, sf):
-    return read(spark, sf, "orders").groupBy("o_orderpriority").agg(measures.upper_median("o_totalprice").alias("upper_median"), F.round(F.median("o_totalprice"), 6).alias("median"))
+    o = read(spark, sf, "orders")
+    middle = o.groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 6).alias("median"))
+    return measures.upper_medians(o, ["o_orderpriority"], "o_totalprice").join(middle, "o_orderpriority")
+
+
+@query("""
+with m as (select l_returnflag, quantile_cont(l_extendedprice, 0.05) as p05, quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.999) as p999, count(*) as n_values, list_sort(list(l_quantity))[(count(*) // 2)::bigint + 1]::double as upper_median, list_sort(list(l_quantity))[1]::double as least from lineitem group by 1)
+select l_returnflag, n_values, round(p05, 6) as p05, round(p50, 6) as p50, round(p999, 6) as p999, upper_median, least from m""")
+def order_statistics(spark, sf):
+    """Quantiles and ranks of large groups found by counting between cuts: here all groups of more than 1,000 values go that way."""
+    i = read(spark, sf, "lineitem")
+    q = order_stats.quantiles(i, ["l_returnflag"], "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p999": 0.999}, large=1000)
+    r = order_stats.at_ranks(i, ["l_returnflag"], "l_quantity", {"upper_median": F.floor(F.col("n_values") / 2), "least": F.lit(0)}, large=1000)
+    q = q.select("l_returnflag", "n_values", *(F.round(c, 6).alias(c) for c in ("p05", "p50", "p999")))
+    return q.join(r.select("l_returnflag", F.col("upper_median").cast("double").alias("upper_median"), F.col("least").cast("double").alias("least")), "l_returnflag")
+
+
+@query("""
+with m as (select distinct o_orderpriority as cohort, sha256(o_orderkey::varchar) as h from orders),
+n as (select cohort, count(*) as members, case when count(*) <= 64 then 0 when count(*) <= 1024 then 1 when count(*) <= 16384 then 2 when count(*) <= 262144 then 3 end as depth from m group by 1),
+b as (select cohort, members, depth, left(h, depth) as p, sha256(string_agg(h, '' order by h)) as v from m join n using (cohort) group by all),
+b2 as (select * from b where depth < 3 union all select cohort, members, depth, left(p, 2), sha256(string_agg(right(p, 1) || v, '' order by p)) from b where depth = 3 group by all),
+b1 as (select * from b2 where depth < 2 union all select cohort, members, depth, left(p, 1), sha256(string_agg(right(p, 1) || v, '' order by p)) from b2 where depth >= 2 group by all),
+b0 as (select * from b1 where depth < 1 union all select cohort, members, depth, '', sha256(string_agg(right(p, 1) || v, '' order by p)) from b1 where depth >= 1 group by all)
+select cohort, members, depth, upper(left(v, 16)) as tree_fingerprint from b0""")
+def cohort_tree_fingerprint(spark, sf):
+    """Fingerprints of cohorts as hash trees, with blocks of 64 members."""
+    return release.tree_fingerprint(read(spark, sf, "orders").withColumnRenamed("o_orderpriority", "cohort"), ["cohort"], "o_orderkey", block=64)
+
+
+@query(_VERSIONS + "select event_id, e.user_id, v.event_type as state, version_number from events e left join v on v.user_id = e.user_id and e.ts >= valid_from and (valid_to is null or e.ts < valid_to)")
+def pit_sorted(spark, sf):
+    """Events with their user's state at the time, by sorting events and versions together over range partitions."""
+    v = _user_versions(spark, sf)
+    end = F.coalesce(F.col("valid_to") - F.expr("interval 1 microsecond"), F.lit("9999-12-31").cast("timestamp_ntz"))
+    v = v.select("user_id", F.col("event_type").alias("state"), "valid_from", end.alias("valid_until"), "version_number")
+    return history.as_of_sorted(read(spark, sf, "events").select("event_id", "user_id", "ts"), v, "user_id", F.col("ts"), ["state", "version_number"], "valid_from", "valid_until").drop("ts")
+
+
+@query("""
+select e.event_id, e.user_id, c_name, c_mktsegment from (select event_id, case when event_id % 3 = 0 then 7 else user_id end as user_id from events) e left join customer on c_custkey = user_id""")
+def skewed_lookup(spark, sf):
+    """Events with a customer who has a third of them, joined without a broadcast: that customer's rows are spread."""
+    e = read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, 7).otherwise(F.col("user_id")).cast("long").alias("user_id"))
+    side = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), "c_name", "c_mktsegment")
+    return skew.lookup(e, side, ["user_id"], broadcast_rows=0)
 
 
 @query("""
@@ -431,9 +488,10 @@ def cohort_filter(spark, sf):
 
 
 @query("""
-select 'left' as only_in, k from (select c_custkey as k from customer except select o_custkey from orders) union all select 'right', k from (select o_custkey as k from orders except select c_custkey from customer)""")
+select 'left' as only_in, k from (select p_partkey as k from part except select o_orderkey from orders where o_orderstatus <> 'F') union all select 'right', k from (select o_orderkey as k from orders where o_orderstatus <> 'F' except select p_partkey from part)""")
 def set_equality(spark, sf):
-    return tables.set_difference(read(spark, sf, "customer").select(F.col("c_custkey").alias("k")), read(spark, sf, "orders").select(F.col("o_custkey").alias("k"))).select("only_in", "k")
+    """Keys that one of two sets lacks."""
+    return tables.set_difference(read(spark, sf, "part").select(F.col("p_partkey").alias("k")), read(spark, sf, "orders").where("o_orderstatus != 'F'").select(F.col("o_orderkey").alias("k"))).select("only_in", "k")
 
 
 @query("""
@@ -447,8 +505,8 @@ def idempotent_landing(spark, sf):
 
 @query("select format('Q{:05d}', row_number() over (order by o_orderdate, o_orderkey)) as query_id, o_orderkey from orders where o_orderstatus = 'P'")
 def emission_ids(spark, sf):
-    w = Window.orderBy("o_orderdate", "o_orderkey")
-    return read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.format_string("Q%05d", F.row_number().over(w)).alias("query_id"), "o_orderkey")
+    placed = tables.numbered(read(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], "n")
+    return placed.select(F.format_string("Q%05d", "n").alias("query_id"), "o_orderkey")
 
 
 @query("""
@@ -528,8 +586,9 @@ def plausibility(spark, sf):
 with l as (select o_custkey % 10 as site, case when o_orderstatus = 'O' then null else o_orderkey % 40 end as days from orders)
 select site, count(*) as queries_raised, count(*) filter (days is null) as queries_open, count(days) as queries_closed, round(cast(count(days) as double) / count(*), 4) as close_rate, list_sort(list(days) filter (days is not null))[cast(count(days) // 2 as bigint) + 1] as median_days from l group by site""")
 def site_performance(spark, sf):
-    l = read(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("site"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey") % 40).alias("days"))
-    return l.groupBy("site").agg(F.count("*").alias("queries_raised"), F.count_if(F.col("days").isNull()).alias("queries_open"), F.count("days").alias("queries_closed"), C.ratio(F.count("days"), F.count("*"), 4).alias("close_rate"), measures.upper_median("days").alias("median_days"))
+    days = F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey") % 40)
+    log = read(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("site_id"), days.alias("days_to_close"), F.when(days.isNull(), "open").otherwise("closed").alias("status"))
+    return edc.site_performance(log).withColumnsRenamed({"site_id": "site", "median_days_to_close": "median_days"})
 
 
 @query("""

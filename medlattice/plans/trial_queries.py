@@ -163,5 +163,5 @@ def coding_status(spark, sf_dir):
 @_query("select term as verbatim, status, count(*) as records_blocked, row_number() over (order by count(*) desc, min(k)) as place from ae join codes using (term) where status in ('ambiguous', 'uncoded') group by all")
 def coding_open_terms(spark, sf_dir):
     """What coders have to decide, by the records blocked."""
-    work = coding.worklist(_coded(spark, edc.records(items(spark, sf_dir))), "verbatim", "ord")
+    work = coding.worklist(_coded(spark, edc.records(items(spark, sf_dir))).withColumn("dictionary", F.lit("MedDRA")), "verbatim", "ord")
     return work.select("verbatim", "status", "records_blocked", F.col("place").cast("long").alias("place"))

@@ -66,7 +66,7 @@ def _load(w: Load, effective: str, batch_id: str) -> dict[str, DataFrame]:
     current = w.write("current", shred.current_version(w.read("raw.document", DOCUMENT)), "resource_type")  # read by every shred step
     systems, concepts = shred.empty_terminology(w.store.spark)
     systems, concepts = (w.read(n) if n in w else df for n, df in (("code_system", systems), ("code_concept", concepts)))
-    systems, concepts = shred.register_codes(systems, concepts, shred.codings(current))
+    systems, concepts = shred.register_codes(shred.seeded(systems), concepts, shred.codings(current))
     systems, concepts = w.write("code_system", systems), w.write("code_concept", concepts)
     norm = {name: w.write(name, df) for name, df in shred.norm_tables(current, systems, concepts).items()}
     names = ("provider", "organization", "diagnosis", "procedure", "medication", "observation_code", "encounter_type", "patient")

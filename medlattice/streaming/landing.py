@@ -36,7 +36,7 @@ def drained(rows: DataFrame) -> None:
     rows.write.format("noop").mode("overwrite").save()
 
 
-def land_batch(store: Store, rows: DataFrame, stream: str, number: int) -> None:
+def land_batch(store: Store, rows: DataFrame, stream: str, number: int, kind: str = "bulk") -> None:
     """One micro-batch as one load. Its number is part of the manifest: a batch that comes again after a failure is left out whole,
     landed rows and rejects alike."""
 
@@ -54,7 +54,7 @@ def land_batch(store: Store, rows: DataFrame, stream: str, number: int) -> None:
         load.counts["n_duplicate"] = load.counts["n_read"] - load.counts["n_accepted"] - load.counts["n_rejected"]
         load.streams[stream] = number
 
-    store.transact("bulk", work)
+    store.transact(kind, work)
 
 
 def land_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, files_per_batch: int = 100, within: str | None = None, stream: str = "landing") -> StreamingQuery:
@@ -70,6 +70,12 @@ def land_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str,
     return rows.writeStream.foreachBatch(lambda df, number: land_batch(store, df, stream, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def pull_stream(spark: SparkSession, options: dict[str, str], store: Store, checkpoint: str, stream: str = "pull") -> StreamingQuery:
+    """Lands what a REST server has changed since the checkpoint's last offset (sources.rest), and ends."""
+    rows = spark.readStream.format("rest_search").options(**options).load().drop("mode")
+    return rows.writeStream.foreachBatch(lambda df, number: land_batch(store, df, stream, number, "rest")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def counts_by_window(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their sum for each window and type; events later than the watermark are left out. Works on streams and tables."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
