@@ -199,3 +199,12 @@ def test_packed_numbers():
     v = np.concatenate([rng.integers(0, 1 << int(b), 50, dtype=np.uint64) for b in range(1, 64)] + [np.array([0, 2**64 - 1], np.uint64)])
     raw, ends = ranking.packed(v)
     assert (ranking.unpacked(raw) == v).all() and ends[-1] == len(raw)
+
+
+def test_a_language_of_one_id_is_learned(spark):
+    from medlattice.llm import language
+
+    words = {"en": "the house is green and the river is cold", "zz": "zuzu kwazi mwezu kazi wzu mkazu zawi"}
+    rows = [(i, "en", f"{words['en']} {i % 7}") for i in range(60)] + [(25, "zz", f"{words['zz']} {i % 3}") for i in range(3000)]
+    made = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(6)
+    assert language.fit_language(made).languages == ["en", "zz"]
