@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.schemas import RESOURCE_TYPES, SCHEMAS
+from . import skew
 from .tables import first_by, latest_version, upsert, with_keys
 
 #: Fixed values.
@@ -86,12 +87,13 @@ def identifiers(current: DataFrame, kind: str, owner: str) -> DataFrame:
 
 
 def resolved(df: DataFrame, reference: str, known: DataFrame, owners: DataFrame, owner: str, out: str) -> DataFrame:
-    """Adds the id that a reference means: literal ids that exist, or the owner of the identifier of a conditional reference."""
+    """Adds the id that a reference means: literal ids that exist, or the owner of the identifier of a conditional reference. Sides of a
+    counted size are broadcast; else references that very many rows make (a clinic's one provider) are spread (operators.skew)."""
     system, value = C.conditional_reference(F.col(reference))
     df = df.withColumn("_lit", C.literal_reference(F.col(reference))).withColumn("_sys", system).withColumn("_val", value)
-    df = df.join(known.select(F.col(owner).alias("_known")), F.col("_lit") == F.col("_known"), "left")
-    df = df.join(owners.select(F.col("identifier_system").alias("_s"), F.col("identifier_value").alias("_v"), F.col(owner).alias("_owner")), (F.col("_sys") == F.col("_s")) & (F.col("_val") == F.col("_v")), "left")
-    return df.withColumn(out, F.coalesce("_known", "_owner")).drop("_lit", "_sys", "_val", "_known", "_s", "_v", "_owner")
+    df = skew.lookup(df, known.select(F.col(owner).alias("_lit"), F.col(owner).alias("_known")), ["_lit"])
+    df = skew.lookup(df, owners.select(F.col("identifier_system").alias("_sys"), F.col("identifier_value").alias("_val"), F.col(owner).alias("_owner")), ["_sys", "_val"])
+    return df.withColumn(out, F.coalesce("_known", "_owner")).drop("_lit", "_sys", "_val", "_known", "_owner")
 
 
 def _coded(df: DataFrame, code: DataFrame, system: str, value: str, out: str) -> DataFrame:

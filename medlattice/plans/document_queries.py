@@ -395,6 +395,32 @@ _view_query("view_benchmark_quarters", f"select code as observation_code, count(
     lambda f, d: views.benchmark_quarters(f, d).groupBy("observation_code").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
 
 
+#: Inpatient stays with whether they are a return, and results with their bands.
+_STAYS = f""", stays as (select *, period_start::date as s, lag(period_end::date) over (partition by patient_id order by period_start::date, encounter_id) as before from enc where class_code = 'IMP'),
+back as (select *, coalesce(date_diff('day', before, s) between 0 and 30, false)::int as is_return, ({_STAY})::decimal(10, 4)::double as stay from stays),
+result as ({_RESULT}),
+bands as (select code, round(quantile_cont(value_quantity::double, 0.05), 6) as p05, round(quantile_cont(value_quantity::double, 0.95), 6) as p95 from result where value_quantity is not null group by code having count(*) >= 30),
+banded as (select (value_quantity::double < p05 or value_quantity::double > p95)::int as is_outlier from result join bands using (code) where value_quantity is not null)
+"""
+_view_query("dim_medication", "select distinct code, code as display from (select code from med where code is not null union all select 'rx' || left(o_orderpriority, 1) from orders where false)",
+    lambda f, d: d["medication"].where("medication_key != -1").select("code", "display"))
+_view_query("view_scorecard", _STAYS + "select coalesce(o.name, 'Unknown') as organization, count(*) as encounters, count(distinct e.patient_id) as patients, count(distinct coalesce(e.primary_performer_id, '')) as providers, coalesce(sum(is_return), 0)::bigint as readmissions, round(coalesce(sum(is_return), 0)::double / nullif(count(b.encounter_id), 0), 6) as readmission_rate from enc e left join back b using (encounter_id) left join org o on o.organization_id = e.service_provider_id group by 1",
+    views.organization_scorecard)
+_view_query("view_readmission_rate", _STAYS + "select strftime(s, '%Y-%m') as month, count(*) as discharges, sum(is_return)::bigint as readmissions, round(sum(is_return)::double / count(*), 6) as readmission_rate from back group by 1",
+    lambda f, d: views.readmission_rate(f, d).withColumnRenamed("month_year", "month"))
+_view_query("view_quarters", _STAYS + "select code as observation_code, year(effective_datetime - interval 3 month) as fiscal_year, quarter(effective_datetime - interval 3 month) as fiscal_quarter, count(*) as n, round(avg(value_quantity::double), 6) as mean, min(value_quantity)::double as low, max(value_quantity)::double as high from result where value_quantity is not null group by all",
+    lambda f, d: views.benchmark_quarters(f, d))
+_view_query("view_trend", _STAYS + "select strftime(effective_datetime, '%Y-%m') as month, age_band, count(*) as n, round(avg(value_quantity::double), 6) as mean from result join ages using (patient_id) where value_quantity is not null and code = (select code from result where value_quantity is not null group by code order by count(*) desc, code limit 1) group by all",
+    lambda f, d: views.benchmark_trend(f, d).withColumnRenamed("month_year", "month"))
+_view_query("view_bi_measures", _STAYS + """select measure, round(value, 6) as value from (
+  select 'encounters' as measure, count(*)::double as value from enc union all select 'inpatient discharges', count(*) from back where period_end is not null union all select 'readmissions', sum(is_return) from back
+  union all select 'readmission rate', round(sum(is_return)::double / count(*), 6) from back union all select 'mean stay', avg(stay) from back union all select 'median stay', median(stay) from back
+  union all select 'active patients', count(*) from (select patient_id, max(period_start::date) as last from enc group by 1) where last > (select max(period_start::date) from enc) - interval 24 month
+  union all select 'patients seen', count(distinct patient_id) from enc union all select 'patient versions seen', count(distinct patient_id) from enc union all select 'numeric results', count(value_quantity) from result
+  union all select 'outliers', sum(is_outlier) from banded union all select 'outlier rate of banded results', round(sum(is_outlier)::double / count(*), 6) from banded union all select 'feasible patients', 0)""",
+    lambda f, d: views.bi_measures(f, d).select("measure", F.round("value", 6).alias("value")))
+
+
 @_query("""select 'Encounter' as resource_type, (select count(*) from orders where o_orderkey % 97 <> 3) as raw_rows, (select count(*) from enc) as norm_rows, (select count(*) from enc) as fact_rows
   union all select 'Observation', (select count(*) from events where event_id % 13 <> 0 or event_id % 10 = 5), (select count(*) from obs), (select count(*) from obs)
   union all select 'Condition', (select count(*) from part where p_partkey % 17 <> 0), (select count(*) from con), (select count(*) from con)

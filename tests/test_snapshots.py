@@ -235,3 +235,35 @@ def test_pull_goes_on_where_it_was(spark, tmp_path):
     parts = reader.partitions({"until": "2026-01-01T00:00:00Z"}, {"until": "2026-01-04T00:00:00Z"})
     assert [(p.kind, p.since[:10], p.until[:10]) for p in parts[:3]] == [("A", "2026-01-01", "2026-01-02"), ("A", "2026-01-02", "2026-01-03"), ("A", "2026-01-03", "2026-01-04")] and len(parts) == 6
     assert reader.partitions({"until": "2026-01-04T00:00:00Z"}, {"until": "2026-01-01T00:00:00Z"}) == []
+
+
+def test_constraints_are_trusted_until_rows_change(spark, tmp_path):
+    from medlattice.operators import trust
+
+    docs = fixtures.extract(3)
+    fixtures.write_lines({k: [json.dumps(d) for d in v] for k, v in docs.items()}, f"{tmp_path}/in")
+    w, t = warehouse.build(spark, f"{tmp_path}/wh", f"{tmp_path}/in")
+    some = {k: t[k] for k in ("patient", "patient_address", "encounter", "procedure", "dw.patient", "fact.procedure")}
+    states = lambda: {(r.table_name, r.constraint_name): (r.state, r.n_rows) for r in trust.states(w, list(some)).collect()}
+    assert {s for s, _ in states().values()} == {"untrusted"}
+    trust.validate(w, some)
+    now = states()
+    assert set(now.values()) == {("trusted", 0)} and ("fact.procedure", "patient_key -> dw.patient") in now and ("dw.patient", "effective") in now
+    odd = t["encounter"].limit(1).withColumn("status", F.lit("gone"))
+    w.transact("bulk", lambda load: load.append("encounter", odd))
+    after = states()
+    changed = {k for k, v in after.items() if v[0] == "untrusted"}
+    assert changed == {k for k in now if k[0] == "encounter" or k[1].endswith("-> encounter")} and ("encounter", "status") in changed
+    trust.validate(w, some | {"encounter": w.read("encounter")})
+    last = states()
+    assert last[("encounter", "status")] == ("violated", 1) and last[("encounter", "unique (encounter_id)")] == ("violated", 1)
+    assert last[("procedure", "encounter_id -> encounter")] == ("trusted", 0)
+
+
+def test_metrics_of_a_query(spark, tmp_path):
+    from medlattice.measure import measured
+
+    spark.range(10_000).selectExpr("id", "id % 7 as k", "uuid() as u").write.parquet(f"{tmp_path}/t")
+    got = measured(spark, lambda: spark.read.parquet(f"{tmp_path}/t").groupBy("k").count())
+    assert got["rows_read"] == 10_000 and got["bytes_read"] > 0 and got["bytes_shuffled"] > 0 and got["jobs"] == 1 and got["seconds"] > 0
+    assert {"Scan", "HashAggregate", "Exchange"} <= set(got["plan"])
