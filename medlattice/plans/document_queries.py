@@ -387,7 +387,7 @@ _view_query("view_observation_result", f"select observation_id, component_seq, r
     lambda f, d: views.observation_result(f, d).select("observation_id", "component_seq", "observation_code", _number("value_quantity"), "effective_date", "care_setting"))
 _view_query("view_medication_order", "select medication_request_id, m.code as medication_code, care_setting from med m left join enc using (encounter_id)",
     lambda f, d: views.medication_order(f, d).select("medication_request_id", F.when(F.col("medication_key") != -1, F.col("medication_code")).alias("medication_code"), "care_setting"))
-_view_query("view_diagnosis", "select condition_id, c.code as diagnosis_code, coalesce(display, c.code) as diagnosis, care_setting from (select con.*, min(display) over (partition by code) as shown from con) c left join enc using (encounter_id)".replace("coalesce(display, c.code)", "shown"),
+_view_query("view_diagnosis", "select condition_id, c.code as diagnosis_code, shown as diagnosis, care_setting from (select con.*, min(display) over (partition by code) as shown from con) c left join enc using (encounter_id)",
     lambda f, d: views.diagnosis(f, d).select("condition_id", "diagnosis_code", "diagnosis", "care_setting"))
 _view_query("view_organization_scorecard", "select coalesce(o.name, 'Unknown') as organization, count(*) as encounters, count(distinct patient_id) as patients, count(distinct coalesce(primary_performer_id, '')) as providers from enc left join org o on o.organization_id = service_provider_id group by all",
     lambda f, d: views.organization_scorecard(f, d).select("organization", "encounters", "patients", "providers"))

@@ -212,8 +212,7 @@ def upsert_type1(spark, sf):
 
 
 @query("""
-select c_custkey, case when c_custkey % 2 = 0 and c_acctbal >= 0 then c_name else coalesce(case when c_custkey % 2 = 0 then upper(c_name) end, upper(c_name)) end as c_name from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0
-""".replace("case when c_custkey % 2 = 0 and c_acctbal >= 0 then c_name else coalesce(case when c_custkey % 2 = 0 then upper(c_name) end, upper(c_name)) end", "case when c_custkey % 2 != 0 then upper(c_name) when c_custkey % 3 = 0 and c_acctbal < 0 then upper(c_name) else c_name end"))
+select c_custkey, case when c_custkey % 2 != 0 then upper(c_name) when c_custkey % 3 = 0 and c_acctbal < 0 then upper(c_name) else c_name end as c_name from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0""")
 def upsert_conditional(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
     source = c.where("c_custkey % 3 = 0").withColumn("c_name", F.upper("c_name"))
@@ -350,13 +349,18 @@ def cohort_fingerprint(spark, sf):
 
 
 @query("""
-with d as (select cast(range as date) as d from range(date '1900-01-01', date '2036-01-01', interval 1 day)),
-f as (select d, d - interval 3 month as s from d)
+with o as (select cast(o_orderdate as date) as d, count(*) as n_orders from orders group by 1),
+days as (select unnest(generate_series((select min(d) from o), (select max(d) from o), interval 1 day))::date as d),
+f as (select d, d - interval 3 month as s, coalesce(n_orders, 0) as n_orders from days left join o using (d))
 select cast(strftime(d, '%Y%m%d') as bigint) as date_key, d as full_date, day(d) as day_of_month, dayofweek(d) + 1 as day_of_week, dayname(d) as day_name, dayofyear(d) as day_of_year, weekofyear(d) as week_of_year, month(d) as month_number, monthname(d) as month_name, strftime(d, '%Y-%m') as month_year,
- quarter(d) as quarter_number, strftime(d, '%Y') || '-Q' || quarter(d) as quarter_name, year(d) as year_number, cast(dayofweek(d) in (0, 6) as bigint) as is_weekend, year(s) as fiscal_year, quarter(s) as fiscal_quarter from f
-union all select -1, date '1899-12-31', 1, 1, 'Unknown', 1, 1, 1, 'Unknown', 'Unknown', 1, 'Unknown', 1900, 0, 1900, 1""")
+ quarter(d) as quarter_number, strftime(d, '%Y') || '-Q' || quarter(d) as quarter_name, year(d) as year_number, cast(dayofweek(d) in (0, 6) as bigint) as is_weekend, year(s) as fiscal_year, quarter(s) as fiscal_quarter, n_orders from f
+union all select -1, date '1899-12-31', 1, 1, 'Unknown', 1, 1, 1, 'Unknown', 'Unknown', 1, 'Unknown', 1900, 0, 1900, 1, 0""")
 def calendar(spark, sf):
-    return measures.calendar(spark)
+    """The calendar from the first day of the orders to the last, with the orders of each day, and the Unknown day."""
+    n = read(spark, sf, "orders").groupBy(day("o_orderdate").alias("d")).agg(F.count("*").alias("n_orders"))
+    ends = n.agg(F.min("d"), F.max("d")).first()
+    days = measures.calendar(spark, str(ends[0]), str(ends[1]))
+    return days.join(n, F.col("full_date") == F.col("d"), "left").drop("d").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
 
 
 @query("""
@@ -495,8 +499,7 @@ def set_equality(spark, sf):
 
 
 @query("""
-select event_id, n from (select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) as n, user_id % 2 = 0 and cast(ts as date) < date '2024-01-15' as known from events) where n = 1 and not known""".replace("where n = 1 and not known", "where 1 = 0") + """
-union all select min(event_id), 1 from (select event_id, user_id, event_type, first_value(event_id) over (partition by user_id, event_type order by ts, event_id) as f from events) where event_id = f and (user_id, event_type) not in (select user_id, event_type from events where user_id % 2 = 0) group by user_id, event_type""")
+select min(event_id) as event_id, 1 as n from (select event_id, user_id, event_type, first_value(event_id) over (partition by user_id, event_type order by ts, event_id) as f from events) where event_id = f and (user_id, event_type) not in (select user_id, event_type from events where user_id % 2 = 0) group by user_id, event_type""")
 def idempotent_landing(spark, sf):
     e = read(spark, sf, "events")
     fresh, _ = tables.land(e.where("user_id % 2 = 0"), e, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")])

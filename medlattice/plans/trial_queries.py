@@ -113,10 +113,12 @@ def edc_queries_raised(spark, sf_dir):
     return q.groupBy("check_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(last))
 
 
-@_query("select form_id, count(*) as items from (values ('DM', 4), ('IE', 2), ('VS', 6), ('AE', 8)) as f(form_id, k), range(k) group by all")
+@_query("""select form_id, k as items, k * n as collected from (select 'DM' as form_id, 4 as k, count(*) as n from subj union all select 'VS', 6, count(*) from subj union all select 'DS', 3, count(*) from subj union all select 'AE', 8, count(*) from ae)""")
 def edc_form_items(spark, sf_dir):
-    """Items of four forms, from the metadata."""
-    return edc.metadata(spark)["items"].where("form_id in ('DM', 'IE', 'VS', 'AE')").groupBy("form_id").agg(F.count("*").alias("items"))
+    """Forms with the items that they have by the metadata, and the values collected for those."""
+    own = edc.metadata(spark)["items"].select("form_id", "item_oid")
+    kept = items(spark, sf_dir).join(F.broadcast(own), ["form_id", "item_oid"])
+    return kept.groupBy("form_id").agg(F.count("*").alias("collected")).join(own.groupBy("form_id").agg(F.count("*").alias("items")), "form_id").select("form_id", "items", "collected")
 
 
 @_query(f"""select 'STUDY01-' || subject_id as "USUBJID", site_id as "SITEID", case when n % 15 = 4 then '' else born end as "BRTHDTC", case when n % 15 <> 4 then (year(date '{CONSENT}') - year(born::date) - (strftime(date '{CONSENT}', '%m%d') < strftime(born::date, '%m%d'))::int)::int end as "AGE",
@@ -130,7 +132,7 @@ def _coded(spark: SparkSession, rec: DataFrame) -> DataFrame:
     return coding.code_terms(terms, "verbatim", coding.dictionary(spark, coding.REACTIONS, own=True), coding.dictionary(spark, coding.REACTION_SYNONYMS), coding.dictionary(spark, coding.REACTION_AMBIGUOUS))
 
 
-@_query("""select 'STUDY01-' || subject_id as "USUBJID", row_number() over (partition by subject_id order by started, ae.term, record_num) as "AESEQ", ae.term as "AETERM", coded as "AEDECOD", started as "AESTDTC", ended as "AEENDTC", serious as "AESER", 'Week 4' as "VISIT", 3 as "VISITNUM" from ae join codes using (term)""".replace("ae.term", "term"))
+@_query("""select 'STUDY01-' || subject_id as "USUBJID", row_number() over (partition by subject_id order by started, term, record_num) as "AESEQ", term as "AETERM", coded as "AEDECOD", started as "AESTDTC", ended as "AEENDTC", serious as "AESER", 'Week 4' as "VISIT", 3 as "VISITNUM" from ae join codes using (term)""")
 def sdtm_ae(spark, sf_dir):
     """Adverse events numbered within the subject, with their coded terms."""
     rec = edc.records(items(spark, sf_dir))
@@ -154,7 +156,7 @@ def sdtm_conformance(spark, sf_dir):
     return sdtm.conformance("DM", dm).unionByName(sdtm.conformance("AE", sdtm.ae(odd).withColumn("AESEQ", F.lit(1))))
 
 
-@_query("select ae.term as verbatim, status, coded, count(*) as n from ae join codes using (term) group by all".replace("ae.term", "term"))
+@_query("select term as verbatim, status, coded, count(*) as n from ae join codes using (term) group by all")
 def coding_status(spark, sf_dir):
     """Terms by how they were coded."""
     return _coded(spark, edc.records(items(spark, sf_dir))).groupBy("verbatim", "status", "coded").agg(F.count("*").alias("n"))

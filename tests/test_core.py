@@ -303,6 +303,37 @@ def test_lineage_names_real_columns(built):
     assert ("encounter", "patient_id", "string", "references patient.patient_id") in constraints.catalog(t)
 
 
+def test_lineage_of_star_columns_in_plans(built):
+    from medlattice.operators import lineage, shred, star
+
+    w, _, _ = built
+    now = w.snapshot()
+    norm = {k: now.read(k) for k in now.tables if "." not in k}
+    norm["code"] = shred.code_view(norm["code_system"], norm["code_concept"])
+    dims = star.dimensions(norm, {}, "2026-08-01")
+    facts = star.facts(norm, {n: now.read(f"dim.{n}") if f"dim.{n}" in now else df for n, df in dims.items()}, "b")
+    made = {f"dw.{k}": v for k, v in dims.items()} | {f"fact.{k}": v for k, v in facts.items()}
+    assert lineage.unmapped(made) == [] and lineage.wrong(made) == []
+    p = lineage.provenance(dims["patient"])
+    assert p["age_band"] == {("patient", "birth_date")} and ("patient", "given_name") in p["full_name"]
+    assert lineage.provenance(facts["encounter"])["start_date_key"] == {("encounter", "period_start")}
+    assert lineage.wrong(made, [("x", "patient.gender", "dw.patient.birth_date"), ("y", "encounter.period_end", "fact.encounter.start_date_key"), ("z", "encounter.status", "fact.encounter.status")]) == ["x: patient.gender -> dw.patient.birth_date", "y: encounter.period_end -> fact.encounter.start_date_key"]
+
+
+def test_reverification_closes_the_release(study, spark):
+    t, subjects = study
+    keys = ["subject_id", "visit_id", "form_id", "record_num", "item_oid"]
+    planted = spark.createDataFrame([("f", 1, "c", "status")], "source_ref string, line_number long, defect_class string, expected_reason_fragment string")
+    done = edc.test_cases(spark).withColumn("pass_fail", F.lit("pass"))
+    evidence = {**t, "uat": done, "subjects": subjects, "trial_defects": t["queries"].select(*keys, F.col("check_id").alias("expected_check")), "sdtm_conformance": t["sdtm_conformance"].where("1 = 0"), "fhir_defects": planted, "fhir_rejects": spark.createDataFrame([("f", 1, "status: required")], "source_ref string, line_number long, reason string")}
+    said = release.reverification_probe(evidence, {"source": {"jar_sha256": "a" * 64, "seed": 1}, "row_ledger": True})
+    assert said == {"decision_before": "READY", "decision_after": "BLOCKED", "changed_gates": ["COHORT-01"], "cohort_gate_before": "PASS", "cohort_gate_after": "BLOCK"}
+    policy = dict.fromkeys(release.POLICY_KEYS, "x") | {"schema_version": 1}
+    assert release.load_policy(json.dumps(policy)) == policy
+    with pytest.raises(ValueError, match="cohorts, control_id"):
+        release.load_policy(json.dumps({k: v for k, v in policy.items() if k not in ("cohorts", "control_id")}))
+
+
 def test_sql_functions_are_inlined(spark):
     from medlattice.functions import sql
 
