@@ -165,14 +165,16 @@ def fit_language(docs: DataFrame) -> Network | None:
     Fitted on at most TRAIN_DOCS rows of each language (those with the least hash of doc_id and text), or fewer of each where there
     are so many languages that they would be more than TRAIN_ALL, and DOC_WINDOWS windows of each row, spread evenly over the text.
     """
-    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    each = max(1, min(TRAIN_DOCS, TRAIN_ALL // max(1, known.select("lang").distinct().count())))
-    # First by hashes alone: each task gives `each` rows of a language at most. Then the texts of those; rows that are alike in id and text
-    # share a hash, so all of them come and the first `each` stay. However few ids a language has, it is never left out.
-    hashed = known.withColumn("hash", F.xxhash64("doc_id", "text"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    keys = written(hashed.select("lang", "hash", "doc_id").withColumn("place", first).where(F.col("place") <= each).select("lang", "hash").distinct(), "lang-keys")
-    chosen = hashed.join(F.broadcast(keys), ["lang", "hash"], "left_semi").withColumn("place", first).where(F.col("place") <= each)
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.withColumn("hash", F.xxhash64("doc_id", "text"))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("size"), F.min("hash").alias("least")), "lang-sizes")
+    each = max(1, min(TRAIN_DOCS, TRAIN_ALL // max(1, sizes.count())))
+    # A share of the hashes that leaves about three times as many rows of each language as are used, and its least hash in any case: rows
+    # that are alike in id and text share one, and a language of few different rows must not be left out.
+    share = ((F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("size") < 3 * each) | (F.col("hash") == F.col("least"))
+    chosen = known.join(sizes, "lang").where(share)
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
     chosen = written(chosen.select("text", F.col("lang").alias("label")), "lang-rows")  # TRAIN_ALL rows at most, one of each language at least
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
