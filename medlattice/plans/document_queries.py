@@ -402,7 +402,7 @@ result as ({_RESULT}),
 bands as (select code, round(quantile_cont(value_quantity::double, 0.05), 6) as p05, round(quantile_cont(value_quantity::double, 0.95), 6) as p95 from result where value_quantity is not null group by code having count(*) >= 30),
 banded as (select (value_quantity::double < p05 or value_quantity::double > p95)::int as is_outlier from result join bands using (code) where value_quantity is not null)
 """
-_view_query("dim_medication", "select distinct code, code as display from (select code from med where code is not null union all select 'rx' || left(o_orderpriority, 1) from orders where false)",
+_view_query("dim_medication", "select code, min(o_orderpriority) as display from med join orders on medication_request_id = 'med-' || o_orderkey where code is not null group by 1",
     lambda f, d: d["medication"].where("medication_key != -1").select("code", "display"))
 _view_query("view_scorecard", _STAYS + "select coalesce(o.name, 'Unknown') as organization, count(*) as encounters, count(distinct e.patient_id) as patients, count(distinct coalesce(e.primary_performer_id, '')) as providers, coalesce(sum(is_return), 0)::bigint as readmissions, round(coalesce(sum(is_return), 0)::double / nullif(count(b.encounter_id), 0), 6) as readmission_rate from enc e left join back b using (encounter_id) left join org o on o.organization_id = e.service_provider_id group by 1",
     views.organization_scorecard)

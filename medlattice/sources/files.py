@@ -11,8 +11,8 @@ from .schemas import EDC_ITEMS, SUBJECTS
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
-    """A file with a header and a fixed schema; blanks stay empty texts, not nulls."""
-    df = spark.read.csv(path, header=True, schema=schema, nullValue="\0", emptyValue="", enforceSchema=False)
+    """A file with a header and a fixed schema; blanks stay empty texts, not nulls; quotes in quoted values are doubled."""
+    df = spark.read.csv(path, header=True, schema=schema, nullValue="\0", emptyValue="", escape='"', enforceSchema=False)
     return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
 
 
@@ -33,7 +33,7 @@ def typed(df: DataFrame, dates: Sequence[str] = (), numbers: Sequence[str] = ())
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One file with a header, for reports of bounded size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def summary_rows(measures: dict[str, DataFrame]) -> DataFrame:
