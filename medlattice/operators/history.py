@@ -37,41 +37,26 @@ def apply_scd2(dim: DataFrame, source: DataFrame, key: str, tracked: Sequence[st
     the source lacks stay. A second run on the same day changes nothing. Columns: key, tracked, refresh, is_inferred, HISTORY.
     """
     keep = [key, *tracked, *refresh]
+    names = [*keep, "is_inferred", *HISTORY]
     s = source.select(*keep).withColumn("_hash", row_hash(*(F.col(c) for c in tracked)))
     s = s.select(*(F.col(c).alias(f"_s_{c}") for c in keep), "_hash")
     current, closed = dim.where("is_current"), dim.where("not is_current")
-    day = F.lit(effective).cast("date")
+    day, open_end = F.lit(effective).cast("date"), F.lit(OPEN_END).cast("date")
     both = current.join(s, current[key] == s[f"_s_{key}"], "full_outer")
     old, found = F.col(key).isNotNull(), F.col(f"_s_{key}").isNotNull()
-    differs = old & found & (F.col("row_hash") != F.col("_hash"))
-    stub = old & found & F.col("is_inferred")
-    correct = differs & ~F.col("is_inferred") & (F.col("effective_from") >= day)
-    change = differs & ~F.col("is_inferred") & (F.col("effective_from") < day)
-    both = both.withColumn("_case", F.when(~old, "new").when(stub, "fill").when(correct, "fill").when(change, "change").when(found, "same").otherwise("absent")).persist()
-
-    def row(case: Column, tracked_from_source: bool, **history):
-        cols = [F.coalesce(F.col(key), F.col(f"_s_{key}")).alias(key)]
-        cols += [F.col(f"_s_{c}" if tracked_from_source else c).alias(c) for c in tracked]
-        cols += [F.col(f"_s_{c}" if history.get("refresh", tracked_from_source) else c).alias(c) for c in refresh]
-        cols.append(F.lit(False).alias("is_inferred") if tracked_from_source else F.col("is_inferred"))
-        for c in HISTORY:
-            cols.append(history[c].alias(c) if c in history else F.col(c))
-        return both.where(case).select(*cols)
-
-    case = F.col("_case")
-    out = [
-        closed.select(key, *tracked, *refresh, "is_inferred", *HISTORY),
-        row(case == "absent", False),
-        row(case == "same", False, refresh=True),
-        row(case == "fill", True, row_hash=F.col("_hash")),
-        row(case == "change", False, effective_to=F.date_sub(day, 1), is_current=F.lit(False)),
-        row(case == "change", True, effective_from=day, effective_to=F.lit(OPEN_END).cast("date"), is_current=F.lit(True), version_number=(F.col("version_number") + 1).cast("int"), row_hash=F.col("_hash")),
-        row(case == "new", True, effective_from=F.lit(FIRST_DAY).cast("date"), effective_to=F.lit(OPEN_END).cast("date"), is_current=F.lit(True), version_number=F.lit(1), row_hash=F.col("_hash")),
-    ]
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+    differs = found & (F.col("row_hash") != F.col("_hash"))
+    mine, theirs = {c: F.col(c) for c in names}, {c: F.col(f"_s_{c}") for c in keep}
+    stated = mine | theirs | {"is_inferred": F.lit(False), "row_hash": F.col("_hash")}
+    opened = stated | {"effective_from": day, "effective_to": open_end, "is_current": F.lit(True), "version_number": (F.col("version_number") + 1).cast("int")}
+    first = opened | {"effective_from": F.lit(FIRST_DAY).cast("date"), "version_number": F.lit(1)}
+    ended = mine | {"effective_to": F.date_sub(day, 1), "is_current": F.lit(False)}
+    same = mine | {c: theirs[c] for c in refresh}
+    rows = lambda *versions: F.array(*(F.struct(*(v[c].cast(dim.schema[c].dataType).alias(c) for c in names)) for v in versions))
+    made = (
+        F.when(~old, rows(first)).when(found & F.col("is_inferred"), rows(stated)).when(differs & (F.col("effective_from") >= day), rows(stated))
+        .when(differs, rows(ended, opened)).when(found, rows(same)).otherwise(rows(mine))
+    )
+    return closed.select(*names).unionByName(both.select(F.inline(made)))
 
 
 def empty_history(source: DataFrame, key: str, tracked: Sequence[str], refresh: Sequence[str] = ()) -> DataFrame:

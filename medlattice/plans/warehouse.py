@@ -4,6 +4,8 @@ writes becomes visible at once, when its manifest is in place, and a load that d
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,3 +116,19 @@ def row_counts(t: dict[str, DataFrame]) -> DataFrame:
         row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def metrics(w: Store, t: dict[str, DataFrame]) -> dict:
+    """What a build reports: the loads with their states, counts and seconds, rows by table, and measures of quality."""
+    loads = [{"kind": r.kind, "state": r.state, "version": r.version, "seconds": round(r.ended - r.began, 2) if r.ended else None, "counts": dict(r.counts or {})} for r in w.loads().orderBy("began").collect()]
+    tables_ = {k: v for k, v in t.items() if k not in ("as_of", "reconciliation", "source_values", "source_components")}
+    quality_ = {r.measure: r.value for r in views.quality_measures(*parts(t)).collect()}
+    return {"loads": loads, "rows": {r.table_name: r.n_rows for r in row_counts(tables_).orderBy("table_name").collect()}, "quality": quality_}
+
+
+def write_metrics(w: Store, t: dict[str, DataFrame], name: str = "metrics.json") -> dict:
+    """metrics() as a JSON file in the store's folder; the file of an earlier build is replaced."""
+    found = metrics(w, t)
+    w.files.remove(f"{w.root}/_metrics/{name}")
+    w.files.put(f"{w.root}/_metrics/{name}", json.dumps(found, indent=1))
+    return found

@@ -144,6 +144,16 @@ def test_warehouse_is_sound(built):
     assert len(outcomes) == 11
 
 
+def test_metrics_of_a_build(built):
+    w, t, manifest = built
+    said = warehouse.write_metrics(w, t)
+    assert json.loads(w.files.text(f"{w.root}/_metrics/metrics.json")) == json.loads(json.dumps(said))
+    assert [x["kind"] for x in said["loads"]] == ["bulk", "star", "changefeed", "star"] and all(x["state"] == "succeeded" and x["seconds"] > 0 for x in said["loads"])
+    assert said["loads"][2]["counts"]["n_read"] == len(manifest) and said["quality"]["patients with two versions"] == len(manifest)
+    assert said["rows"]["patient"] == 10 and said["rows"]["fact.encounter"] == 40
+    warehouse.write_metrics(w, t)
+
+
 def test_gate_closes(built):
     _, t, _ = built
     bad = dict(t, encounter=t["encounter"].unionByName(t["encounter"].limit(1)))
