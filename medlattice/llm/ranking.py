@@ -311,7 +311,7 @@ def ranked(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int) ->
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     found = ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "text", k)
-    return found.select(F.col("item").alias("item_id"), "rank", "doc_id", "score", "part")
+    return found.select(F.col("item").alias("item_id"), "rank", "doc_id", "score")
 
 
 def _terms_sql(text: str) -> str:
