@@ -23,17 +23,33 @@ def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
+def _last(store) -> int:
+    held = store.executionsList()
+    return held.last().executionId() if held.size() else -1
+
+
+def _since(store, seen: int) -> list:
+    """The executions after one, by their ids: the store forgets old ones, so their count says nothing."""
+    held, out = store.executionsList(), []
+    for i in range(held.size() - 1, -1, -1):
+        e = held.apply(i)
+        if e.executionId() <= seen:
+            break
+        out.append(e)
+    return out[::-1]
+
+
 def measured(spark: SparkSession, query: Callable[[], DataFrame]) -> dict:
     """Builds and runs a query, all of its rows thrown away. What it computes on the way (tables it writes, counts) is part of it."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
+    seen = _last(store)
     began = time.perf_counter()
     query().write.format("noop").mode("overwrite").save()
     took = time.perf_counter() - began
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     out: dict = {"seconds": round(took, 3), "jobs": 0, **dict.fromkeys(_WANTED.values(), 0)}
     plan = ""
-    for e in _items(store.executionsList(before, 1_000_000)):
+    for e in _since(store, seen):
         out["jobs"] += 1
         values = store.executionMetrics(e.executionId())
         plan = e.physicalPlanDescription()

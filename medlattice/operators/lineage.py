@@ -39,6 +39,13 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
 
+def _structs(expression) -> list[list]:
+    """The values of each struct that an expression makes, the outermost only."""
+    if _kind(expression) == "CreateNamedStruct":
+        return [_seq(expression.valExprs())]
+    return [x for c in _seq(expression.children()) for x in _structs(c)]
+
+
 class _Walk:
     """Sources of attributes by their ids, collected from the leaves of a plan upwards."""
 
@@ -62,8 +69,10 @@ class _Walk:
                 self.of[a.exprId().id()] = frozenset().union(*(self.of.get(_seq(c.output())[i].exprId().id(), frozenset()) for c in children))
         else:
             if _kind(plan) == "Generate":
-                found = self.refs(plan.generator())
-                self.of |= {a.exprId().id(): found for a in _seq(plan.generatorOutput())}
+                outputs = _seq(plan.generatorOutput())
+                rows = [x for x in _structs(plan.generator()) if len(x) == len(outputs)] if _kind(plan.generator()) == "Inline" else []
+                for i, a in enumerate(outputs):  # rows that the plan itself puts together are told apart by column
+                    self.of[a.exprId().id()] = frozenset().union(*(self.refs(x[i]) for x in rows)) if rows else self.refs(plan.generator())
             for e in _seq(plan.expressions()):
                 if _kind(e) == "Alias":
                     self.of[e.exprId().id()] = self.refs(e.child())
