@@ -27,10 +27,11 @@ BANDS, BAND_ROWS, GRAMS, GRAM_SHORT = 12, 3, (4, 7), (40, 50)
 #: them and half of the share of common grams.
 BINS, AGREE = 256, 180
 _EMPTY = np.uint32(0xFFFFFFFF)
-#: Pairs in one batch of rows; lines of a block whose lines are all compared with each other; in a larger one each line is compared with
-#: the BEST lines of other components that its sketch agrees with most, again and again until hardly any link is found.
+#: Pairs in one batch of rows; lines of a block whose lines are all compared with each other at once; in a larger one each line is first
+#: compared with the BEST lines of other components that its sketch agrees with most, again and again until hardly any link is found;
+#: then with all others of other components.
 PAIRS, FEW, BEST = 1 << 16, 64, 4
-#: Pairs up to this number are broadcast to the texts; rounds end when one adds less than this share of the links.
+#: Pairs up to this number are broadcast to the texts; rounds of the nearest end when one adds less than this share of the links.
 BROADCAST_PAIRS, LAST_SHARE = 200_000, 0.001
 #: Characters up to which Spark computes the edit distance.
 LONG = 1000
@@ -308,9 +309,9 @@ def _pairs_at_once(count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield i, i + step
 
 
-def nearest_apart(size: np.ndarray, sketch: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j): for each line the BEST ones of other components whose sketches agree most, of those that it may be like."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def pairs_apart(size: np.ndarray, sketch: np.ndarray, root: np.ndarray, best: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of lines of different components that lengths and sketches allow to be alike: for each line the best ones whose
+    sketches agree most, or with None every such pair once."""
     n, step = len(size), max(1, (1 << 22) // len(size))
     for b in range(0, n, step):
         i = np.arange(b, min(n, b + step))
@@ -319,10 +320,14 @@ def nearest_apart(size: np.ndarray, sketch: np.ndarray, root: np.ndarray) -> tup
             off += np.bitwise_count(sketch[i, w][:, None] ^ sketch[None, :, w])
         larger = np.maximum(size[i][:, None], size)
         off[(root[i][:, None] == root) | (larger - np.minimum(size[i][:, None], size) > MOST_EDITS * larger)] = BINS
-        j = np.argpartition(off, min(BEST, n - 1) - 1, axis=1)[:, :BEST]
+        if best is None:
+            x, y = np.nonzero(off <= BINS - AGREE)
+            once = x + b < y
+            yield x[once] + b, y[once]
+            continue
+        j = np.argpartition(off, min(best, n - 1) - 1, axis=1)[:, :best]
         ok = np.take_along_axis(off, j, axis=1) <= BINS - AGREE
-        found.append((np.repeat(i, j.shape[1]).reshape(j.shape)[ok], j[ok]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        yield np.repeat(i, j.shape[1]).reshape(j.shape)[ok], j[ok]
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
@@ -360,9 +365,9 @@ def _lead_pairs(leads: DataFrame, group: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("root", "h1") != F.coalesce("lead_root", "lead")).select(F.least("lead", "h1").alias("a"), F.greatest("lead", "h1").alias("b")).distinct()
 
 
-def _left_pairs(blocks: DataFrame, group: DataFrame, small: bool) -> DataFrame:
-    """(a, b): pairs within blocks that may be alike and that no links connect, but for those with the block's first line: all of
-    them in blocks of up to FEW lines (with small), for each line those of nearest_apart() in larger blocks."""
+def _left_pairs(blocks: DataFrame, group: DataFrame, small: bool, best: int | None) -> DataFrame:
+    """(a, b): pairs within blocks that may be alike and that no links connect: with small, all of them in blocks of up to FEW lines
+    (but for those with the block's first line); in larger blocks those of pairs_apart()."""
     rows = blocks.join(group.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("component", "h1"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
     rows = rows.join(mixed, "key").select("key", "h1", "size", "sketch", "root", "lead")
@@ -385,10 +390,10 @@ def _left_pairs(blocks: DataFrame, group: DataFrame, small: bool) -> DataFrame:
                     yield told()
             for at, n in zip(begin[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
                 own = slice(at, at + n)
-                i, j = nearest_apart(size[own], sketch[own], root[own])
-                held.append(np.stack([h1[own][i], h1[own][j]], axis=1))
-                if sum(map(len, held)) > PAIRS:
-                    yield told()
+                for i, j in pairs_apart(size[own], sketch[own], root[own], best):
+                    held.append(np.stack([h1[own][i], h1[own][j]], axis=1))
+                    if sum(map(len, held)) > PAIRS:
+                        yield told()
         if held:
             yield told()
 
@@ -498,8 +503,8 @@ def line_removals(docs: DataFrame) -> DataFrame:
 
     A line is compared as its words (runs of letters and digits, A-Z lower-cased). Lines of the same words are one distinct line.
     Distinct lines of one SimHash are compared with the first of them, those first lines with each other where the SimHashes
-    differ in at most MOST_BITS bits; and lines that share one of BANDS min-hash keys with each other (in blocks of more than FEW
-    lines with the nearest by sketch, until hardly any is alike), unless links connect them already. Links are the pairs whose edit similarity holds (README: how many of all such pairs are compared). Of each connected
+    differ in at most MOST_BITS bits; and lines that share one of BANDS min-hash keys with each other, unless links connect them already
+    or their sketches tell that they can't be alike (whatever the block's size; the order of comparison depends on it). Links are the pairs whose edit similarity holds (README: how many of all such pairs are compared). Of each connected
     group the first occurrence stays (least doc_id, then line, then text_key). Lines of fewer than LEAST_WORDS words are compared
     with their exact copies only; lines without words, null and empty texts are left alone. Rows that repeat doc_id and text are one
     document, and keep or lose the same lines; rows that repeat a doc_id with another text are documents of their own; null doc_ids
@@ -523,21 +528,26 @@ def line_removals(docs: DataFrame) -> DataFrame:
     texts = written(_texts(docs, key_filter(ends, "a")), "line-texts")
     # One pair for each line joins most groups; of the further ones only those count whose ends no links connect yet.
     links = written(_alike_pairs(pairs, texts), "line-links")
-    tried, turn, found, rows = pairs, 0, True, blocks
+    # In large blocks the nearest go first; once they join hardly any groups, all pairs that are left follow, so that none is dropped.
+    tried, turn, best, rows = pairs, 0, BEST, blocks
     n, group = links.count(), components(links)
-    while found:
-        more = _lead_pairs(fits, group) if turn == 0 else _left_pairs(rows, group, turn == 1)
+    while True:
+        more = _lead_pairs(fits, group) if turn == 0 else _left_pairs(rows, group, turn == 1, best)
         more = written(more.join(tried, ["a", "b"], "left_anti"), "more-line-pairs")
         new = written(_alike_pairs(more, texts), "more-line-links")
         some = new.count()
-        found = turn == 0 or some > LAST_SHARE * n
         tried, n = tried.unionByName(more), n + some
         if some:
             group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
-        if turn == 1 and found:
+        if best is None:
+            break
+        if turn == 1:
             large = blocks.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > FEW).select("key")
             rows = written(blocks.join(large, "key"), "large-line-blocks")
-            found = rows.limit(1).count() > 0
+            if not rows.limit(1).count():
+                break
+        if turn and some <= LAST_SHARE * n:
+            best = None
         turn += 1
     named = distinct.join(group.withColumnRenamed("node", "h1"), "h1")
     stays = named.groupBy("component").agg(F.min("first").alias("stays"))

@@ -535,3 +535,19 @@ def test_lines_in_large_blocks(spark, monkeypatch):
     monkeypatch.setattr(lines, "FEW", 2)
     kept = {texts[r.doc_id] for r in lines.line_digest(docs).collect() if not r.removed}
     assert kept == {k for i, k in enumerate(keys) if root[i] == i}
+
+
+def test_lines_in_large_blocks_beyond_the_nearest(spark):
+    """The same parts in 36 orders, with and without typos: by sketch 35 lines are nearer to each line than the only one that it is like."""
+    words = prose(970, 64).split()
+    parts = [" ".join(words[i : i + 8]) for i in range(0, 64, 8)]
+    typos = [x[:24] + "q" + x[25:-1] + "q" for x in parts]  # no gram over the border of two parts is left
+    orders = [np.random.default_rng(i).permutation(8) for i in range(36)]
+    texts = [" ".join(x[k] for k in order) for x in (parts, typos) for order in orders]
+    assert [(i, j) for i, p in enumerate(texts) for j, q in enumerate(texts[:i]) if lines.alike(p, q)] == [(36 + k, k) for k in range(36)]
+    _, _, _, _, _, start, end, low, _ = lines.line_hashes(pa.array(texts))
+    keys = [set(x) for x in lines._signed(low, start, end)[1].to_pylist()]
+    meet = [36 + k for k in range(36) if keys[k] & keys[36 + k]]
+    assert len(meet) > 20 and max(collections.Counter(x for own in keys for x in own).values()) > lines.FEW
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in lines.line_digest(docs).collect() if r.removed) == meet
