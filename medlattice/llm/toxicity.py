@@ -22,6 +22,8 @@ WINDOW, PER_DOC, WINDOWS = 48, 4, 1500
 #: A word of a toxic document counts as toxic if it is in at least this share of the toxic and if, of the documents that hold it, at
 #: least this share is toxic (classes weighted alike).
 SUPPORT, PRECISION = 0.02, 0.9
+#: Share of the clean training documents that may score 0.5 or more.
+FALSE_ALARMS = 1 / 64
 _SLICE = 4_000_000
 #: What can't be part of a word: ASCII but letters and digits.
 _BLANK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -250,8 +252,11 @@ def fit_tagger(docs: DataFrame, labels: DataFrame) -> Tagger | float:
     tagger = Tagger(*spread, float(bias[0]), move, np.zeros(3))
     rows = _scan(sample.select("doc_id", "text", "label"), tagger, "label").select("label", "features").collect()
     y = np.array([r["label"] for r in rows], float)
-    weight = np.where(y == 1, totals[1] / max(1, sizes[1]), totals[0] / max(1, sizes[0]))
-    tagger.fit = _logistic(np.array([r["features"] for r in rows]), y, weight / weight.mean())
+    weight = np.where(y == 1, 1 / max(1, sizes[1]), 1 / max(1, sizes[0]))  # classes weighted alike, however rare one is
+    features = np.array([r["features"] for r in rows])
+    tagger.fit = _logistic(features, y, weight / weight.mean())
+    clean = np.sort(tagger.fit[0] + features[y == 0] @ tagger.fit[1:])
+    tagger.fit[0] -= max(0.0, clean[-1 - int(FALSE_ALARMS * len(clean))] + 1e-6)
     return tagger
 
 

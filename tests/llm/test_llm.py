@@ -551,3 +551,14 @@ def test_lines_in_large_blocks_beyond_the_nearest(spark):
     assert len(meet) > 20 and max(collections.Counter(x for own in keys for x in own).values()) > lines.FEW
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in lines.line_digest(docs).collect() if r.removed) == meet
+
+
+def test_toxicity_of_a_rare_class(spark):
+    """Words that all toxic documents hold and one clean document of 90 are a sign, though most that hold them are clean."""
+    toxic = {i for i in range(2400) if i % 120 == 0}
+    rows = [(i, f"calm text of row {i % 7} and so on" + (" such filthy grub here" if i in toxic or i % 90 == 1 else "")) for i in range(2400)]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(2400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    assert np.mean([got[i] for i in toxic]) > 0.9 and np.mean([got[i] for i in got if i not in toxic]) < 0.05
+    assert {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()} == {i for i in got if not got[i]}
