@@ -25,33 +25,42 @@ def usable(vector) -> F.Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Packs (dim, vec_id, v) rows of each task into blocks of equal dimension."""
+def _blocks(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """Packs (dim, vec_id, v) rows, n at most, into blocks of equal dimension of about `most` rows, however they are partitioned."""
+    stripes = max(1, -(-n // most))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        made = 0
+        held: list = []
+        key, size, made = None, 0, 0
 
-        def out(dim: int) -> pa.RecordBatch:
-            nonlocal made
-            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            made += 1
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": [f"{int(ids[0])}-{made}-{len(ids)}"], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+        def out() -> pa.RecordBatch:
+            nonlocal size, made
+            ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            size, made = 0, made + 1
+            return pa.RecordBatch.from_pydict({"dim": pa.array([key[0]], pa.int32()), "block": [f"{int(ids[0])}-{made}-{len(ids)}"], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
 
         for b in batches:
-            dims = b.column(0).to_numpy(zero_copy_only=False)
-            ids = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                flat = b.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                for i in range(0, len(at), most):
-                    held.setdefault(int(dim), []).append((ids[at[i : i + most]], flat[i : i + most]))
-                    if sum(len(x[0]) for x in held[int(dim)]) >= most:
-                        yield out(int(dim))
-        for dim in list(held):
-            yield out(dim)
-
-    return rows.mapInArrow(pack, _BLOCK)
+            dims, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ids = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero((dims[1:] != dims[:-1]) | (part[1:] != part[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if i == j:
+                    continue
+                if held and key != (int(dims[i]), int(part[i])):
+                    yield out()
+                key = int(dims[i]), int(part[i])
+                flat = b.column(3).slice(i, j - i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, key[0])
+                for k in range(0, j - i, most):
+                    held.append((ids[i + k : min(j, i + k + most)], flat[k : k + most]))
+                    size += len(held[-1][0])
+                    if size >= 2 * most:
+                        yield out()
+        if held:
+            yield out()
+
+    dealt = rows.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(stripes)).cast("int").alias("part"), "vec_id", "v")
+    return dealt.repartition("dim", "part").sortWithinPartitions("dim", "part").mapInArrow(pack, _BLOCK)
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,12 +112,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     rows that repeat both id and vector count once; queries that repeat an id with other vectors get the best of any. Fewer than
     k candidates give fewer rows, empty tables none. Only the two columns are read.
 
-    Plan: both sides are packed into blocks; each pair of a query block and a candidate block is one row of an equi-join on a
+    Plan: both sides are dealt by hash and packed into blocks, so that what leaves a tile follows the number of rows and not that of
+    partitions; each pair of a query block and a candidate block is one row of an equi-join on a
     stripe number and one tile of int8 products. The quantisation error bound leaves few pairs of a tile to compute in double.
     """
     ready = lambda df: df.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"]).select(F.size("embedding").alias("dim"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    blocks = written(_blocks(ready(rows), CANDIDATE_ROWS), "vectors")
-    asked = written(_blocks(ready(queries), QUERY_ROWS), "queries")
+    blocks = written(_blocks(ready(rows), CANDIDATE_ROWS, rows.count()), "vectors")
+    asked = written(_blocks(ready(queries), QUERY_ROWS, queries.count()), "queries")
     stripes = max(1, min(blocks.count(), 4096))
     left = asked.select("dim", F.col("ids").alias("qids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
     right = blocks.select("dim", F.col("ids").alias("cids"), F.col("vectors").alias("c"), F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("stripe"))

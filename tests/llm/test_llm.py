@@ -562,3 +562,25 @@ def test_toxicity_of_a_rare_class(spark):
     got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
     assert np.mean([got[i] for i in toxic]) > 0.9 and np.mean([got[i] for i in got if i not in toxic]) < 0.05
     assert {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()} == {i for i in got if not got[i]}
+
+
+def test_nearest_blocks_do_not_follow_the_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(300)] + [(300 + i, [1.0, 2.0]) for i in range(40)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    made, old, before = {}, nearest.written, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(nearest, "written", lambda rows, tag: made.setdefault(tag, old(rows, tag)))
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = nearest.nearest(df.repartition(40), df.where("vec_id % 20 = 0"), 3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert made["vectors"].count() == 2 and made["queries"].count() <= 2 * 3  # two dimensions
+    own = collections.defaultdict(list)
+    for r in sorted(got):
+        own[r.query_id].append(r.vec_id)
+    want = {i: [k for _, k in sorted((-sum(a * b for a, b in zip(x, y, strict=True)), k) for k, y in v if k != i and len(y) == len(x))[:3]] for i, x in v if i % 20 == 0}
+    assert own == want
