@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,14 +27,11 @@ BANDS, BAND_ROWS, GRAMS, GRAM_SHORT = 12, 3, (4, 7), (40, 50)
 #: them and half of the share of common grams.
 BINS, AGREE = 256, 180
 _EMPTY = np.uint32(0xFFFFFFFF)
-#: Pairs in one batch of rows; lines of a block whose lines are all compared with each other at once; in a larger one each line is first
-#: compared with the BEST lines of other components that its sketch agrees with most, again and again until hardly any link is found;
-#: then with all others of other components.
-PAIRS, FEW, BEST = 1 << 16, 64, 4
-#: Pairs up to this number are broadcast to the texts; rounds of the nearest end when one adds less than this share of the links.
-BROADCAST_PAIRS, LAST_SHARE = 200_000, 0.001
-#: Characters up to which Spark computes the edit distance.
-LONG = 1000
+#: Lines of a block whose pairs are taken together with those of other blocks; pairs that are told apart at once, and of a larger block
+#: at first; lines that are compared with all others of a larger block at once have so many pairs.
+FEW, PAIRS, FIRST, SQUARE = 64, 4096, 256, 1 << 20
+#: Characters up to which edit distances of many pairs are computed at once, and characters of such pairs; edits that are looked for first.
+LONG, AT_ONCE, NARROW = 4000, 1 << 19, 32
 _BLANK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _TO_BLANK = bytes(c if not (c < 128 and not chr(c).isalnum()) else 32 for c in range(256))
 
@@ -96,8 +93,8 @@ def line_hashes(column: pa.Array, sims: bool = True, least: int = LEAST_WORDS):
     return row[keep], number[keep], h1, h2, sim, start[keep], end[keep], low, n
 
 
-def block_keys(sim: Column, n: int) -> Column:
-    """Keys of the pigeonhole blocks: two values within MOST_BITS bits agree in one key at least, for any choice of width.
+def block_masks(n: int) -> list[int]:
+    """Bits of the keys of the pigeonhole blocks: two values within MOST_BITS bits agree in one key at least, for any choice of width.
 
     64 bits are cut into MOST_BITS + c fields; each choice of c fields is a key. c follows from the number n of values, so that
     a block of evenly spread values has BLOCK_ROWS rows or fewer; the pairs found are the same for each c.
@@ -107,8 +104,20 @@ def block_keys(sim: Column, n: int) -> Column:
         c += 1
     edges = np.linspace(0, 64, MOST_BITS + c + 1).astype(int).tolist()
     fields = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(f) for f in combinations(fields, c)]
+
+
+def block_keys(sim: Column, masks: list[int]) -> Column:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return F.array(*(F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(signed(sum(f))))) for i, f in enumerate(combinations(fields, c))))
+    return F.array(*(F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)))
+
+
+def met_first(x: np.ndarray, y: np.ndarray, part: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Whether part is the first of the keys that x and y agree in, so that a pair counts in one of its blocks."""
+    first = np.full(len(x), -1)
+    for k in range(len(masks) - 1, -1, -1):
+        first[(x ^ y) & np.uint64(masks[k]) == 0] = k
+    return first == part
 
 
 def close_pairs(sims: np.ndarray) -> np.ndarray:
@@ -132,23 +141,35 @@ def close_pairs(sims: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
-def _candidates(sims: DataFrame, n: int) -> DataFrame:
-    """(x, y): SimHash values within MOST_BITS bits of each other."""
+def _sim_blocks(distinct: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(key, h1, sim, part), and the bits of the keys: the lines whose SimHash is within MOST_BITS bits of another one in the block (of key number part), and those of
+    one SimHash (part is -1). A line has one row for each of its keys at most, however many it is near to."""
+    lines = distinct.where("sim is not null").select("h1", "sim")
+    sims = written(lines.groupBy("sim").agg(F.count("*").alias("k")), "sims")
+    masks = block_masks(sims.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, own), begin, count in _runs(batches, ["key", "sim"]):
+        for (key, own, part), begin, count in _runs(batches, ["key", "sim", "part"]):
             sim = own.view(np.uint64)
-            found = [np.zeros((0, 2), np.int64)]
-            for i, j in _pairs_at_once(count):
+            stays = np.zeros(len(sim), bool)
+
+            def near(i: np.ndarray, j: np.ndarray) -> None:
                 ok = np.bitwise_count(sim[i] ^ sim[j]) <= MOST_BITS
-                found.append(np.stack([i[ok], j[ok]], axis=1))
+                i, j = i[ok], j[ok]
+                ok = met_first(sim[i], sim[j], part[i], masks)
+                stays[i[ok]] = stays[j[ok]] = True
+
+            for i, j in _pairs_at_once(count):
+                near(i, j)
             for at, n in zip(begin[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
-                found.append(close_pairs(sim[at : at + n]) + at)
-            pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], names=["x", "y"])
+                found = close_pairs(sim[at : at + n]) + at
+                near(found[:, 0], found[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[stays]) for x in (key, own, part)], names=["key", "sim", "part"])
 
-    rows = sims.select(F.explode(block_keys(F.col("sim"), n)).alias("key"), "sim")
-    return rows.repartition("key").sortWithinPartitions("key", "sim").mapInArrow(run, "x long, y long").distinct()
+    rows = sims.select(F.posexplode(block_keys(F.col("sim"), masks)).alias("part", "key"), "sim")
+    near = rows.repartition("key").sortWithinPartitions("key", "sim").mapInArrow(run, "key long, sim long, part int")
+    same = sims.where("k > 1").select(F.xxhash64(F.lit(-1), "sim").alias("key"), "sim", F.lit(-1).alias("part"))
+    return near.unionByName(same).join(lines, "sim").select("key", "h1", "sim", "part"), masks
 
 
 def grams_of(data: np.ndarray, size: int) -> np.ndarray:
@@ -309,27 +330,6 @@ def _pairs_at_once(count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield i, i + step
 
 
-def pairs_apart(size: np.ndarray, sketch: np.ndarray, root: np.ndarray, best: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of lines of different components that lengths and sketches allow to be alike: for each line the best ones whose
-    sketches agree most, or with None every such pair once."""
-    n, step = len(size), max(1, (1 << 22) // len(size))
-    for b in range(0, n, step):
-        i = np.arange(b, min(n, b + step))
-        off = np.zeros((len(i), n), np.int16)
-        for w in range(sketch.shape[1]):
-            off += np.bitwise_count(sketch[i, w][:, None] ^ sketch[None, :, w])
-        larger = np.maximum(size[i][:, None], size)
-        off[(root[i][:, None] == root) | (larger - np.minimum(size[i][:, None], size) > MOST_EDITS * larger)] = BINS
-        if best is None:
-            x, y = np.nonzero(off <= BINS - AGREE)
-            once = x + b < y
-            yield x[once] + b, y[once]
-            continue
-        j = np.argpartition(off, min(best, n - 1) - 1, axis=1)[:, :best]
-        ok = np.take_along_axis(off, j, axis=1) <= BINS - AGREE
-        yield np.repeat(i, j.shape[1]).reshape(j.shape)[ok], j[ok]
-
-
 def _blocks(lines: DataFrame) -> DataFrame:
     """(key, h1, size, sketch, lead, near): the lines that share a min-hash key with another that they may be like, the first of
     them, and whether it is one that they may be like. In a block of more than FEW lines all stay."""
@@ -358,48 +358,6 @@ def _blocks(lines: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(run, "key long, h1 long, size int, sketch binary, lead long, near boolean")
 
 
-def _lead_pairs(leads: DataFrame, group: DataFrame) -> DataFrame:
-    """(a, b): the pairs of lines (h1, lead) that no links connect."""
-    rows = leads.join(group.select(F.col("node").alias("h1"), F.col("component").alias("root")), "h1", "left")
-    rows = rows.join(group.select(F.col("node").alias("lead"), F.col("component").alias("lead_root")), "lead", "left")
-    return rows.where(F.coalesce("root", "h1") != F.coalesce("lead_root", "lead")).select(F.least("lead", "h1").alias("a"), F.greatest("lead", "h1").alias("b")).distinct()
-
-
-def _left_pairs(blocks: DataFrame, group: DataFrame, small: bool, best: int | None) -> DataFrame:
-    """(a, b): pairs within blocks that may be alike and that no links connect: with small, all of them in blocks of up to FEW lines
-    (but for those with the block's first line); in larger blocks those of pairs_apart()."""
-    rows = blocks.join(group.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("component", "h1"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
-    rows = rows.join(mixed, "key").select("key", "h1", "size", "sketch", "root", "lead")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def told() -> pa.RecordBatch:
-            both = np.concatenate(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        for (_, h1, size, sketch, root, lead), begin, count in _runs(batches, ["key", "h1", "size", "sketch", "root", "lead"]):
-            for i, j in _pairs_at_once(count) if small else ():
-                ok = (root[i] != root[j]) & (h1[i] != lead[i]) & (h1[j] != lead[j])
-                i, j = i[ok], j[ok]
-                ok = may_be_alike(size, sketch, i, j)
-                held.append(np.stack([h1[i[ok]], h1[j[ok]]], axis=1))
-                if sum(map(len, held)) > PAIRS:
-                    yield told()
-            for at, n in zip(begin[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
-                own = slice(at, at + n)
-                for i, j in pairs_apart(size[own], sketch[own], root[own], best):
-                    held.append(np.stack([h1[own][i], h1[own][j]], axis=1))
-                    if sum(map(len, held)) > PAIRS:
-                        yield told()
-        if held:
-            yield told()
-
-    return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def edits(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance: common ends are cut off, the rest is done with bit vectors (Myers), one step for each character. It stops
     with some number above most where the distance must be larger than that."""
@@ -452,6 +410,173 @@ def alike(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= most and (by_words(a, b, most) or edits(a, b, most) <= most)
 
 
+class Codes:
+    """Texts as small numbers for their characters, from 2 on, and which of them are alike."""
+
+    def __init__(self, texts: np.ndarray):
+        self.texts = texts
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        seen = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        seen[flat] = True
+        rank = np.cumsum(seen) + 1
+        self.flat = rank[flat].astype(np.min_scalar_type(int(rank[-1])))
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """alike() of the texts i and j."""
+        swap = self.size[i] > self.size[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        longer = self.size[j]
+        most = (MOST_EDITS * longer).astype(np.int64)
+        out = longer - self.size[i] <= most
+        for k in np.flatnonzero(out & (longer > LONG)).tolist():
+            out[k] = alike(self.texts[i[k]], self.texts[j[k]])
+        left = np.flatnonzero(out & (longer <= LONG))
+        left = left[np.argsort(-longer[left], kind="stable")]
+        while len(left):
+            some, left = np.split(left, [max(1, AT_ONCE // max(1, int(longer[left[0]])))])
+            out[some] = self._few_edits(i[some], j[some], most[some])
+        return out
+
+    def _taken(self, first: np.ndarray, size: np.ndarray, width: int, step: int, blank: int) -> np.ndarray:
+        """[row, k]: the character at first + k * step, blank from size on."""
+        k = np.arange(width)
+        where = first[:, None] + k * step
+        np.clip(where, 0, len(self.flat) - 1, out=where)
+        got = self.flat[where]
+        got[k >= size[:, None]] = blank
+        return got
+
+    def _few_edits(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        a, b, m, n = self.at[i], self.at[j], self.size[i], self.size[j]
+        width = int(n.max()) + 1
+        same = self._taken(a, m, width, 1, 0) == self._taken(b, n, width, 1, 1)
+        out = (m == n) & (n - same.sum(axis=1) <= most)
+        head = same.argmin(axis=1)
+        tail = np.minimum((self._taken(a + m - 1, m, width, -1, 0) == self._taken(b + n - 1, n, width, -1, 1)).argmin(axis=1), m - head)
+        m, n = m - head - tail, n - head - tail
+        out |= n <= most
+        left = np.flatnonzero(~out)
+        left = left[np.argsort(-n[left], kind="stable")]
+        for narrow in (True, False):
+            if len(left) and (not narrow or m[left].max() > 128):
+                band = NARROW if narrow else int(most[left].max())
+                out[left] = self._distances(a[left] + head[left], b[left] + head[left], m[left], n[left], band) <= most[left]
+                left = left[~out[left]]
+        return out
+
+    def _distances(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, band: int) -> np.ndarray:
+        """Levenshtein distances of m characters at a and n at b (no less), the largest n first: the bit vectors of edits() in words of
+        64 bits, for all pairs at once. Words further than band from the diagonal are left out: distances up to it are exact, larger
+        ones may come out larger, never smaller."""
+        words = max(1, -(-int(m.max()) // 64))
+        pattern = self._taken(a, m, words * 64, 1, 0)
+        text = np.ascontiguousarray(self._taken(b, n, int(n[0]), 1, 1).T)
+        plus = np.full((words, len(m)), ~np.uint64(0))
+        minus = np.zeros_like(plus)
+        one, top = np.uint64(1), np.uint64(63)
+        active = np.searchsorted(-n, -np.arange(int(n[0])), "left")
+        for at, (c, k) in enumerate(zip(text, active.tolist(), strict=True)):
+            low, high = max(0, (at - band) // 64), min(words - 1, (at + band) // 64)
+            equal = np.packbits(pattern[:k, 64 * low : 64 * high + 64] == c[:k, None], axis=1, bitorder="little").view(np.uint64).T
+            up_in, down_in = one, np.uint64(0)
+            for w in range(low, high + 1):
+                p, q, eq = plus[w, :k], minus[w, :k], equal[w - low]
+                x = eq | q
+                eq = eq | down_in
+                h = (((eq & p) + p) ^ p) | eq
+                up = q | ~(h | p)
+                down = p & h
+                up_out, down_out = up >> top, down >> top
+                up = up << one | up_in
+                down = down << one | down_in
+                plus[w, :k] = down | ~(x | up)
+                minus[w, :k] = up & x
+                up_in, down_in = up_out, down_out
+        own = np.clip(m - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
+        mask = np.where(own == 64, ~np.uint64(0), (one << np.minimum(own, top)) - one)
+        return n + np.bitwise_count(plus & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(minus & mask).sum(axis=0, dtype=np.int64)
+
+
+class _Joined:
+    """Components of some rows' lines as links come in; lines of one root are joined."""
+
+    def __init__(self, h1: np.ndarray, root: np.ndarray):
+        found, self.place = np.unique(root, return_inverse=True)
+        self.of, self.up = h1, np.arange(len(found))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.up[self.place[i]] != self.up[self.place[j]]
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Joins the lines of these rows; [link, end]: those links that joined two components."""
+        up, out = self.up, []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = self.place[a], self.place[b]
+            while up[p] != p:
+                p = up[p]
+            while up[q] != q:
+                q = up[q]
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((a, b))
+        while (up != up[up]).any():
+            up[:] = up[up]
+        return self.of[np.array(out, np.int64).reshape(-1, 2)]
+
+
+def _block_links(rows: DataFrame, columns: list[str], may: Callable[..., np.ndarray], roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join the lines of each block as all its links do, but for those that roots (h1, root) joins already. rows has key,
+    h1 and the columns; may(columns, i, j) tells which pairs of rows are candidates. A pair of candidates is told apart if the links found
+    so far don't join it: each block's pairs stay in its task, and no more links leave than it has lines."""
+    rows = rows.join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
+    rows = rows.join(mixed, "key").join(texts, "h1").select("key", "h1", "root", *columns, "line_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, h1, root, *own, texts), begin, count in _runs(batches, ["key", "h1", "root", *columns, "line_text"]):
+            if not len(h1):
+                continue
+            joined, codes, found = _Joined(h1, root), Codes(texts), [np.zeros((0, 2), np.int64)]
+
+            def tell(i: np.ndarray, j: np.ndarray, joined=joined, codes=codes, found=found) -> None:
+                ok = joined.apart(i, j)
+                i, j = i[ok], j[ok]
+                ok = codes.alike(i, j)
+                found.append(joined.link(i[ok], j[ok]))
+
+            held: list[np.ndarray] = []
+            for k, (i, j) in enumerate(_pairs_at_once(count)):
+                ok = joined.apart(i, j)
+                i, j = i[ok], j[ok]
+                ok = may(own, i, j)
+                held.append(np.stack([i[ok], j[ok]]))
+                if not k or sum(x.shape[1] for x in held) > PAIRS:
+                    tell(*np.concatenate(held, axis=1))
+                    held.clear()
+            if held:
+                tell(*np.concatenate(held, axis=1))
+            for at, n in zip(begin[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
+                rows_at_once = max(1, SQUARE // n)
+                for b in range(0, n, rows_at_once):
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(b, min(n, b + rows_at_once)), np.arange(b, n), indexing="ij"))
+                    i, j = i[i < j] + at, j[i < j] + at
+                    ok = joined.apart(i, j)
+                    i, j = i[ok], j[ok]
+                    ok = may(own, i, j)
+                    i, j, size = i[ok], j[ok], FIRST
+                    while len(i):
+                        tell(i[:size], j[:size])
+                        i, j = i[size:], j[size:]
+                        ok = joined.apart(i, j)
+                        i, j, size = i[ok], j[ok], min(2 * size, PAIRS)
+            links = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(run, "a long, b long")
+
+
 def _texts(docs: DataFrame, wanted: bytes) -> DataFrame:
     """(h1, line_text) of the lines whose hash the filter lets pass, normalised."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -475,36 +600,27 @@ def _texts(docs: DataFrame, wanted: bytes) -> DataFrame:
     return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, "h1 long, line_text string").groupBy("h1").agg(F.min("line_text").alias("line_text"))
 
 
-def _alike_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, whose lines are alike. Spark's edit distance with a threshold tells it of lines of up to
-    LONG characters, bit vectors of longer ones."""
+def _lead_links(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, lead): the lines that are alike to the least of their blocks' first lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [alike(p, q) if p is not None else True for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    a_texts, b_texts = (texts.select(F.col("h1").alias(c), F.col("line_text").alias(f"{c}_text")) for c in "ab")
-    n = pairs.count()
-    if n <= BROADCAST_PAIRS:  # 16 bytes each: the texts stay where they are
-        told = a_texts.join(F.broadcast(pairs), "a").join(b_texts.join(F.broadcast(pairs), "b"), ["a", "b"]).repartition(1 + n // 1024)
-    else:
-        told = pairs.join(a_texts, "a").join(b_texts, "b")
-    longer, gap = F.greatest(F.length("a_text"), F.length("b_text")), F.abs(F.length("a_text") - F.length("b_text"))
-    most = F.floor(F.lit(MOST_EDITS) * longer).cast("int")
-    told = told.withColumn("longer", longer).withColumn("most", most).where(gap <= most)
-    told = told.where((F.col("longer") > LONG) | (F.expr("levenshtein(a_text, b_text, most)") >= 0))
-    still = F.col("longer") > LONG
-    return told.select("a", "b", F.when(still, F.col("a_text")), F.when(still, F.col("b_text"))).mapInArrow(run, "a long, b long")
+            if n := b.num_rows:
+                ok = Codes(np.concatenate([_values(b.column(2)), _values(b.column(3))])).alike(np.arange(n), np.arange(n, 2 * n))
+                yield b.select(["h1", "lead"]).filter(pa.array(ok))
+
+    pairs = blocks.where("near").groupBy("h1").agg(F.min("lead").alias("lead")).join(texts, "h1")
+    both = pairs.join(texts.select(F.col("h1").alias("lead"), F.col("line_text").alias("lead_text")), "lead").select("h1", "lead", "line_text", "lead_text")
+    return both.mapInArrow(run, "h1 long, lead long")
 
 
 def line_removals(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, removed): for each text with lines to remove, their numbers from 0 on.
 
     A line is compared as its words (runs of letters and digits, A-Z lower-cased). Lines of the same words are one distinct line.
-    Distinct lines of one SimHash are compared with the first of them, those first lines with each other where the SimHashes
-    differ in at most MOST_BITS bits; and lines that share one of BANDS min-hash keys with each other, unless links connect them already
-    or their sketches tell that they can't be alike (whatever the block's size; the order of comparison depends on it). Links are the pairs whose edit similarity holds (README: how many of all such pairs are compared). Of each connected
+    Distinct lines are compared where their SimHashes differ in at most MOST_BITS bits, or where they share one of BANDS min-hash keys and
+    their sketches don't tell that they can't be alike, unless links join them already (whatever the block's size). Links are the pairs
+    whose edit similarity holds (README: how many of all such pairs are compared). Of each connected
     group the first occurrence stays (least doc_id, then line, then text_key). Lines of fewer than LEAST_WORDS words are compared
     with their exact copies only; lines without words, null and empty texts are left alone. Rows that repeat doc_id and text are one
     document, and keep or lose the same lines; rows that repeat a doc_id with another text are documents of their own; null doc_ids
@@ -513,42 +629,24 @@ def line_removals(docs: DataFrame) -> DataFrame:
     lines = written(_lines(docs), "lines")
     place = F.struct("doc_id", "line", "text_key")
     distinct = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
-    classes = distinct.where("sim is not null").groupBy("sim").agg(F.min(F.struct("first", "h1")).alias("least"), F.count("*").alias("k")).select("sim", F.col("least.h1").alias("head"), "k")
-    classes = written(classes, "sims")
-    near = _candidates(classes.select("sim"), classes.count())
-    heads = classes.select("sim", "head")
-    between = near.join(heads.withColumnRenamed("sim", "x").withColumnRenamed("head", "a"), "x").join(heads.withColumnRenamed("sim", "y").withColumnRenamed("head", "b"), "y").select("a", "b")
-    within = distinct.join(classes.where("k > 1"), "sim").select(F.col("head").alias("a"), F.col("h1").alias("b"))
-    blocks = written(_blocks(lines), "line-blocks")
-    fits = blocks.where("near").select("h1", "lead").distinct()
-    first = fits.groupBy("h1").agg(F.min("lead").alias("lead"))
-    sim = between.unionByName(within).unionByName(first.select(F.col("lead").alias("a"), F.col("h1").alias("b"))).where("a != b")
-    pairs = written(sim.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(blocks.select(F.col("h1").alias("a")))
-    texts = written(_texts(docs, key_filter(ends, "a")), "line-texts")
-    # One pair for each line joins most groups; of the further ones only those count whose ends no links connect yet.
-    links = written(_alike_pairs(pairs, texts), "line-links")
-    # In large blocks the nearest go first; once they join hardly any groups, all pairs that are left follow, so that none is dropped.
-    tried, turn, best, rows = pairs, 0, BEST, blocks
-    n, group = links.count(), components(links)
-    while True:
-        more = _lead_pairs(fits, group) if turn == 0 else _left_pairs(rows, group, turn == 1, best)
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "more-line-pairs")
-        new = written(_alike_pairs(more, texts), "more-line-links")
-        some = new.count()
-        tried, n = tried.unionByName(more), n + some
-        if some:
-            group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
-        if best is None:
-            break
-        if turn == 1:
-            large = blocks.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > FEW).select("key")
-            rows = written(blocks.join(large, "key"), "large-line-blocks")
-            if not rows.limit(1).count():
-                break
-        if turn and some <= LAST_SHARE * n:
-            best = None
-        turn += 1
+    sims, masks = _sim_blocks(distinct)
+    sims, blocks = written(sims, "sim-blocks"), written(_blocks(lines), "line-blocks")
+    texts = written(_texts(docs, key_filter(sims.select("h1").unionByName(blocks.select("h1")), "h1")), "line-texts")
+
+    def near(own: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        sim, part = own[0].view(np.uint64), own[1]
+        ok = (sim[i] != sim[j]) & (np.bitwise_count(sim[i] ^ sim[j]) <= MOST_BITS)
+        ok[ok] = met_first(sim[i[ok]], sim[j[ok]], part[i[ok]], masks)
+        return ok | (part[i] < 0)
+
+    # One link for each line joins most groups; blocks that it leaves in several parts compare all pairs of different ones.
+    leads = written(_lead_links(blocks, texts), "lead-links")
+    further = leads.select(F.col("h1").alias("lead"), F.col("lead").alias("before"))
+    roots = leads.join(further, "lead", "left").select("h1", F.coalesce("before", "lead").alias("root"))
+    links = leads.select(F.col("h1").alias("a"), F.col("lead").alias("b"))
+    links = links.unionByName(_block_links(sims, ["sim", "part"], near, roots, texts))
+    links = links.unionByName(_block_links(blocks, ["size", "sketch"], lambda own, i, j: may_be_alike(*own, i, j), roots, texts))
+    group = components(links)
     named = distinct.join(group.withColumnRenamed("node", "h1"), "h1")
     stays = named.groupBy("component").agg(F.min("first").alias("stays"))
     linked = named.join(stays, "component").select("h1", "h2", "stays")

@@ -584,3 +584,42 @@ def test_nearest_blocks_do_not_follow_the_partitions(spark, monkeypatch):
         own[r.query_id].append(r.vec_id)
     want = {i: [k for _, k in sorted((-sum(a * b for a, b in zip(x, y, strict=True)), k) for k, y in v if k != i and len(y) == len(x))[:3]] for i, x in v if i % 20 == 0}
     assert own == want
+
+
+def test_lines_of_one_simhash_that_are_not_like_its_first(spark):
+    """All have the same long words; A, the first, in another order. B and C are alike and share no min-hash key."""
+    rng = np.random.default_rng(77)
+    long = ["".join("abcdefghijklmnop"[k] for k in rng.integers(0, 16, 5)) for _ in range(30)]
+    a = " ".join(reversed(long))
+    b, c = (" ".join(f"{w} {i % 10}{x}{(i * 7) % 10}" for i, w in enumerate(long)) for x in "xy")
+    assert lines.alike(b, c) and not lines.alike(a, b) and not lines.alike(a, c)
+    _, _, _, _, sim, start, end, low, _ = lines.line_hashes(pa.array([a, b, c]))
+    keys = [set(x) for x in lines._signed(low, start, end)[1].to_pylist()]
+    assert len(set(sim.tolist())) == 1 and not keys[1] & keys[2]
+    docs = spark.createDataFrame(list(enumerate([a, b, c])), "doc_id long, text string")
+    assert [r.doc_id for r in lines.line_digest(docs).collect() if r.removed] == [2]
+
+
+def test_links_of_a_block_grow_with_its_lines(spark):
+    texts = [f"{prose(980, 40)} {i}" for i in range(90)] + [f"{prose(2000 + i, 40)}" for i in range(90)]
+    frame = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "key long, h1 long, line_text string")
+    asked = frame.select("key", "h1", F.length("line_text").alias("size"))
+    links = lines._block_links(asked, ["size"], lambda own, i, j: i != j, spark.createDataFrame([(5, 3)], "h1 long, root long"), frame.select("h1", "line_text")).collect()
+    group = unions([(r.a, r.b) for r in links] + [(5, 3)], range(180))
+    assert len(links) == 88 and [group[i] for i in range(180)] == [0] * 90 + list(range(90, 180))
+
+
+def test_codes_tell_what_alike_tells():
+    rng = np.random.default_rng(78)
+    texts = []
+    for k in range(150):
+        t = "".join("abcé漢 "[x] for x in rng.integers(0, 6, int(rng.integers(0, 900 if k % 9 else 4400))))
+        u = list(t)
+        for _ in range(int(rng.integers(0, len(t) // 4 + 2))):
+            at = int(rng.integers(0, len(u) + 1))
+            u[at : at + int(rng.integers(0, 2))] = "z" * int(rng.integers(0, 2))
+        texts += [t, "".join(u)]
+    i = np.concatenate([np.arange(0, 300, 2), rng.integers(0, 300, 100)])
+    j = np.concatenate([np.arange(1, 300, 2), rng.integers(0, 300, 100)])
+    got = lines.Codes(np.array(texts, object)).alike(i, j)
+    assert got.tolist() == [lines.alike(texts[x], texts[y]) for x, y in zip(i, j, strict=True)] and 20 < got.sum() < 240
