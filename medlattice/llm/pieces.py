@@ -29,6 +29,8 @@ CACHE, ENTRY = 48_000_000, 200
 SEGMENT_BYTES = 3_000_000
 #: The digest's modulus.
 PRIME = (1 << 31) - 1
+#: Characters of segments that are solved many at once, and how many.
+SHORT, AT_ONCE = 64, 1 << 15
 _NONE = -np.inf
 _WORKER: dict = {}
 
@@ -94,6 +96,17 @@ class Pieces:
         for b, i in self.bytes.items():
             self.by_id[i] = 0.0 if 0x80 <= b < 0xC0 else self.odd
         self.by_id[self.unknown] = self.odd
+        # The beginnings as numbered states: steps holds state * n_chars + character in order, step_to where that leads.
+        chars = sorted({c for p in self.ids for c in p})
+        self.n_chars = len(chars) + 1
+        self.char_no = np.full(max(map(ord, chars)) + 2, len(chars))
+        self.char_no[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.pairs = np.array(sorted(int(self.char_no[ord(a)]) * self.n_chars + int(self.char_no[ord(b)]) for a, b in self.inner))
+        number = {"": 0} | {p: i for i, p in enumerate(self.begins, 1)}
+        steps = np.array([number[p[:-1]] * self.n_chars + self.char_no[ord(p[-1])] for p in self.begins])
+        order = np.argsort(steps)
+        self.steps, self.step_to = steps[order], order + 1
+        self.state_id = np.array([-1, *(self.ids.get(p, -1) for p in self.begins)])
         byte = {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelled = [byte.get(i, p.encode()) for i, p in enumerate(self.names)]
         self.known: dict[str, bytes] = {}
@@ -133,6 +146,66 @@ class Pieces:
             cuts.append(back[cuts[-1]])
         return top[n], [begin + c for c in reversed(cuts)]
 
+    def _chars(self, text: str) -> np.ndarray:
+        """The number of each character; those of no piece have the last one."""
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        return self.char_no[np.minimum(code, len(self.char_no) - 1)]
+
+    def best_of_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text's best path as best() finds it, for all texts (none is empty) at once: every piece is found by walks
+        through the beginnings from all characters, then all texts are solved from left to right, one position at a time."""
+        size = np.array([len(t) for t in texts], np.int64)
+        at = np.cumsum(size) - size
+        char = self._chars("".join(texts))
+        owner = np.repeat(np.arange(len(texts)), size)
+        place = np.arange(len(char)) - at[owner]
+        room = size[owner] - place
+        start, state, found = np.arange(len(char)), np.zeros(len(char), np.int64), []
+        for n in range(1, self.longest + 1):
+            start, state = start[room[start] >= n], state[room[start] >= n]
+            key = state * self.n_chars + char[start + n - 1]
+            where = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            met = self.steps[where] == key
+            start, state = start[met], self.step_to[where[met]]
+            whole = self.state_id[state] >= 0
+            found.append((start[whole], np.full(int(whole.sum()), n), self.state_id[state[whole]]))
+            if n == 1:
+                alone = np.ones(len(char), bool)
+                alone[start[whole]] = False
+                odd = np.flatnonzero(alone)
+                found.append((odd, np.ones(len(odd), np.int64), np.full(len(odd), -1)))
+        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(place[start], kind="stable")
+        start, length, piece = start[order], length[order], piece[order]
+        cuts = np.searchsorted(place[start], np.arange(int(size.max()) + 1))
+        score = np.where(piece < 0, self.odd, self.by_id[piece])
+        slot = start + owner[start]  # a text of n characters has n + 1 slots
+        top, back, last = (np.full(len(char) + len(texts), x) for x in (_NONE, 0, -1))
+        top[at + np.arange(len(texts))] = 0.0
+        for b, e in zip(cuts, cuts[1:], strict=False):
+            to = slot[b:e] + length[b:e]
+            weight = top[slot[b:e]] + score[b:e]
+            more = weight > top[to]
+            to = to[more]
+            top[to], back[to], last[to] = weight[more], length[b:e][more], piece[b:e][more]
+        text, now, taken = np.arange(len(texts)), at + np.arange(len(texts)) + size, []
+        while len(text):
+            taken.append((text, now, last[now]))
+            now = now - back[now]
+            left = now > at[text] + text
+            text, now = text[left], now[left]
+        text, now, ids = (np.concatenate(x) for x in zip(*taken, strict=True))
+        order = np.argsort(now)
+        text, now, ids = text[order], now[order], ids[order].astype("<i4")
+        ends = np.searchsorted(text, np.arange(len(texts) + 1))
+        odd = set(text[ids < 0].tolist())
+        raw, ends = ids.tobytes(), ends.tolist()
+        out = [raw[4 * b : 4 * e] for b, e in zip(ends, ends[1:], strict=False)]
+        for k in odd:
+            begin = int(at[k]) + k
+            out[k] = np.array(self.spell(texts[k], [0, *(now[ends[k] : ends[k + 1]] - begin).tolist()]), "<i4").tobytes()
+        return out
+
     def spell(self, text: str, cuts: list[int]) -> list[int]:
         out: list[int] = []
         for b, e in zip(cuts, cuts[1:], strict=False):
@@ -145,22 +218,30 @@ class Pieces:
     def _learn(self, keys: list[str]) -> None:
         """A key is a word after a space, or a new line and what follows it. It is cut where no piece holds the two characters on
         either side (a word from the point behind it, say), and each part is solved once."""
-        inner, solved = self.inner, self.solved
-        for key in keys:
-            segment = key if key[:1] == "\n" else "▁" + key
-            out, begin = [], 0
-            for i in range(1, len(segment) + 1):
-                if i == len(segment) or segment[i - 1 : i + 1] not in inner:
-                    part = segment[begin:i]
-                    ids = solved.get(part)
-                    if ids is None:
-                        found = self.spell(part, self.best(part, 0, len(part))[1])
-                        ids = solved[part] = np.array(found, "<i4").tobytes()
-                        self.held["solved"] += len(part) + len(ids) + ENTRY
-                    out.append(ids)
-                    begin = i
-            self.known[key] = b"".join(out)
-            self.held["known"] += len(key) + len(self.known[key]) + ENTRY
+        if not keys:
+            return
+        solved = self.solved
+        segments = [key if key[:1] == "\n" else "▁" + key for key in keys]
+        text, stop = "".join(segments), np.cumsum([len(x) for x in segments])
+        char = self._chars(text)
+        two = np.append(char[:-1] * self.n_chars + char[1:], -1)
+        ends = self.pairs[np.minimum(np.searchsorted(self.pairs, two), len(self.pairs) - 1)] != two
+        ends[stop - 1] = True
+        ends = np.flatnonzero(ends) + 1
+        at = ends.tolist()
+        parts = [text[b:e] for b, e in zip([0, *at], at, strict=False)]
+        until = np.searchsorted(ends, stop, "right").tolist()
+        new = [p for p in dict.fromkeys(parts) if p not in solved]
+        short = [p for p in new if len(p) <= SHORT]
+        for b in range(0, len(short), AT_ONCE):
+            solved.update(zip(short[b : b + AT_ONCE], self.best_of_all(short[b : b + AT_ONCE]), strict=True))
+        for p in new:
+            if len(p) > SHORT:
+                solved[p] = np.array(self.spell(p, self.best(p, 0, len(p))[1]), "<i4").tobytes()
+            self.held["solved"] += len(p) + len(solved[p]) + ENTRY
+        for key, b, e in zip(keys, [0, *until], until, strict=False):
+            ids = self.known[key] = solved[parts[b]] if e == b + 1 else b"".join(map(solved.__getitem__, parts[b:e]))
+            self.held["known"] += len(key) + len(ids) + ENTRY
 
     def _know(self, keys: list[str]) -> None:
         """Makes all keys (each given once) known; a cache that is full is emptied first."""

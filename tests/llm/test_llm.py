@@ -623,3 +623,11 @@ def test_codes_tell_what_alike_tells():
     j = np.concatenate([np.arange(1, 300, 2), rng.integers(0, 300, 100)])
     got = lines.Codes(np.array(texts, object)).alike(i, j)
     assert got.tolist() == [lines.alike(texts[x], texts[y]) for x, y in zip(i, j, strict=True)] and 20 < got.sum() < 240
+
+
+def test_many_best_paths_equal_single_ones(model):
+    rng = np.random.default_rng(79)
+    chars = "etaoinshrdlu▁.,-漢é\n0Z"
+    texts = list(dict.fromkeys("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(1, 60)))) for _ in range(800)))
+    texts += [f"▁{w}" for w in prose(81, 500).split()]
+    assert model.best_of_all(texts) == [np.array(model.spell(t, model.best(t, 0, len(t))[1]), "<i4").tobytes() for t in texts]
