@@ -29,9 +29,10 @@ BINS, AGREE = 256, 180
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: Lines of a block whose pairs are taken together with those of other blocks; pairs that are told apart at once, and of a larger block
 #: at first; lines that are compared with all others of a larger block at once have so many pairs.
-FEW, PAIRS, FIRST, SQUARE = 64, 4096, 256, 1 << 20
-#: Characters up to which edit distances of many pairs are computed at once, and characters of such pairs; edits that are looked for first.
-LONG, AT_ONCE, NARROW = 4000, 1 << 19, 32
+FEW, PAIRS, FIRST, SQUARE = 64, 1 << 14, 256, 1 << 20
+#: Characters up to which edit distances of many pairs are computed at once, characters of such pairs, and letters of their alphabets; edits
+#: that are looked for first.
+LONG, AT_ONCE, ALPHABETS, NARROW = 4000, 1 << 21, 1 << 22, 32
 _BLANK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _TO_BLANK = bytes(c if not (c < 128 and not chr(c).isalnum()) else 32 for c in range(256))
 
@@ -141,9 +142,8 @@ def close_pairs(sims: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
-def _sim_blocks(distinct: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(key, h1, sim, part), and the bits of the keys: the lines whose SimHash is within MOST_BITS bits of another one in the block (of key number part), and those of
-    one SimHash (part is -1). A line has one row for each of its keys at most, however many it is near to."""
+def _sim_blocks(distinct: DataFrame) -> DataFrame:
+    """(key, h1, sim): the lines whose SimHash is within MOST_BITS bits of another one in the block, and those of one SimHash. A line has one row for each of its keys at most, however many it is near to."""
     lines = distinct.where("sim is not null").select("h1", "sim")
     sims = written(lines.groupBy("sim").agg(F.count("*").alias("k")), "sims")
     masks = block_masks(sims.count())
@@ -169,7 +169,7 @@ def _sim_blocks(distinct: DataFrame) -> tuple[DataFrame, list[int]]:
     rows = sims.select(F.posexplode(block_keys(F.col("sim"), masks)).alias("part", "key"), "sim")
     near = rows.repartition("key").sortWithinPartitions("key", "sim").mapInArrow(run, "key long, sim long, part int")
     same = sims.where("k > 1").select(F.xxhash64(F.lit(-1), "sim").alias("key"), "sim", F.lit(-1).alias("part"))
-    return near.unionByName(same).join(lines, "sim").select("key", "h1", "sim", "part"), masks
+    return near.unionByName(same).join(lines, "sim").select("key", "h1", "sim")
 
 
 def grams_of(data: np.ndarray, size: int) -> np.ndarray:
@@ -414,14 +414,15 @@ class Codes:
     """Texts as small numbers for their characters, from 2 on, and which of them are alike."""
 
     def __init__(self, texts: np.ndarray):
-        self.texts = texts
+        self.texts, self.often = texts, True  # whether most pairs were alike lately: then few edits are looked for first
         self.size = np.array([len(t) for t in texts], np.int64)
         self.at = np.cumsum(self.size) - self.size
         flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         seen = np.zeros(int(flat.max(initial=0)) + 1, bool)
         seen[flat] = True
         rank = np.cumsum(seen) + 1
-        self.flat = rank[flat].astype(np.min_scalar_type(int(rank[-1])))
+        self.letters = int(rank[-1])
+        self.flat = rank[flat].astype(np.min_scalar_type(self.letters))
 
     def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """alike() of the texts i and j."""
@@ -435,14 +436,14 @@ class Codes:
         left = np.flatnonzero(out & (longer <= LONG))
         left = left[np.argsort(-longer[left], kind="stable")]
         while len(left):
-            some, left = np.split(left, [max(1, AT_ONCE // max(1, int(longer[left[0]])))])
+            some, left = np.split(left, [self._at_once(int(longer[left[0]]))])
             out[some] = self._few_edits(i[some], j[some], most[some])
         return out
 
     def _taken(self, first: np.ndarray, size: np.ndarray, width: int, step: int, blank: int) -> np.ndarray:
         """[row, k]: the character at first + k * step, blank from size on."""
-        k = np.arange(width)
-        where = first[:, None] + k * step
+        k = np.arange(width, dtype=np.int32)
+        where = first.astype(np.int32)[:, None] + k * np.int32(step)
         np.clip(where, 0, len(self.flat) - 1, out=where)
         got = self.flat[where]
         got[k >= size[:, None]] = blank
@@ -458,45 +459,121 @@ class Codes:
         m, n = m - head - tail, n - head - tail
         out |= n <= most
         left = np.flatnonzero(~out)
-        left = left[np.argsort(-n[left], kind="stable")]
+        left = asked = left[np.argsort(-n[left], kind="stable")]
         for narrow in (True, False):
-            if len(left) and (not narrow or m[left].max() > 128):
+            if len(left) and (not narrow or (self.often and m[left].max() > 128)):
                 band = NARROW if narrow else int(most[left].max())
-                out[left] = self._distances(a[left] + head[left], b[left] + head[left], m[left], n[left], band) <= most[left]
+                out[left] = self._distances(a[left] + head[left], b[left] + head[left], m[left], n[left], band, most[left]) <= most[left]
                 left = left[~out[left]]
+        self.often = 2 * out[asked].sum() >= len(asked)
         return out
 
-    def _distances(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, band: int) -> np.ndarray:
+    def _at_once(self, longer: int) -> int:
+        """Pairs of up to so many characters that are taken together: their characters and their alphabets fit in memory."""
+        return max(1, min(AT_ONCE // max(1, longer), ALPHABETS // (self.letters + 1)))
+
+    def _matches(self, pattern: np.ndarray, text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """[word, slot]: where in 64 characters of a pattern the character of a slot stands; and the slots of the texts' characters,
+        [place, pair]. Each pair has slots for the characters of its own pattern, and one for all others."""
+        pairs = np.arange(len(pattern))[:, None]
+        there = np.zeros((len(pattern), self.letters + 1), bool)
+        there[pairs, pattern] = True
+        there[:, :2] = False  # blanks
+        local = np.cumsum(there, axis=1, dtype=np.int16)
+        slots = int(local[:, -1].max(initial=0)) + 1
+        local[~there] = 0
+        place = np.arange(pattern.shape[1])
+        own = local[pairs, pattern]
+        found = np.zeros((words, len(pattern) * slots), np.uint64)
+        solid = own > 0
+        where = (place >> 6) * found.shape[1] + (pairs * slots + own)
+        np.add.at(found.reshape(-1), where[solid], np.broadcast_to(np.uint64(1) << (place & 63).astype(np.uint64), own.shape)[solid])
+        return found, np.ascontiguousarray((pairs * slots + local[pairs, text]).T)
+
+    def _distances(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, band: int, most: np.ndarray) -> np.ndarray:
         """Levenshtein distances of m characters at a and n at b (no less), the largest n first: the bit vectors of edits() in words of
         64 bits, for all pairs at once. Words further than band from the diagonal are left out: distances up to it are exact, larger
-        ones may come out larger, never smaller."""
+        ones may come out larger, never smaller. Pairs that must come out above most are dropped on the way, with most + 1."""
         words = max(1, -(-int(m.max()) // 64))
-        pattern = self._taken(a, m, words * 64, 1, 0)
-        text = np.ascontiguousarray(self._taken(b, n, int(n[0]), 1, 1).T)
+        match, text = self._matches(self._taken(a, m, words * 64, 1, 0), self._taken(b, n, int(n[0]), 1, 1), words)
+        out, live = most + 1, np.arange(len(m))
         plus = np.full((words, len(m)), ~np.uint64(0))
         minus = np.zeros_like(plus)
         one, top = np.uint64(1), np.uint64(63)
         active = np.searchsorted(-n, -np.arange(int(n[0])), "left")
-        for at, (c, k) in enumerate(zip(text, active.tolist(), strict=True)):
-            low, high = max(0, (at - band) // 64), min(words - 1, (at + band) // 64)
-            equal = np.packbits(pattern[:k, 64 * low : 64 * high + 64] == c[:k, None], axis=1, bitorder="little").view(np.uint64).T
+        for at in range(int(n[0])):
+            low, high, k = max(0, (at - band) // 64), min(words - 1, (at + band) // 64), int(active[at])
+            if not k:
+                break
+            slot = text[at, :k]
             up_in, down_in = one, np.uint64(0)
             for w in range(low, high + 1):
-                p, q, eq = plus[w, :k], minus[w, :k], equal[w - low]
+                p, q, eq = plus[w, :k], minus[w, :k], match[w].take(slot)
                 x = eq | q
-                eq = eq | down_in
-                h = (((eq & p) + p) ^ p) | eq
-                up = q | ~(h | p)
-                down = p & h
-                up_out, down_out = up >> top, down >> top
-                up = up << one | up_in
-                down = down << one | down_in
-                plus[w, :k] = down | ~(x | up)
+                eq |= down_in
+                h = eq & p
+                h += p
+                h ^= p
+                h |= eq
+                up = ~(h | p)
+                up |= q
+                h &= p
+                up_out, down_out = up >> top, h >> top
+                up <<= one
+                up |= up_in
+                h <<= one
+                h |= down_in
                 minus[w, :k] = up & x
+                x |= up
+                np.invert(x, out=x)
+                x |= h
+                plus[w, :k] = x
                 up_in, down_in = up_out, down_out
-        own = np.clip(m - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
+            if at % 64 == 63 and low <= high and words > 1:
+                least = self._least_to_come(plus[:, :k], minus[:, :k], m[live[:k]], n[live[:k]], at + 1, low, high)
+                stays = np.append(least <= most[live[:k]], np.ones(len(live) - k, bool))
+                if 4 * stays.sum() < 3 * len(stays):
+                    live, plus, minus, text = live[stays], plus[:, stays], minus[:, stays], text[:, stays]
+                    active = np.searchsorted(-n[live], -np.arange(int(n[0])), "left")
+        own = np.clip(m[live] - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
         mask = np.where(own == 64, ~np.uint64(0), (one << np.minimum(own, top)) - one)
-        return n + np.bitwise_count(plus & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(minus & mask).sum(axis=0, dtype=np.int64)
+        out[live] = n[live] + np.bitwise_count(plus & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(minus & mask).sum(axis=0, dtype=np.int64)
+        return out
+
+    def _least_to_come(self, plus: np.ndarray, minus: np.ndarray, m: np.ndarray, n: np.ndarray, at: int, low: int, high: int) -> np.ndarray:
+        """What each pair's distance is at least, as its text is read up to at: neighbours in a column differ by one, so that its values at
+        the borders of words bound those between them; and as many edits must follow as the rests differ in length."""
+        edge = np.zeros((len(plus) + 1, len(m)), np.int64)
+        np.cumsum(np.bitwise_count(plus).astype(np.int64) - np.bitwise_count(minus), axis=0, out=edge[1:])
+        edge = edge[low : high + 2] + at
+        gap = (m - n + at) - 64 * np.arange(low, high + 2)[:, None]
+        between = np.where((gap[1:] > 0) == (gap[:-1] > 0), np.minimum(abs(gap[1:]), abs(gap[:-1])), 0)
+        return ((edge[1:] + edge[:-1] - 64) // 2 + between).min(axis=0)
+
+
+class _Keys:
+    """The keys of some rows, to count each pair in one block only. Keys that differ in the bits of kinds are not of one kind."""
+
+    def __init__(self, key: np.ndarray, h1: np.ndarray, keys: np.ndarray, kinds: int):
+        self.key, self.h1 = key, h1
+        size = np.array([len(x) for x in keys], np.int64)
+        self.of = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+        self.full = np.arange(self.of.shape[1]) < size[:, None]
+        self.of[self.full] = np.concatenate(keys)
+        self.full &= (self.of ^ key[:, None]) & kinds == 0
+
+    def chosen(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the rows i and j count in the block that they are in: of the keys that both have, each is chosen for some pairs, so that
+        the pairs of rows with the same keys are spread over their blocks."""
+        out = np.ones(len(i), bool)
+        for b in range(0, len(i), PAIRS):
+            p, q = i[b : b + PAIRS], j[b : b + PAIRS]
+            turn = mix((self.h1[p] ^ self.h1[q]).view(np.uint64)).view(np.int64)
+            for k in range(self.of.shape[1]):
+                before = np.flatnonzero(self.full[p, k] & (self.of[p, k] ^ turn < self.key[p] ^ turn))
+                both = ((self.of[q[before]] == self.of[p[before], k][:, None]) & self.full[q[before]]).any(axis=1)
+                out[b + before[both]] = False
+        return out
 
 
 class _Joined:
@@ -526,19 +603,27 @@ class _Joined:
         return self.of[np.array(out, np.int64).reshape(-1, 2)]
 
 
-def _block_links(rows: DataFrame, columns: list[str], may: Callable[..., np.ndarray], roots: DataFrame, texts: DataFrame) -> DataFrame:
+def _block_links(rows: DataFrame, columns: list[str], may: Callable[..., np.ndarray], roots: DataFrame, texts: DataFrame, kinds: int = 0) -> DataFrame:
     """(a, b): links that join the lines of each block as all its links do, but for those that roots (h1, root) joins already. rows has key,
     h1 and the columns; may(columns, i, j) tells which pairs of rows are candidates. A pair of candidates is told apart if the links found
-    so far don't join it: each block's pairs stay in its task, and no more links leave than it has lines."""
+    so far don't join it, in one of the blocks that it is in (may says the same in all of them whose keys agree in the bits of kinds): each block's pairs stay in its task, and no more links leave than it has lines."""
     rows = rows.join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
-    rows = rows.join(mixed, "key").join(texts, "h1").select("key", "h1", "root", *columns, "line_text")
+    rows = rows.join(mixed, "key")
+    keys = rows.groupBy("h1").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(keys, "h1").join(texts, "h1").select("key", "h1", "root", *columns, "line_text", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, h1, root, *own, texts), begin, count in _runs(batches, ["key", "h1", "root", *columns, "line_text"]):
+        for (key, h1, root, *own, texts, keys), begin, count in _runs(batches, ["key", "h1", "root", *columns, "line_text", "keys"]):
             if not len(h1):
                 continue
-            joined, codes, found = _Joined(h1, root), Codes(texts), [np.zeros((0, 2), np.int64)]
+            joined, codes, keys, found = _Joined(h1, root), Codes(texts), _Keys(key, h1, keys, kinds), [np.zeros((0, 2), np.int64)]
+
+            def candidates(i: np.ndarray, j: np.ndarray, joined=joined, own=own, keys=keys) -> tuple[np.ndarray, np.ndarray]:
+                for holds in (joined.apart, lambda i, j: may(own, i, j), keys.chosen):
+                    ok = holds(i, j)
+                    i, j = i[ok], j[ok]
+                return i, j
 
             def tell(i: np.ndarray, j: np.ndarray, joined=joined, codes=codes, found=found) -> None:
                 ok = joined.apart(i, j)
@@ -548,29 +633,20 @@ def _block_links(rows: DataFrame, columns: list[str], may: Callable[..., np.ndar
 
             held: list[np.ndarray] = []
             for k, (i, j) in enumerate(_pairs_at_once(count)):
-                ok = joined.apart(i, j)
-                i, j = i[ok], j[ok]
-                ok = may(own, i, j)
-                held.append(np.stack([i[ok], j[ok]]))
+                held.append(np.stack(candidates(i, j)))
                 if not k or sum(x.shape[1] for x in held) > PAIRS:
                     tell(*np.concatenate(held, axis=1))
                     held.clear()
             if held:
                 tell(*np.concatenate(held, axis=1))
             for at, n in zip(begin[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
-                rows_at_once = max(1, SQUARE // n)
+                rows_at_once, size, waits = max(1, SQUARE // n), FIRST, np.zeros((2, 0), np.int64)
                 for b in range(0, n, rows_at_once):
                     i, j = (x.ravel() for x in np.meshgrid(np.arange(b, min(n, b + rows_at_once)), np.arange(b, n), indexing="ij"))
-                    i, j = i[i < j] + at, j[i < j] + at
-                    ok = joined.apart(i, j)
-                    i, j = i[ok], j[ok]
-                    ok = may(own, i, j)
-                    i, j, size = i[ok], j[ok], FIRST
-                    while len(i):
-                        tell(i[:size], j[:size])
-                        i, j = i[size:], j[size:]
-                        ok = joined.apart(i, j)
-                        i, j, size = i[ok], j[ok], min(2 * size, PAIRS)
+                    waits = np.concatenate([waits, candidates(i[i < j] + at, j[i < j] + at)], axis=1)
+                    while waits.shape[1] >= size or (waits.shape[1] and b + rows_at_once >= n):
+                        tell(*waits[:, :size])
+                        waits, size = waits[:, size:], min(2 * size, PAIRS)
             links = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
@@ -629,23 +705,19 @@ def line_removals(docs: DataFrame) -> DataFrame:
     lines = written(_lines(docs), "lines")
     place = F.struct("doc_id", "line", "text_key")
     distinct = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
-    sims, masks = _sim_blocks(distinct)
-    sims, blocks = written(sims, "sim-blocks"), written(_blocks(lines), "line-blocks")
+    sims, blocks = written(_sim_blocks(distinct), "sim-blocks"), written(_blocks(lines), "line-blocks")
     texts = written(_texts(docs, key_filter(sims.select("h1").unionByName(blocks.select("h1")), "h1")), "line-texts")
 
     def near(own: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        sim, part = own[0].view(np.uint64), own[1]
-        ok = (sim[i] != sim[j]) & (np.bitwise_count(sim[i] ^ sim[j]) <= MOST_BITS)
-        ok[ok] = met_first(sim[i[ok]], sim[j[ok]], part[i[ok]], masks)
-        return ok | (part[i] < 0)
+        return np.bitwise_count(own[0][i] ^ own[0][j]) <= MOST_BITS
 
     # One link for each line joins most groups; blocks that it leaves in several parts compare all pairs of different ones.
     leads = written(_lead_links(blocks, texts), "lead-links")
     further = leads.select(F.col("h1").alias("lead"), F.col("lead").alias("before"))
     roots = leads.join(further, "lead", "left").select("h1", F.coalesce("before", "lead").alias("root"))
     links = leads.select(F.col("h1").alias("a"), F.col("lead").alias("b"))
-    links = links.unionByName(_block_links(sims, ["sim", "part"], near, roots, texts))
-    links = links.unionByName(_block_links(blocks, ["size", "sketch"], lambda own, i, j: may_be_alike(*own, i, j), roots, texts))
+    links = links.unionByName(_block_links(sims, ["sim"], near, roots, texts))
+    links = links.unionByName(_block_links(blocks, ["size", "sketch"], lambda own, i, j: may_be_alike(*own, i, j), roots, texts, kinds=1))
     group = components(links)
     named = distinct.join(group.withColumnRenamed("node", "h1"), "h1")
     stays = named.groupBy("component").agg(F.min("first").alias("stays"))

@@ -625,6 +625,45 @@ def test_codes_tell_what_alike_tells():
     assert got.tolist() == [lines.alike(texts[x], texts[y]) for x, y in zip(i, j, strict=True)] and 20 < got.sum() < 240
 
 
+def test_each_pair_counts_in_one_of_its_blocks():
+    rng = np.random.default_rng(4)
+    has = {int(h): sorted(set(rng.integers(0, 40, 12).tolist())) for h in rng.integers(-(1 << 62), 1 << 62, 40)}
+    for kinds in (0, 1):
+        rows = [(k, h, np.array(own)) for h, own in has.items() for k in own]
+        key, h1 = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
+        counted = {}
+        i, j = np.triu_indices(len(rows), 1)
+        i, j = i[key[i] == key[j]], j[key[i] == key[j]]
+        chosen = lines._Keys(key, h1, np.array([r[2] for r in rows], object), kinds).chosen(i, j)
+        for a, b, k in zip(h1[i[chosen]].tolist(), h1[j[chosen]].tolist(), key[i[chosen]].tolist(), strict=True):
+            counted.setdefault((min(a, b), max(a, b), k & kinds), []).append(k)
+        assert all(len(k) == 1 for k in counted.values())
+        assert len(counted) == len({(min(a, b), max(a, b), k & kinds) for a, b, k in zip(h1[i].tolist(), h1[j].tolist(), key[i].tolist(), strict=True)})
+        assert len({k[0] for k in counted.values()}) == 40
+
+
+def test_long_lines_that_are_not_alike_are_dropped_on_the_way():
+    rng = np.random.default_rng(5)
+    words = np.array([*prose(5, 300).split(), "été", "東京都", "łódź"])
+    pairs = []
+    for size in (20, 90, 200, 400):
+        for share in (0.1, 0.2, 0.3, 0.6, 1):
+            a = rng.choice(words, size)
+            b = np.where(rng.random(size) < share, rng.choice(words, size), a)
+            pairs += [(" ".join(a), " ".join(b)), (" ".join(a), " ".join([*b[size // 3 :], *a[: size // 3]])), (" ".join(a), " ".join(b[: size - size // 8]))]
+    codes = lines.Codes(np.array([t for p in pairs for t in p], object))
+    at = np.arange(0, 2 * len(pairs), 2)
+    assert codes.alike(at, at + 1).tolist() == [lines.edits(a, b) <= lines.MOST_EDITS * max(len(a), len(b)) for a, b in pairs]
+    m, n = codes.size[at], codes.size[at + 1]
+    order = np.argsort(-np.maximum(m, n), kind="stable")
+    swap = m > n
+    first, second = np.where(swap, at + 1, at)[order], np.where(swap, at, at + 1)[order]
+    most = (lines.MOST_EDITS * codes.size[second]).astype(np.int64)
+    got = codes._distances(codes.at[first], codes.at[second], codes.size[first], codes.size[second], 4000, most)
+    whole = np.array([lines.edits(codes.texts[i], codes.texts[j]) for i, j in zip(first, second, strict=True)])
+    assert ((got == whole) | ((got == most + 1) & (whole > most))).all() and (got[whole > most] < whole[whole > most]).any()
+
+
 def test_many_best_paths_equal_single_ones(model):
     rng = np.random.default_rng(79)
     chars = "etaoinshrdlu▁.,-漢é\n0Z"
