@@ -286,8 +286,9 @@ class Pieces:
         self._know(list(dict.fromkeys(keys)))
         return np.frombuffer(b"".join(self.known[k] for k in keys), "<i4")
 
-    def matrix(self, text: str, n: int) -> np.ndarray:
-        """Best weights [entry, exit] of a chunk of n characters; text goes on beyond it by what a piece can reach."""
+    def matrix(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Best weights [entry, exit] of a chunk of n characters, and the ids between its outer cuts (None: it has none), which are on every
+        path; text goes on beyond it by what a piece can reach."""
         k = self.longest
         out = np.full((k, k), _NONE)
         more = min(k - 1, len(text) - n)
@@ -296,22 +297,21 @@ class Pieces:
             for s in range(min(k, n + 1)):
                 for t in range(more + 1):
                     out[s, t] = self.best(text, s, n + t, n)[0] if s < n else (0.0 if t == 0 else _NONE)
-            return out
+            return out, None
         enter = np.array([self.best(text, s, first)[0] for s in range(k)])
-        through = float(self.by_id[self._ids(_segments(text[first:final]))].sum())
+        ids = self._ids(_segments(text[first:final]))
+        through = float(self.by_id[ids].sum())
         leave = np.full(k, _NONE)
         for t in range(more + 1):
             leave[t] = self.best(text, final, n + t, n)[0] if final < n else (0.0 if t == 0 else _NONE)
-        return enter[:, None] + through + leave[None, :]
+        return enter[:, None] + through + leave[None, :], ids
 
-    def trace(self, text: str, n: int, enter: int, leave: int) -> list[int]:
-        """The ids of a chunk whose entry and exit are known."""
+    def ends(self, text: str, n: int, enter: int, leave: int) -> tuple[list[int], list[int]]:
+        """The ids of a chunk whose entry and exit are known, before and behind those that matrix() has (all before, if it has none)."""
         first, final = outer_cuts(text[: n + 1], self.longest - 1)
         if first is None or enter >= n:
-            return self.spell(text, self.best(text, enter, n + leave, n)[1]) if enter < n else []
-        out = self.spell(text, self.best(text, enter, first)[1])
-        out += self._ids(_segments(text[first:final])).tolist()
-        return out + (self.spell(text, self.best(text, final, n + leave, n)[1]) if final < n else [])
+            return self.spell(text, self.best(text, enter, n + leave, n)[1]) if enter < n else [], []
+        return self.spell(text, self.best(text, enter, first)[1]), self.spell(text, self.best(text, final, n + leave, n)[1]) if final < n else []
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: bytes join to characters, each mark is a space."""
@@ -385,6 +385,8 @@ def through(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
 
 
 _CHUNK = "rid long, doc_id long, chunk long, n_chunks long, n int, text string"
+#: What lies between a chunk's outer cuts is encoded once, with its matrix: number and sums of its ids, whether they spell it, and the ids if asked for.
+_WITHIN = "inner_n long, inner_s1 long, inner_s2 long, inner_intact boolean, inner_ids binary"
 _OUT = "rid long, doc_id long, chunk long, n_chunks long, n long, s1 long, s2 long, weight double, intact boolean"
 
 
@@ -402,7 +404,7 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     small = F.length(F.coalesce("text", F.lit(""))) < CHUNK
     schema = _OUT + (", ids array<int>" if with_ids else "")
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+    names, within = ([c.split(" ")[0] for c in x.split(", ")] for x in (schema, _WITHIN))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _model(model)
@@ -434,8 +436,17 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _model(model)
         for batch in batches:
-            made = [of.matrix(t, n).tobytes() for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["rid", "chunk", "matrix"])
+            made, flat, intact = [], [np.zeros(0, np.int32)], []
+            for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                m, ids = of.matrix(t, n)
+                first, final = outer_cuts(t[: n + 1], of.longest - 1)
+                made.append(m.tobytes())
+                flat.append(np.zeros(0, np.int32) if ids is None else ids)
+                intact.append(ids is None or of.decode(ids.tolist()) == t[first:final].replace("▁", " "))
+            at = np.cumsum([0, *(len(x) for x in flat[1:])])
+            n, s1, s2, _ = _sums(np.concatenate(flat), at, of.by_id)
+            kept = [x.tobytes() if with_ids else None for x in flat[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), n, s1, s2, pa.array(intact, pa.bool_()), pa.array(kept, pa.binary())], names=["rid", "chunk", "matrix", *within])
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["rid", "run"]):
@@ -462,24 +473,32 @@ def _encoded(docs: DataFrame, model: str, with_ids: bool) -> tuple[DataFrame, Da
         of = _model(model)
         for batch in batches:
             for r in batch.to_pylist():
-                ids = of.trace(r["text"], r["n"], r["enter"], r["leave"])
-                span = r["text"][r["enter"] : r["n"] + r["leave"]]
-                n, s1, s2, _ = _sums(np.array(ids, np.int64), np.array([0, len(ids)]), of.by_id)
+                text, stop = r["text"], r["n"] + r["leave"]
+                before, behind = of.ends(text, r["n"], r["enter"], r["leave"])
+                first, final = outer_cuts(text[: r["n"] + 1], of.longest - 1)
+                spans = (text[r["enter"] : stop], "") if first is None else (text[r["enter"] : first], text[final:stop])
+                n, s1, s2, _ = (x.to_pylist() for x in _sums(np.array([*before, *behind], np.int64), np.array([0, len(before), len(before) + len(behind)]), of.by_id))
+                place = n[0] + r["inner_n"]
+                s2 = (s2[0] + r["inner_s2"] + n[0] * r["inner_s1"] + s2[1] + place * s1[1]) % PRIME
                 cols = [pa.array([r[c]], pa.int64()) for c in ("rid", "doc_id", "chunk", "n_chunks")]
-                cols += [n, s1, s2, pa.array([r["total"] if r["chunk"] == 0 else 0.0]), pa.array([of.decode(ids) == span.replace("▁", " ")])]
+                cols += [pa.array([x], pa.int64()) for x in (place + n[1], (s1[0] + r["inner_s1"] + s1[1]) % PRIME, s2)]
+                cols += [pa.array([r["total"] if r["chunk"] == 0 else 0.0]), pa.array([r["inner_intact"] and all(of.decode(x) == y.replace("▁", " ") for x, y in zip((before, behind), spans, strict=True))])]
+                ids = [*before, *np.frombuffer(r["inner_ids"], "<i4").tolist(), *behind] if with_ids else None
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array([ids], pa.list_(pa.int32()))] if with_ids else []), names=names)
 
     short = docs.where(small).mapInArrow(whole, schema)
     chunks = written(docs.where(~small).mapInArrow(cut, _CHUNK), "chunks")  # rows are numbered once
     spread = chunks.select("rid", "chunk", "n", "text").repartition("rid", "chunk")
-    matrices = written(spread.mapInArrow(weigh, "rid long, chunk long, matrix binary").withColumn("run", F.expr(f"chunk div {RUN}")), "matrices")
+    matrices = written(spread.mapInArrow(weigh, "rid long, chunk long, matrix binary, " + _WITHIN).withColumn("run", F.expr(f"chunk div {RUN}")), "matrices")
+    sums = matrices.select("rid", "chunk", *within)
+    matrices = matrices.select("rid", "chunk", "matrix", "run")
     runs = matrices.repartition("rid", "run").sortWithinPartitions("rid", "run", "chunk").mapInArrow(product, "rid long, run long, matrix binary")
     of_run = runs.repartition("rid").sortWithinPartitions("rid", "run").mapInArrow(states(["rid"], []), "rid long, run long, enter int, leave int, total double")
     of_run = of_run.withColumnsRenamed({"enter": "run_enter", "leave": "run_leave"})
     inner = matrices.join(of_run, ["rid", "run"]).repartition("rid", "run").sortWithinPartitions("rid", "run", "chunk")
     of_chunk = inner.mapInArrow(states(["rid", "run"], ["run_enter", "run_leave"]), "rid long, chunk long, enter int, leave int, total double").drop("total")
     totals = of_run.select("rid", "total").distinct()
-    long = chunks.join(of_chunk, ["rid", "chunk"]).join(totals, "rid").mapInArrow(trace, schema)
+    long = chunks.join(of_chunk, ["rid", "chunk"]).join(sums, ["rid", "chunk"]).join(totals, "rid").mapInArrow(trace, schema)
     return short, long
 
 

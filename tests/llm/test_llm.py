@@ -625,6 +625,18 @@ def test_codes_tell_what_alike_tells():
     assert got.tolist() == [lines.alike(texts[x], texts[y]) for x, y in zip(i, j, strict=True)] and 20 < got.sum() < 240
 
 
+def test_inner_ids_of_chunks_are_found_once(model):
+    text = pieces.normal(prose(8, 400) + "\nłódź 東京 " + prose(9, 400))
+    for n in (len(text), 900, 700):
+        m, ids = model.matrix(text[: n + model.longest - 1], n)
+        before, behind = model.ends(text[: n + model.longest - 1], n, 0, 0)
+        assert len(ids) > 10 * (len(before) + len(behind))
+        assert np.isclose(m[0, 0], model.by_id[[*before, *ids.tolist(), *behind]].sum()) and np.isclose(m[0, 0], model.best(text, 0, n)[0])
+        assert model.spell(text, model.best(text, 0, n)[1]) == [*before, *ids.tolist(), *behind]
+    m, ids = model.matrix("x" * 600, 500)
+    assert ids is None and model.ends("x" * 600, 500, 0, 0)[0]
+
+
 def test_each_pair_counts_in_one_of_its_blocks():
     rng = np.random.default_rng(4)
     has = {int(h): sorted(set(rng.integers(0, 40, 12).tolist())) for h in rng.integers(-(1 << 62), 1 << 62, 40)}
