@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, by_slices, key_filter, mix, table, written
+from .common import KeyFilter, by_slices, groups, key_filter, mix, table, written
 from .components import components
 from .words import LOWER, hash_spans, spans, text_bytes
 
@@ -30,11 +31,16 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 #: Lines of a block whose pairs are taken together with those of other blocks; pairs that are told apart at once, and of a larger block
 #: at first; lines that are compared with all others of a larger block at once have so many pairs.
 FEW, PAIRS, FIRST, SQUARE = 64, 1 << 14, 256, 1 << 20
+#: Rows of numbers that are dealt at once, and that come together in one deal on average.
+DEAL = 1 << 18
 #: Characters up to which edit distances of many pairs are computed at once, characters of such pairs, and letters of their alphabets; edits
-#: that are looked for first.
+#: that are looked for first. Words of 64 bits that make a step of many pairs worth its calls, and that fit in caches; steps between two
+#: looks at which pairs are still open.
 LONG, AT_ONCE, ALPHABETS, NARROW = 4000, 1 << 21, 1 << 22, 32
+WAVE, STEPS = (2048, 16384), 256
 _BLANK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _TO_BLANK = bytes(c if not (c < 128 and not chr(c).isalnum()) else 32 for c in range(256))
+_BLANKED = np.frombuffer(_TO_BLANK, np.uint8)
 
 
 def line_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,9 +114,10 @@ def block_masks(n: int) -> list[int]:
     return [sum(f) for f in combinations(fields, c)]
 
 
-def block_keys(sim: Column, masks: list[int]) -> Column:
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return F.array(*(F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)))
+def block_keys(sims: np.ndarray, masks: list[int]) -> np.ndarray:
+    """[mask, value]: the keys of SimHashes."""
+    turn = np.arange(len(masks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix((sims & np.array(masks, np.uint64)[:, None]) ^ turn[:, None]).view(np.int64)
 
 
 def met_first(x: np.ndarray, y: np.ndarray, part: np.ndarray, masks: list[int]) -> np.ndarray:
@@ -142,14 +149,15 @@ def close_pairs(sims: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
-def _sim_blocks(distinct: DataFrame) -> DataFrame:
+def _sim_blocks(lines: DataFrame) -> DataFrame:
     """(key, h1, sim): the lines whose SimHash is within MOST_BITS bits of another one in the block, and those of one SimHash. A line has one row for each of its keys at most, however many it is near to."""
-    lines = distinct.where("sim is not null").select("h1", "sim")
-    sims = written(lines.groupBy("sim").agg(F.count("*").alias("k")), "sims")
-    masks = block_masks(sims.count())
+    lines = lines.where("keys is not null").select("h1", "sim")
+    sims = written(lines.groupBy("sim").agg((F.min("h1") != F.max("h1")).alias("several")), "sims")
+    n = sims.count()
+    masks = block_masks(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, own, part), begin, count in _runs(batches, ["key", "sim", "part"]):
+        for (key, own, part), begin, count in _dealt_runs(batches, 3):
             sim = own.view(np.uint64)
             stays = np.zeros(len(sim), bool)
 
@@ -166,36 +174,43 @@ def _sim_blocks(distinct: DataFrame) -> DataFrame:
                 near(found[:, 0], found[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(x[stays]) for x in (key, own, part)], names=["key", "sim", "part"])
 
-    rows = sims.select(F.posexplode(block_keys(F.col("sim"), masks)).alias("part", "key"), "sim")
-    near = rows.repartition("key").sortWithinPartitions("key", "sim").mapInArrow(run, "key long, sim long, part int")
-    same = sims.where("k > 1").select(F.xxhash64(F.lit(-1), "sim").alias("key"), "sim", F.lit(-1).alias("part"))
-    return near.unionByName(same).join(lines, "sim").select("key", "h1", "sim")
+    def keyed(batch: pa.RecordBatch) -> np.ndarray:
+        sim = _values(batch.column(0))
+        return np.stack([block_keys(sim.view(np.uint64), masks), *np.broadcast_arrays(sim, np.arange(len(masks))[:, None])], axis=2).reshape(-1, 3)
 
+    near = _dealt(sims.select("sim"), keyed, n * len(masks)).mapInArrow(run, "key long, sim long, part long")
+    same = sims.where("several").select(F.xxhash64(F.lit(-1), "sim").alias("key"), "sim", F.lit(-1).cast("long").alias("part"))
+    return near.unionByName(same).join(lines, "sim").select("key", "h1", "sim").distinct()
 
-def grams_of(data: np.ndarray, size: int) -> np.ndarray:
-    """For each byte a hash of it and the size - 1 bytes behind it (size is 4 to 8)."""
-    g = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    g = g[:-1] | g[1:] << np.uint64(8)
-    g = g[:-2] | g[2:] << np.uint64(16)
-    g = g[: len(data)] | g[size - 4 : len(data) + size - 4] << np.uint64(8 * (size - 4))
+
+def grams_of(data: np.ndarray, size: int, where: np.ndarray) -> np.ndarray:
+    """For each marked byte a hash of it and the size - 1 bytes behind it (size is 4 to 8)."""
+    eight = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    g = eight[where]
+    g &= np.uint64((1 << 8 * size) - 1)
     g *= np.uint64(0x9E3779B97F4A7C15)
     g ^= g >> np.uint64(32)
     g *= np.uint64(0xD6E8FEB86659FD93)
     return g
 
 
-def band_keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys [line, band] and sketches [line, BINS / 64] of the lines that begin and end at these bytes: two lines share a key with the
-    share of common grams to the power of BAND_ROWS. The lowest bit of a key tells the gram sizes apart.
+def band_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys [line, band] and sketches [line, BINS / 64] of the lines that begin and end at these bytes, in order: two lines share a key with
+    the share of common grams to the power of BAND_ROWS. The lowest bit of a key tells the gram sizes apart.
 
     One permutation gives all min-hashes: a gram falls in one of BINS bins, and the least of a bin stands for it; an empty bin takes
     what the next full one before it holds, the first ones what the last one holds.
     """
     n = np.maximum(end - begin - size + 1, 1)
-    line = np.repeat(np.arange(len(n)), n)
-    gram = grams[np.arange(len(line)) + np.repeat(begin - np.cumsum(n) + n, n)]
+    turns = np.diff(np.stack([begin, begin + n], axis=1).ravel(), prepend=0, append=len(data))
+    gram = grams_of(data, size, np.repeat(np.arange(len(turns)) % 2 == 1, turns))
+    slot = np.repeat(np.arange(len(n)) * BINS, n)
+    slot += (gram >> np.uint64(56)).view(np.int64)
+    gram >>= np.uint64(20)
+    low = gram.astype(np.uint32)
+    low &= ~np.uint32(1)
     least = np.full(len(n) * BINS, _EMPTY, np.uint32)
-    np.minimum.at(least, line * BINS + (gram >> np.uint64(56)).astype(np.int64), (gram >> np.uint64(20)).astype(np.uint32) & ~np.uint32(1))
+    np.minimum.at(least, slot, low)
     least = least.reshape(-1, BINS)
     full = np.maximum.accumulate(np.where(least != _EMPTY, np.arange(BINS, dtype=np.int16), np.int16(-1)), axis=1)
     least = np.take_along_axis(least, np.where(full < 0, full[:, -1:], full).astype(np.int64), axis=1)
@@ -206,7 +221,7 @@ def band_keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int)
     return key & ~np.uint64(1) | np.uint64(size == GRAMS[1]), sketch
 
 
-_LINE = "doc_id long, text_key long, line long, h1 long, h2 long, sim long, size int, keys array<long>, short_sketch binary, long_sketch binary"
+_LINE = "doc_id long, text_key long, line long, h1 long, h2 long, sim long, size int, keys binary, short_sketch binary, long_sketch binary"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -227,6 +242,8 @@ def _lines(docs: DataFrame) -> DataFrame:
             at = at[[int(x) not in seen for x in h1[at]]] if len(at) else at
             seen.update(h1[at].tolist())
             size, keys, sketches = _signed(low, start[at], end[at])
+            offsets, flat = keys.offsets.to_numpy() * 8, keys.values
+            keys = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), flat.buffers()[1]])
             place = np.full(len(h1), -1)
             place[at] = np.arange(len(at))
             where = pa.array(place, mask=place < 0)
@@ -242,16 +259,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _signed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array, list[pa.Array]]:
     """Size, keys and the sketches of both gram sizes of the lines low[start:end]."""
     blank = _BLANK[low]
-    keep = ~blank
-    keep[1:] |= ~blank[:-1]  # of the blanks behind a word, one
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    data = np.where(blank, 32, low).astype(np.uint8)[keep]
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    begin, stop = kept[start], kept[end]
+    drop = np.flatnonzero(blank[1:] & blank[:-1]) + 1  # of the blanks behind a word, one stays
+    if len(low) and blank[0]:
+        drop = np.append(0, drop)
+    keep = np.ones(len(low), bool)
+    keep[drop] = False
+    data = _BLANKED[low[keep]]
+    inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that begin no character
+    begin, stop = start - np.searchsorted(drop, start), end - np.searchsorted(drop, end)
     if len(start):
         begin += data[np.minimum(begin, len(data) - 1)] == 32
         stop -= data[stop - 1] == 32
-    length = chars[stop] - chars[begin]
+    length = stop - begin - np.searchsorted(inner, stop) + np.searchsorted(inner, begin)
     keys, owner, sketches = [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.int64)], []
     for size, some in ((GRAMS[0], length < GRAM_SHORT[1]), (GRAMS[1], length >= GRAM_SHORT[0])):
         some = np.flatnonzero(some)
@@ -260,12 +279,7 @@ def _signed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Arr
         found = np.zeros((0, BINS // 64), np.uint64)
         if len(some):
             lo, hi = begin[some], stop[some]
-            own = data
-            if (hi - lo).sum() < len(data) // 4:  # few such lines: one after the other
-                n = hi - lo
-                own = data[np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)]
-                lo, hi = np.cumsum(n) - n, np.cumsum(n)
-            own, found = band_keys(grams_of(own, size), lo, hi, size)
+            own, found = band_keys(data, lo, hi, size)
             keys.append(own)
             owner.append(some)
         raw = pa.Array.from_buffers(pa.binary(BINS // 8), len(found), [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
@@ -285,20 +299,65 @@ def _values(col: pa.Array) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], np.uint64, (at[-1] - at[0]) // 8, at[0]).reshape(len(col), -1)
 
 
+def _several(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+    count = np.diff(np.append(begin, len(cols[0])))
+    keep = np.repeat(count > 1, count)
+    count = count[count > 1]
+    return [c[keep] for c in cols], np.cumsum(count) - count, count
+
+
+def _told(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns sorted by the first one, without what _runs leaves out; begin and length of each run."""
+    cols, _, _ = _several(cols)
+    order = np.lexsort((cols[1], cols[0]))
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+    return _several([c[new] for c in cols]) if len(order) else (cols, order, order)
+
+
+def _dealt(rows: DataFrame, keyed: Callable[[pa.RecordBatch], np.ndarray], n: int) -> DataFrame:
+    """(deal, numbers): the n rows of 64-bit numbers that keyed makes of batches, key first, many to a Spark row: rows of one key
+    have one deal. _dealt_runs reads them."""
+    deals = max(1, -(-n // DEAL))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: np.ndarray) -> pa.RecordBatch:
+            deal = (mix(found[:, 0].view(np.uint64)) % np.uint64(deals)).astype(np.min_scalar_type(deals))
+            found = found[np.argsort(deal, kind="stable")]
+            count = np.bincount(deal, minlength=deals)
+            at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * np.int32(8 * found.shape[1])
+            full = np.flatnonzero(count)
+            numbers = pa.Array.from_buffers(pa.binary(), deals, [None, pa.py_buffer(at), pa.py_buffer(found)])
+            return pa.RecordBatch.from_arrays([pa.array(full), numbers.take(pa.array(full))], names=["deal", "numbers"])
+
+        held: list[np.ndarray] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(keyed(b))
+            if sum(map(len, held)) >= DEAL:
+                yield out(np.concatenate(held))
+                held = []
+        if held:
+            yield out(np.concatenate(held))
+
+    return rows.mapInArrow(run, "deal long, numbers binary").repartition("deal").sortWithinPartitions("deal")
+
+
+def _dealt_runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """_runs() of rows from _dealt, of so many numbers each."""
+    for deal in groups(batches, ["deal"]):
+        found = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, columns) for x in deal.column("numbers").to_pylist()])
+        found = found[np.argsort(found[:, 0])]
+        yield _told(list(found.T))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of batches sorted by key in pieces that never cut a run of equal keys, and where the runs begin; runs of one row
-    and repeated (key, h1) rows are left out."""
+    """The columns of batches sorted by key in pieces that never cut a run of equal keys, by (key, h1), and where the runs begin and
+    how long they are; runs of one row and repeated (key, h1) rows are left out. Spark sorts one column of numbers by radix."""
     held: list[np.ndarray] | None = None
 
-    def told(cols: list[np.ndarray]):
-        new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-        cols = [c[new] for c in cols]
-        begin = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-        count = np.diff(np.append(begin, len(cols[0])))
-        several = np.repeat(count > 1, count)
-        count = count[count > 1]
-        return ([c[several] for c in cols], np.cumsum(count) - count, count)
-
     for b in batches:
         if b.num_rows:
             cols = [_values(b.column(b.schema.get_field_index(c))) for c in order]
@@ -307,9 +366,9 @@ def _runs(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[tuple
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             held = [c[cut:] for c in cols]
             if cut:
-                yield told([c[:cut] for c in cols])
+                yield _told([c[:cut] for c in cols])
     if held is not None:
-        yield told(held)
+        yield _told(held)
 
 
 def may_be_alike(size: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -335,7 +394,7 @@ def _blocks(lines: DataFrame) -> DataFrame:
     them, and whether it is one that they may be like. In a block of more than FEW lines all stay."""
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, h1), _, _ in _runs(batches, ["key", "h1"]):
+        for (key, h1), _, _ in _dealt_runs(batches, 2):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h1)], names=["key", "h1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,11 +410,17 @@ def _blocks(lines: DataFrame) -> DataFrame:
             raw = pa.Array.from_buffers(pa.binary(BINS // 8), len(h1), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(stays)) for x in (pa.array(key), pa.array(h1), pa.array(size), raw, pa.array(h1[first]), pa.array(near))], names=["key", "h1", "size", "sketch", "lead", "near"])
 
+    def keyed(batch: pa.RecordBatch) -> np.ndarray:
+        n = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) // 8
+        at = batch.column(0)
+        first = np.frombuffer(at.buffers()[1], np.int32, len(at) + 1, at.offset * 4)
+        flat = np.frombuffer(at.buffers()[2], np.int64, int(n.sum()), int(first[0]))
+        return np.stack([flat, np.repeat(_values(batch.column(1)), n)], axis=1)
+
     signed = lines.where("keys is not null")
-    met = signed.select(F.explode("keys").alias("key"), "h1").repartition("key").sortWithinPartitions("key", "h1").mapInArrow(several, "key long, h1 long")
-    marks = signed.select("h1", "size", "short_sketch", "long_sketch").dropDuplicates(["h1"])
-    rows = met.join(marks, "h1").select("key", "h1", "size", F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("long_sketch")).otherwise(F.col("short_sketch")).alias("sketch"))
-    return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(run, "key long, h1 long, size int, sketch binary, lead long, near boolean")
+    met = _dealt(signed.select("keys", "h1"), keyed, signed.count() * BANDS).mapInArrow(several, "key long, h1 long")
+    rows = met.join(signed.select("h1", "size", "short_sketch", "long_sketch"), "h1").select("key", "h1", "size", F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("long_sketch")).otherwise(F.col("short_sketch")).alias("sketch"))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, h1 long, size int, sketch binary, lead long, near boolean")
 
 
 def edits(a: str, b: str, most: int | None = None) -> int:
@@ -462,12 +527,23 @@ class Codes:
         left = asked = left[np.argsort(-n[left], kind="stable")]
         for narrow in (True, False):
             if len(left) and (not narrow or (self.often and m[left].max() > 128)):
-                band = NARROW if narrow else int(most[left].max())
-                out[left] = self._distances(a[left] + head[left], b[left] + head[left], m[left], n[left], band, most[left]) <= most[left]
+                for some in self._of_a_length(left, n[left], NARROW if narrow else None, most[left]):
+                    band = NARROW if narrow else int(most[some].max())
+                    out[some] = self._distances(a[some] + head[some], b[some] + head[some], m[some], n[some], band, most[some]) <= most[some]
                 left = left[~out[left]]
         self.often = 2 * out[asked].sum() >= len(asked)
         return out
 
+    def _of_a_length(self, rows: np.ndarray, n: np.ndarray, band: int | None, most: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows, the largest n first, in runs of about one length and of WAVE words of 64 bits in the band, if there are so many."""
+        at = 0
+        while at < len(rows):
+            words = min(int(n[at]), 2 * (band or int(most[at])) + 64) // 64 + 1
+            alike = int(np.searchsorted(-n, -0.8 * n[at], "right"))
+            end = min(max(alike, at + WAVE[0] // words), at + max(1, WAVE[1] // words))
+            yield rows[at:end]
+            at = end
+
     def _at_once(self, longer: int) -> int:
         """Pairs of up to so many characters that are taken together: their characters and their alphabets fit in memory."""
         return max(1, min(AT_ONCE // max(1, longer), ALPHABETS // (self.letters + 1)))
@@ -478,7 +554,7 @@ class Codes:
         pairs = np.arange(len(pattern))[:, None]
         there = np.zeros((len(pattern), self.letters + 1), bool)
         there[pairs, pattern] = True
-        there[:, :2] = False  # blanks
+        there[:, 0] = False  # blank
         local = np.cumsum(there, axis=1, dtype=np.int16)
         slots = int(local[:, -1].max(initial=0)) + 1
         local[~there] = 0
@@ -493,48 +569,68 @@ class Codes:
     def _distances(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, band: int, most: np.ndarray) -> np.ndarray:
         """Levenshtein distances of m characters at a and n at b (no less), the largest n first: the bit vectors of edits() in words of
         64 bits, for all pairs at once. Words further than band from the diagonal are left out: distances up to it are exact, larger
-        ones may come out larger, never smaller. Pairs that must come out above most are dropped on the way, with most + 1."""
+        ones may come out larger, never smaller. Pairs that must come out above most are dropped on the way, with most + 1.
+
+        Shorter pairs get an equal end, which changes no distance, so that all texts are of one length. A word is one place of the text
+        behind the word before it, whose carries it needs: so all words of the band take their steps at once."""
+        length = int(n[0])
+        rest, m, n = m, m + length - n, np.full(len(n), length)
         words = max(1, -(-int(m.max()) // 64))
-        match, text = self._matches(self._taken(a, m, words * 64, 1, 0), self._taken(b, n, int(n[0]), 1, 1), words)
+        pattern, place = self._taken(a, rest, words * 64, 1, 0), np.arange(words * 64)
+        pattern[(place >= rest[:, None]) & (place < m[:, None])] = 1
+        match, text = self._matches(pattern, self._taken(b, length - (m - rest), length, 1, 1), words)
         out, live = most + 1, np.arange(len(m))
         plus = np.full((words, len(m)), ~np.uint64(0))
         minus = np.zeros_like(plus)
         one, top = np.uint64(1), np.uint64(63)
-        active = np.searchsorted(-n, -np.arange(int(n[0])), "left")
-        for at in range(int(n[0])):
-            low, high, k = max(0, (at - band) // 64), min(words - 1, (at + band) // 64), int(active[at])
-            if not k:
-                break
-            slot = text[at, :k]
-            up_in, down_in = one, np.uint64(0)
-            for w in range(low, high + 1):
-                p, q, eq = plus[w, :k], minus[w, :k], match[w].take(slot)
+        word = np.arange(words)
+        begin, stop = 64 * word - band, 64 * (word + 1) + band  # places of the text that a word is near to
+        for first in range(0, length, STEPS):
+            last = min(length, first + STEPS)
+            starts, ends = np.maximum(first, begin) + word, np.minimum(last, stop) + word
+            used = np.flatnonzero(starts < ends)
+            if not len(used):
+                continue
+            base, starts, ends = int(used[0]), starts[used], ends[used]
+            up_in, down_in = np.ones((len(used) + 1, len(live)), np.uint64), np.zeros((len(used) + 1, len(live)), np.uint64)
+            times = np.arange(starts[0], ends[-1])
+            lows, highs = np.searchsorted(ends, times, "right").tolist(), np.searchsorted(starts, times, "right").tolist()
+            row = (used * match.shape[1])[:, None]
+            for t, low, high in zip(times.tolist(), lows, highs, strict=True):
+                p, q = plus[base + low : base + high], minus[base + low : base + high]
+                place = t - base - low  # of the first word, the others are behind it
+                slot = text[place - (high - low) + 1 : place + 1][::-1] + row[low:high]
+                eq = match.take(slot)
                 x = eq | q
-                eq |= down_in
+                eq |= down_in[low:high]
                 h = eq & p
                 h += p
                 h ^= p
                 h |= eq
-                up = ~(h | p)
+                up = h | p
+                np.invert(up, out=up)
                 up |= q
                 h &= p
                 up_out, down_out = up >> top, h >> top
                 up <<= one
-                up |= up_in
+                up |= up_in[low:high]
                 h <<= one
-                h |= down_in
-                minus[w, :k] = up & x
+                h |= down_in[low:high]
+                np.bitwise_and(up, x, out=q)
                 x |= up
                 np.invert(x, out=x)
-                x |= h
-                plus[w, :k] = x
-                up_in, down_in = up_out, down_out
-            if at % 64 == 63 and low <= high and words > 1:
-                least = self._least_to_come(plus[:, :k], minus[:, :k], m[live[:k]], n[live[:k]], at + 1, low, high)
-                stays = np.append(least <= most[live[:k]], np.ones(len(live) - k, bool))
+                np.bitwise_or(x, h, out=p)
+                up_in[low + 1 : high + 1], down_in[low + 1 : high + 1] = up_out, down_out
+                up_in[low], down_in[low] = 1, 0
+            if last < length and words > 1:
+                low, high = max(0, (last - 1 - band) // 64), min(words - 1, (last - 1 + band) // 64)
+                if low > high:
+                    continue
+                stays = self._least_to_come(plus, minus, m[live], n[live], last, low, high) <= most[live]
                 if 4 * stays.sum() < 3 * len(stays):
                     live, plus, minus, text = live[stays], plus[:, stays], minus[:, stays], text[:, stays]
-                    active = np.searchsorted(-n[live], -np.arange(int(n[0])), "left")
+                    if not len(live):
+                        return out
         own = np.clip(m[live] - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
         mask = np.where(own == 64, ~np.uint64(0), (one << np.minimum(own, top)) - one)
         out[live] = n[live] + np.bitwise_count(plus & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(minus & mask).sum(axis=0, dtype=np.int64)
@@ -609,7 +705,7 @@ def _block_links(rows: DataFrame, columns: list[str], may: Callable[..., np.ndar
     so far don't join it, in one of the blocks that it is in (may says the same in all of them whose keys agree in the bits of kinds): each block's pairs stay in its task, and no more links leave than it has lines."""
     rows = rows.join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
-    rows = rows.join(mixed, "key")
+    rows = written(rows.join(mixed, "key"), "mixed-blocks")
     keys = rows.groupBy("h1").agg(F.collect_set("key").alias("keys"))
     rows = rows.join(keys, "h1").join(texts, "h1").select("key", "h1", "root", *columns, "line_text", "keys")
 
@@ -650,7 +746,7 @@ def _block_links(rows: DataFrame, columns: list[str], may: Callable[..., np.ndar
             links = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _texts(docs: DataFrame, wanted: bytes) -> DataFrame:
@@ -704,8 +800,7 @@ def line_removals(docs: DataFrame) -> DataFrame:
     """
     lines = written(_lines(docs), "lines")
     place = F.struct("doc_id", "line", "text_key")
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
-    sims, blocks = written(_sim_blocks(distinct), "sim-blocks"), written(_blocks(lines), "line-blocks")
+    sims, blocks = written(_sim_blocks(lines), "sim-blocks"), written(_blocks(lines), "line-blocks")
     texts = written(_texts(docs, key_filter(sims.select("h1").unionByName(blocks.select("h1")), "h1")), "line-texts")
 
     def near(own: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -718,12 +813,16 @@ def line_removals(docs: DataFrame) -> DataFrame:
     links = leads.select(F.col("h1").alias("a"), F.col("lead").alias("b"))
     links = links.unionByName(_block_links(sims, ["sim"], near, roots, texts))
     links = links.unionByName(_block_links(blocks, ["size", "sketch"], lambda own, i, j: may_be_alike(*own, i, j), roots, texts, kinds=1))
-    group = components(links)
-    named = distinct.join(group.withColumnRenamed("node", "h1"), "h1")
+    # Most lines neither repeat nor have links: the others are picked before anything is sorted.
+    again = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", F.lit(None).cast("long").alias("component"))
+    asked = again.unionByName(components(links).withColumnRenamed("node", "h1")).groupBy("h1").agg(F.max("component").alias("component"))
+    rows = written(lines.select("doc_id", "text_key", "line", "h1", "h2").join(asked, "h1"), "asked-lines")
+    distinct = written(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max("component").alias("component")), "distinct-lines")
+    named = distinct.where("component is not null")
     stays = named.groupBy("component").agg(F.min("first").alias("stays"))
     linked = named.join(stays, "component").select("h1", "h2", "stays")
-    single = distinct.where("n > 1").join(linked.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("stays"))
-    out = lines.join(linked.unionByName(single), ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
+    single = distinct.where("component is null").select("h1", "h2", F.col("first").alias("stays"))
+    out = rows.join(linked.unionByName(single), ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
     return out.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -747,8 +846,13 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_kept, removed (numbers of the removed lines, empty if none)."""
-    lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    rows = docs.select(lines.alias("n_lines"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.if_else(pc.greater(pc.binary_length(b.column(2)), 0), pc.add(pc.count_substring(b.column(2), "\n"), 1), 0)
+            yield pa.RecordBatch.from_arrays([n.cast(pa.int64()).fill_null(0), b.column(0), b.column(1)], names=["n_lines", "doc_id", "text_key"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(counted, "n_lines long, doc_id long, text_key long")
     gone = F.coalesce("removed", F.array().cast("array<long>"))
     return _joined(rows, line_removals(docs)).select("doc_id", "n_lines", (F.col("n_lines") - F.size(gone)).cast("long").alias("n_kept"), gone.alias("removed"))
 

@@ -682,3 +682,43 @@ def test_many_best_paths_equal_single_ones(model):
     texts = list(dict.fromkeys("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(1, 60)))) for _ in range(800)))
     texts += [f"▁{w}" for w in prose(81, 500).split()]
     assert model.best_of_all(texts) == [np.array(model.spell(t, model.best(t, 0, len(t))[1]), "<i4").tobytes() for t in texts]
+
+
+def test_keys_of_lines_are_dealt_many_to_a_row(spark, monkeypatch):
+    """Keys reach their blocks packed, not as a row each; each key's rows meet in one deal, once each, and single ones are left out."""
+    monkeypatch.setattr(lines, "DEAL", 500)
+    rng = np.random.default_rng(90)
+    rows = [(k, h) for k, h in zip(rng.integers(-1500, 1500, 3000).tolist(), rng.integers(0, 900, 3000).tolist(), strict=True)] + [(7, h) for h in range(700)]
+    frame = spark.createDataFrame(rows, "key long, h1 long").repartition(3)
+    dealt = lines._dealt(frame, lambda b: np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1), len(rows))
+    deals = -(-len(rows) // 500)
+    assert dealt.count() <= 3 * 3 * deals < len(rows) // 20
+    got = {}
+    for (key, h1), begin, count in lines._dealt_runs(iter(dealt.toArrow().sort_by("deal").to_batches()), 2):
+        for at, n in zip(begin.tolist(), count.tolist(), strict=True):
+            assert len(set(key[at : at + n].tolist())) == 1 and int(key[at]) not in got
+            got[int(key[at])] = h1[at : at + n].tolist()
+    want = collections.defaultdict(set)
+    for k, h in rows:
+        want[k].add(h)
+    assert got == {k: sorted(h) for k, h in want.items() if len(h) > 1} and len(got[7]) >= 700
+
+
+def test_words_of_long_pairs_step_at_once(monkeypatch):
+    """A pair of 3,200 characters takes about one step for each of them, not one for each of the 50 words of 64 that they fill."""
+    rng = np.random.default_rng(91)
+    a = "".join("abcdefgh"[k] for k in rng.integers(0, 8, 3200))
+    b = "".join("abcdefgh"[rng.integers(0, 8)] if rng.random() < 0.12 else x for x in a[7:] + "hgfedcb")
+    class Counted(np.ndarray):
+        taken = 0
+
+        def take(self, *args, **kwargs):
+            Counted.taken += 1
+            return np.asarray(self).take(*args, **kwargs)
+
+    old = lines.Codes._matches
+    monkeypatch.setattr(lines.Codes, "_matches", lambda *args: (lambda found, text: (found.view(Counted), text))(*old(*args)))
+    codes = lines.Codes(np.array([a, b, a[:900], b[:900]], object))
+    got = codes._distances(codes.at[[0, 2]], codes.at[[1, 3]], codes.size[[0, 2]], codes.size[[1, 3]], 3200, np.array([3200, 900]))
+    assert got.tolist() == [lines.edits(a, b), lines.edits(a[:900], b[:900])]
+    assert 3200 <= Counted.taken < 2 * 3200
