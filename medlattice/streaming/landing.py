@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.gate import validate
+from ..operators.gate import divided, judged
 from ..operators.tables import land
 from ..plans.warehouse import DOCUMENT, LANDED
 from ..sources.documents import _rows
@@ -44,8 +44,8 @@ def land_batch(store: Store, rows: DataFrame, stream: str, number: int, kind: st
         if load.base.streams.get(stream, -1) >= number:
             drained(rows)
             return
-        got = load.scratch("incoming", rows)
-        accepted, rejected = validate(got)
+        got = load.scratch("judged", judged(rows))
+        accepted, rejected = divided(got)
         fresh, twice = land(load.read("raw.document", DOCUMENT), accepted, LANDED, [F.col("last_updated").desc_nulls_last(), F.col("source_ref")])
         mine = F.lit(load.id).alias("batch_id")
         landed = load.append("raw.document", fresh.select("*", mine), "resource_type", unique=True)
